@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, simhash
+from . import decontam, langid, licenses, line_dedup, media, mixing, pii, sharding, simhash, toxicity
 from .common import OWN, crc_of_id, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.of_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col(f"{OWN}size").alias("size"), F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), (F.col(f"{OWN}copies") * F.col(f"{OWN}size")).alias("taken"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +38,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.with_slots(sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     names = {"size": "size", "text_crc32": "crc", "shard": "shard", "slot": "slot", "grown_shard": "grown"}
@@ -33,9 +58,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_media": op2_media,
     "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_licenses": op7_licenses,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 
@@ -71,4 +102,4 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op3_mixing": _MIX_SQL}
