@@ -2,13 +2,16 @@
 
 Index: the test items' terms with their BM25 impacts, each divided by the item's own score (its
 whole text as the query), so one threshold fits items of any length. Items stand in blocks; each
-term keeps its largest impact overall and in each block.
+term keeps its largest impact in each block. An item's pivot terms are all but its lightest, whose
+impacts add up to less than half of the threshold: a passage that reaches the threshold has pivot terms
+that weigh the rest of it.
 
 Queries: every passage of every document, that is windows of two item lengths at steps of one, so
-any item that a document holds lies whole in some passage. A passage is dropped when the bounds of
-its terms add up to less than the threshold; those left skip each block whose bounds don't reach
-it; the rest get exact scores. Bounds only drop what can't reach the threshold, so every passage
-and item at or above it is found.
+any item that a document holds lies whole in some passage. The passages of many documents go together:
+the pivot terms' postings are added up by passage and item in numpy, and only pairs whose sum reaches
+what the lightest terms leave open go on. There a block is skipped if its maxima of the passage's terms
+add up to less than the threshold; the rest get exact scores. Bounds only drop what can't reach the
+threshold, so every passage and item at or above it is found.
 
 Verification: an item found is split into a question (all sentences but the last) and an answer
 (the last sentence, or the last quarter of a single one). The document is contaminated by it if it
@@ -39,7 +42,11 @@ from .common import OWN, add_columns, texts_of
 K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP, PART = 0.5, 0.8, 0.5
 SHINGLE, BLOCK_ITEMS = 5, 16
+#: Sums of floats in another order may differ by this.
+SLACK = 1e-9
 INDEX_CHARS = 32 << 20
+#: Words that are searched together.
+TOGETHER = 1 << 17
 _WORDS = re.compile(r"\w+").findall
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -63,10 +70,15 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if size else set()
 
 
+def pivots_of(mass: float, threshold: float) -> bool:
+    """Whether terms of this weight are too heavy to be left out of an item's pivots."""
+    return mass >= threshold / 2
+
+
 class Index:
     """Terms, impacts and blocks of the items that have a word."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = RETRIEVE):
         found = [(i, t, tokens(t)) for i, t in items]
         found = sorted(((i, t, w) for i, t, w in found if w), key=lambda x: (len(x[2]), x[0] is None, x[0] or 0))
         self.ids = [i for i, _, _ in found]
@@ -97,50 +109,71 @@ class Index:
         whole = np.bincount(item, weights=impact, minlength=max(n, 1))
         impact = impact / np.where(whole > 0, whole, 1.0)[item] if len(impact) else impact
         self.item, self.impact, self.begin = item, impact, begin
-        # one row more, for words that aren't a term
-        self.most = np.zeros(len(postings) + 1)
-        self.block_most = np.zeros((len(postings) + 1, self.blocks), dtype=np.float32)
-        term = np.repeat(np.arange(len(postings)), np.diff(begin))
-        np.maximum.at(self.most, term, impact)
-        np.maximum.at(self.block_most, (term, item // BLOCK_ITEMS), np.nextafter(impact.astype(np.float32), np.float32(2)))
-
-    def score(self, terms: np.ndarray, block: int) -> dict[int, float]:
-        """Exact scores of a block's items for distinct terms."""
-        out: dict[int, float] = {}
-        low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-        for t in terms.tolist():
-            a, b = self.begin[t], self.begin[t + 1]
-            first = a + np.searchsorted(self.item[a:b], low)
-            for k in range(int(first), int(b)):
-                i = int(self.item[k])
-                if i >= high:
-                    break
-                out[i] = out.get(i, 0.0) + float(self.impact[k])
-        return out
-
-    def candidates(self, found: np.ndarray, threshold: float) -> dict[int, float]:
-        """Items that some passage of a document reaches the threshold for, and the best score.
-
-        ``found`` has the document's words as term numbers, len(terms) for other words.
-        """
-        none, out = len(self.terms), {}
-        n = len(found)
-        run = np.concatenate([[0.0], np.cumsum(self.most[found])])
-        starts = np.arange(0, max(1, n - self.stride), self.stride)
-        ends = np.minimum(starts + 2 * self.stride, n)
-        slack = 1e-6
-        for a, b in zip(starts, ends, strict=True):
-            if run[b] - run[a] < threshold - slack:
-                continue
-            terms = np.unique(found[a:b])
-            terms = terms[terms != none]
-            if self.most[terms].sum() < threshold - slack:
-                continue
-            bound = self.block_most[terms].sum(axis=0)
-            for block in np.nonzero(bound >= threshold - slack)[0].tolist():
-                for i, s in self.score(terms, block).items():
-                    if s >= threshold and s > out.get(i, 0.0):
-                        out[i] = s
+        self.weights: list[dict[str, float]] = [{} for _ in range(n)]
+        self.maxima: list[dict[str, float]] = [{} for _ in range(self.blocks)]
+        for word, t in self.terms.items():
+            for k in range(int(begin[t]), int(begin[t + 1])):
+                i, v = int(item[k]), float(impact[k])
+                self.weights[i][word] = v
+                of_block = self.maxima[i // BLOCK_ITEMS]
+                of_block[word] = max(v, of_block.get(word, 0.0))
+        self.threshold = threshold
+        #: what the pivot terms of an item must weigh at least
+        self.need = np.zeros(n)
+        pivots: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        for i, weights in enumerate(self.weights):
+            spent = 0.0
+            for word, v in sorted(weights.items(), key=lambda x: (x[1], x[0])):
+                if not pivots_of(spent + v, threshold) and not self.need[i]:
+                    spent += v
+                else:
+                    self.need[i] = threshold - spent - SLACK
+                    pivots[self.terms[word]].append((i, v))
+        self.pivot_begin = np.concatenate([[0], np.cumsum([len(p) for p in pivots]), [0]]).astype(np.int64)
+        self.pivot_begin[-1] = self.pivot_begin[-2]
+        self.pivot_item = np.array([i for p in pivots for i, _ in p], dtype=np.int64)
+        self.pivot_weight = np.array([v for p in pivots for _, v in p])
+
+    def candidates(self, docs: list[list[str]]) -> list[dict[int, float]]:
+        """For each document's words: the items that some passage reaches the threshold for, and the best score."""
+        out: list[dict[int, float]] = [{} for _ in docs]
+        n, none, stride = len(self.ids), len(self.terms), self.stride
+        if not n or not docs:
+            return out
+        get = self.terms.get
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        term = np.array([get(w, none) for d in docs for w in d], dtype=np.int64)
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        place = (np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // stride
+        last = np.maximum(0, -(-(lengths - stride) // stride) - 1)
+        first = np.cumsum(last + 1) - (last + 1)  # number of a document's first passage
+        some = self.pivot_begin[term + 1] > self.pivot_begin[term]
+        term, doc, place = term[some], doc[some], place[some]
+        late = first[doc] + np.minimum(place, last[doc])
+        early = first[doc] + np.minimum(np.maximum(place - 1, 0), last[doc])
+        keys = np.unique(np.concatenate([late, early]) * none + np.concatenate([term, term]))
+        passage, term = keys // none, keys % none
+        many = self.pivot_begin[term + 1] - self.pivot_begin[term]
+        at = np.repeat(self.pivot_begin[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        pairs, where = np.unique(np.repeat(passage, many) * n + self.pivot_item[at], return_inverse=True)
+        reached = np.bincount(where, weights=self.pivot_weight[at], minlength=len(pairs)) >= self.need[pairs % n]
+        terms: dict[int, set[str]] = {}
+        passed: dict[tuple[int, int], bool] = {}
+        least = self.threshold - SLACK
+        for pair in pairs[reached].tolist():
+            passage, i = divmod(pair, n)
+            d = int(np.searchsorted(first, passage, "right")) - 1
+            if passage not in terms:
+                k = (passage - int(first[d])) * stride
+                terms[passage] = set(docs[d][k : k + 2 * stride])
+            here, block = terms[passage], (passage, i // BLOCK_ITEMS)
+            if block not in passed:
+                maxima = self.maxima[block[1]]
+                passed[block] = sum(maxima[w] for w in here if w in maxima) >= least
+            if passed[block]:
+                score = sum(v for w, v in self.weights[i].items() if w in here)
+                if score >= self.threshold and score > out[d].get(i, 0.0):
+                    out[d][i] = score
         return out
 
     def overlap(self, words: list[str], item: int) -> tuple[float, float, float]:
@@ -159,36 +192,42 @@ class Index:
         question, answer = self.parts[item]
         return share(self.words[item]), share(question), share(answer)
 
-    def find(self, text: str | None, threshold: float = RETRIEVE, overlap: float = OVERLAP) -> list[tuple[int, float, float, float, float]]:
-        """(item id, score, overlap, question overlap, answer overlap) of the items a text holds."""
-        if not text or not self.ids:
-            return []
-        words = tokens(text)
-        none = len(self.terms)
-        get = self.terms.get
-        found = np.array([get(w, none) for w in words], dtype=np.int64)
-        out = []
-        for i, s in sorted(self.candidates(found, threshold).items()):
-            whole, question, answer = self.overlap(words, i)
-            if whole >= overlap and question >= PART and answer >= PART:
-                out.append((self.ids[i], s, whole, question, answer))
+    def find(self, texts: list[str | None], overlap: float = OVERLAP) -> list[list[tuple[int, float, float, float, float]]]:
+        """(item id, score, overlap, question overlap, answer overlap) of the items that each text holds."""
+        out: list[list[tuple[int, float, float, float, float]]] = []
+        waiting: list[list[str]] = []
+
+        def settle() -> None:
+            for words, found in zip(waiting, self.candidates(waiting), strict=True):
+                checked = [(self.ids[i], s, *self.overlap(words, i)) for i, s in sorted(found.items())]
+                out.append([c for c in checked if c[2] >= overlap and c[3] >= PART and c[4] >= PART])
+            waiting.clear()
+
+        have = 0
+        for text in texts:
+            waiting.append(tokens(text))
+            have += len(waiting[-1])
+            if have >= TOGETHER:
+                settle()
+                have = 0
+        settle()
         return out
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+def indexes(items: DataFrame, threshold: float = RETRIEVE, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """The items in indexes of at most about INDEX_CHARS characters each."""
     items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     many = 1 + chars // INDEX_CHARS
     for k in range(many):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(many)) == k).collect()
-        yield Index([(r["id"], r["text"]) for r in rows])
+        yield Index([(r["id"], r["text"]) for r in rows], threshold)
 
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("score", "overlap", "question_overlap", "answer_overlap")]]))
 
 
-def with_items(docs: DataFrame, index: Index, text_col: str = "text", out: str = f"{OWN}found", threshold: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
+def with_items(docs: DataFrame, index: Index, text_col: str = "text", out: str = f"{OWN}found", overlap: float = OVERLAP) -> DataFrame:
     """``docs`` with an array of the index's items that each text holds."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = _FOUND.elementType.names
@@ -198,7 +237,7 @@ def with_items(docs: DataFrame, index: Index, text_col: str = "text", out: str =
         kind = pa.list_(pa.struct([(names[0], pa.int64()), *[(n, pa.float64()) for n in names[1:]]]))
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([[dict(zip(names, f, strict=True)) for f in own.find(t, threshold, overlap)] for t in texts_of(batch, text_col)], kind)]
+            return [pa.array([[dict(zip(names, f, strict=True)) for f in fs] for fs in own.find(texts_of(batch, text_col), overlap)], kind)]
 
         return work
 
@@ -209,8 +248,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): what each document holds."""
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for index in indexes(items):
-        pairs = with_items(thin, index, "text", f"{OWN}found", threshold, overlap).select("doc_id", F.inline(f"{OWN}found"))
+    for index in indexes(items, threshold):
+        pairs = with_items(thin, index, "text", f"{OWN}found", overlap).select("doc_id", F.inline(f"{OWN}found"))
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

@@ -1,0 +1,488 @@
+"""Each operator against a brute-force version, its edge cases, and its contract."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import components, decontam, langid, licenses, line_dedup, media, mixing, pii, sharding, simhash, toxicity
+from shelfmark.llm.common import OWN
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, count string, key string, host string, fp string"
+
+
+def docs(spark, texts, source="s", lang="en", ids=None):
+    rows = [(ids[k] if ids else k, t, lang, source, None, "x", "y", "z", "w") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", " \n\t ", "one", "One  two\nthree", "one two three four", "x" * 200_000, "same same same", "same same same", "日本語 テキスト", "%%% 123 ###", "a\x00b\x01c"]
+
+
+# --- line dedup
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rows = []
+    for k in range(60):
+        host = "big.example.org" if k % 3 else f"h{k % 4}.example.org"
+        rows.append((k, f"https://{host}/p/{k}", f"<title>T{k}</title><p>Own line {k}</p><script>no</script><p>Menu</p><div>often {k % 4}</div>"))
+    rows += [(100, None, "<p>Menu</p>"), (101, "bad url", None), (102, "HTTP://USER@Big.Example.org.:80/x", ""), (103, "https://big.example.org/z", "<p>Menu<br>Menu</p>&amp;&lt;b&gt; x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {r["page_id"]: r for r in line_dedup.dedup_lines(df, 0.2, 10).collect()}
+    assert len(got) == len(rows)
+    assert got[102]["host"] == "big.example.org" and got[100]["host"] == "" and got[101]["n_lines"] == 0
+    by = defaultdict(list)
+    for k, url, html in rows:
+        lines = [] if not html else [x for x in ([f"T{k}", f"Own line {k}", "Menu", f"often {k % 4}"] if k < 100 else {100: ["Menu"], 103: ["Menu", "Menu", "&<b> x"]}.get(k, []))]
+        by[got[k]["host"]].append((k, lines))
+    for pages in by.values():
+        on = Counter(x for _, lines in pages for x in set(lines))
+        for k, lines in pages:
+            kept = [x for x in lines if len(pages) < 10 or on[x] <= 0.2 * len(pages)]
+            assert got[k]["text"] == "\n".join(kept) and got[k]["n_lines"] == len(lines) and got[k]["n_dropped"] == len(lines) - len(kept)
+    assert "Menu" not in got[1]["text"]
+
+
+def test_line_dedup_plain_and_empty(spark):
+    df = spark.createDataFrame([(k, "https://a.org", f"top\nline {k}\n\n") for k in range(12)], "page_id long, url string, body string")
+    assert {r["text"] for r in line_dedup.dedup_lines(df, text_col="body", html=False).collect()} == {f"line {k}" for k in range(12)}
+    assert line_dedup.dedup_lines(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- media
+
+
+def test_media_contract(spark):
+    df = docs(spark, ODD)
+    got = {r["doc_id"]: r for r in media.of_texts(df).collect()}
+    assert len(got) == len(ODD)
+    for k, text in enumerate(ODD):
+        data = (text or "").encode()
+        payload = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        stored = media.encode_png(payload)
+        assert media.decode_png(stored) == payload
+        r = got[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), media.describe(payload))
+        assert r["digest_matches"]
+    assert media.of_texts(docs(spark, [])).count() == 0
+
+
+def test_png_is_read_by_others_and_damage_is_seen():
+    payload = bytes(range(192)) * 3
+    stored = media.encode_png(payload)
+    assert stored[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(stored[41 : 41 + int.from_bytes(stored[33:37], "big")])[1:193] == payload[:192]
+    with pytest.raises(ValueError):
+        media.decode_png(stored[:60] + bytes([stored[60] ^ 1]) + stored[61:])
+
+
+def test_interleaving_keeps_positions_and_captions(spark):
+    html = '<p>First &amp; text<figure><figcaption>Cap <b>one</b></figcaption><img alt="a" src="sha256:AA"><img src="sha256:bb"></figure><script><img src="sha256:no"></script>between<img src="http://x"><p>last<video><source src="sha256:aa"></video>'
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<img src='sha256:aa'>")], "doc_id long, html string")
+    parsed = media.parse(df)
+    items = {r["doc_id"]: [(i["pos"], i["kind"], i["text"], i["digest"], i["caption"]) for i in r["items"]] for r in parsed.collect()}
+    assert items[1] == [
+        (0, "text", "First & text", None, None), (1, "img", "a", "aa", "Cap one"), (2, "img", None, "bb", "Cap one"), (3, "text", "between", None, None),
+        (4, "img", None, None, None), (5, "text", "last", None, None), (6, "source", None, "aa", None),
+    ]
+    assert items[2] == items[3] == []
+    store = spark.createDataFrame([("aa", b"A"), ("aa", b"A"), ("cc", b"C")], "digest string, payload binary")
+    whole = {r["doc_id"]: [(i["pos"], i["media"] and i["media"]["payload"]) for i in r["items"]] for r in media.interleave(parsed, store, ["payload"]).collect()}
+    assert whole[1] == [(0, None), (1, b"A"), (2, None), (3, None), (4, None), (5, None), (6, b"A")] and whole[4] == [(0, b"A")]
+
+
+# --- mixing
+
+
+def _targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in full)
+        opened = sum(w[s] for s in names if s not in full)
+        out = {s: 3.0 * sizes[s] if s in full else (w[s] * rest / opened if opened else 0.0) for s in names}
+        more = {s for s in names if s not in full and out[s] > 3 * sizes[s]}
+        if not more:
+            return out
+        full |= more
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(3000):
+        source = ["a", "b", "c", None, "tiny", "z"][int(rng.choice(6, p=[0.5, 0.2, 0.1, 0.1, 0.01, 0.09]))]
+        rows.append((k, " ".join(["w"] * int(rng.integers(0, 60))), source))
+    rows += [(5000, None, "a"), (None, "x y", "b"), (None, "x y", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("n", F.lit(0))
+    got = mixing.mix(df).select("doc_id", "source", f"{OWN}size", f"{OWN}target", f"{OWN}copies", f"{OWN}source_size").collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    want = _targets(sizes)
+    taken = Counter()
+    for r in got:
+        assert 0 <= r[4] <= 3 and r[5] == sizes[r[1]] and r[3] == pytest.approx(want[r[1]])
+        taken[r[1]] += r[4] * r[2]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 180 + 0.02 * want[s]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).select("doc_id", "source", f"{OWN}size", f"{OWN}target", f"{OWN}copies", f"{OWN}source_size").collect()))
+    emitted = mixing.emit(mixing.mix(df), df.columns)
+    assert emitted.columns == df.columns and emitted.count() == sum(r[4] for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixing_without_words(spark):
+    got = mixing.mix(docs(spark, [None, "", "  "])).select(f"{OWN}target", f"{OWN}copies").collect()
+    assert [tuple(r) for r in got] == [(0.0, 0)] * 3
+
+
+# --- PII
+
+
+def test_pii_surrogates(spark):
+    texts = [
+        "Mail anna.b@mail5.example.com or ANNA.B@MAIL5.EXAMPLE.COM now",
+        "again anna.b@mail5.example.com, +1 (017) 555-1234 and 017-555-1234.",
+        "card 4111 1111 1111 1111 and 4111111111111111; 9807915762804490",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 10.2.3.4%%% 300.1.1.1',
+        "Mrs. Maria Schmidt met Mr. Schmidt; MR. SCHMIDT left. Пані Марія Коваль",
+        "123-45-6789 00:1A:2b:3C:4d:5E DE44500105175407324931 password='hunter22'",
+        "Clean text of 2024, version 4.0. Licensed under CC BY-NC 4.0.",
+        None, "", "same anna.b@mail5.example.com", "same anna.b@mail5.example.com",
+    ]
+    ids = [*range(9), 9, 9]
+    got = [r.asDict() for r in pii.pseudonymise(docs(spark, texts, ids=ids)).collect()]
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(texts)
+    joined = " ".join(r["text"] or "" for r in got)
+    for gone in ("anna", "ANNA", "555-1234", "4111 1111 1111 1111", "4111111111111111", "9807915762804490", "04dbebab", "10.2.3.4", "Schmidt", "SCHMIDT", "Коваль", "123-45-6789", "1A:2b", "500105175407324931", "hunter22"):
+        assert gone not in joined, gone
+    assert by[6]["text"] == texts[6] and by[6]["n_entities"] == 0 and by[7]["text"] is None and by[8]["text"] == ""
+    mail = by[9]["text"].removeprefix("same ")
+    assert by[0]["text"] == f"Mail {mail} or {mail.upper()} now" and mail.endswith(".example.com") and by[1]["text"].startswith(f"again {mail}, +1 (")
+    phone = by[1]["text"].split("+1 ")[1]
+    first, second = phone.removesuffix(".").split(" and ")
+    assert [c for c in first if c.isdigit()] == [c for c in second if c.isdigit()] and first[0] == "(" and second[3] == "-"
+    cards = by[2]["text"].removeprefix("card ").replace(";", " and").split(" and ")
+    assert cards[0].replace(" ", "") == cards[1] and cards[0][4] == " " and cards[1][0] == "4" and cards[2].strip()[0] == "9"
+    luhn = lambda s: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
+    assert luhn(cards[1])
+    assert "300.1.1.1" in by[3]["text"] and "%%%" in by[3]["text"]
+    names = by[4]["text"]
+    assert names.startswith("Mrs. ") and "Пані " in names
+    family = names.split()[2]
+    assert f"Mr. {family};" in names and f"MR. {family.upper()} left" in names
+    assert names.split()[1] in pii.GIVEN["latin_f"] and names.split("Пані ")[1].split()[0] in pii.GIVEN["cyrillic_f"]
+    assert by[3]["kinds"] == "hex,ip" and by[5]["kinds"] == "iban,mac,secret,ssn"
+
+
+def test_pii_collisions_keep_distinct(spark):
+    units = [f"given_{g}|{g}|name{k}" for k in range(40) for g in "mf"] + [f"ip|10.0.0.{k}" for k in range(200)] + [f"given_f|f|{n.lower()}" for n in pii.GIVEN["latin_f"]]
+    df = spark.createDataFrame([(u,) for u in units], "unit string")
+    got = pii.assign(df).collect()
+    assert {r["unit"] for r in got} == set(units)
+    for kind in ("given", "ip"):
+        new = [r["surrogate"] for r in got if r["unit"].startswith(kind)]
+        old = {u.rsplit("|", 1)[1] for u in units if u.startswith(kind)}
+        assert len(new) == len(set(new)) and not old & set(new)
+    assert {r["unit"]: r["surrogate"] for r in got} == {r["unit"]: r["surrogate"] for r in pii.assign(df.repartition(3)).collect()}
+
+
+def test_pii_empty(spark):
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, ["no entity"])).first()["text"] == "no entity"
+
+
+# --- SimHash
+
+
+def _components(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 6000 + k) for k in range(300)] + [(7, 7)]
+    want = _components(edges, {n for e in edges for n in e})
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[n] == want[n] for n in got)
+    assert {n for n in want if want[n] != n} <= set(got)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pigeonring_never_loses_a_link():
+    rng = np.random.default_rng(3)
+    for segments in (6, 7):
+        x = np.zeros(5000, dtype=np.uint64)
+        for k in range(len(x)):
+            for b in rng.choice(64, int(rng.integers(0, 6)), replace=False):
+                x[k] |= np.uint64(1) << np.uint64(b)
+        passed = simhash.pigeonring(x, 3, segments)
+        assert passed[np.bitwise_count(x) <= 3].all()
+        assert not simhash.pigeonring(np.array([2**64 - 1], dtype=np.uint64), 3, segments).any()
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_links_connect_what_brute_force_connects(block):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    values = [int(b) for b in base]
+    for b in base:
+        at = int(b)
+        for _ in range(40):
+            for bit in rng.choice(20, int(rng.integers(1, 4)), replace=False):
+                at ^= 1 << int(bit)
+            values.append(at)
+    v = np.unique(np.array(values, dtype=np.uint64))
+    pairs = [(a, b) for a in range(len(v)) for b in range(a) if int(v[a] ^ v[b]).bit_count() <= 3]
+    found = list(simhash.links(v, list(range(64)), simhash._Forest(len(v)), block=block))
+    assert all(int(v[a] ^ v[b]).bit_count() <= 3 for a, b in found)
+    assert _components(found, range(len(v))) == _components(pairs, range(len(v)))
+
+
+def _fingerprint(text):
+    import xxhash
+
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashed = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(25):
+        base = [words[i] for i in rng.integers(0, 400, 150)]
+        for _ in range(6):
+            copy = list(base)
+            for i in rng.integers(0, 150, int(rng.integers(0, 4))):
+                copy[i] = "new"
+            texts.append(" ".join(copy))
+    texts += [t for t in ODD if t is None or len(t) < 1000] + ["ÀB ÀB c", "Àb àb C"]
+    ids = [*range(len(texts) - 3), None, 0, 0]
+    df = docs(spark, texts, ids=ids)
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    fps = [_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    root = _components(pairs, range(len(fps)))
+    least = {}
+    for k, i in enumerate(ids):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    want = Counter((i, fps[k] - (1 << 64 if fps[k] >> 63 else 0), least.get(root[k])) for k, i in enumerate(ids))
+    assert Counter(got) == want
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == len(set(root.values()))
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+# --- language ID
+
+
+def test_language_features_match_plain_python():
+    texts = ["Ab c", "", "é1é", "a" * 5000, "x  y\n\nz"]
+    orders, starts = langid.grams(texts)
+    for k, text in enumerate(texts):
+        clean = " " + "".join(c.lower() if c.isalpha() else " " for c in text)
+        while "  " in clean:
+            clean = clean.replace("  ", " ")
+        end = starts[k + 1] if k + 1 < len(texts) else len(orders[0])
+        letters = clean.replace(" ", "")
+        assert (orders[0][starts[k] : end] < langid.BUCKETS).sum() == len(letters)
+        alone, _ = langid.grams([text])
+        for n in range(3):
+            a, b = orders[n][starts[k] : end], alone[n]
+            assert Counter(a[a < langid.BUCKETS].tolist()) == Counter(b[b < langid.BUCKETS].tolist())
+
+
+def test_language_identification(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.identify(df).join(df.select(F.col("doc_id").alias("i"), F.col("lang").alias("want")), F.col("doc_id") == F.col("i"))
+    share = got.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2").agg(F.avg((F.col("lang_pred") == F.col("want")).cast("int"))).first()[0]
+    assert share > 0.9
+    model = langid.train(df)
+    odd = langid.predict(docs(spark, ODD).withColumn("score", F.lit("clash")), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in odd] == [True, True, True, False, False, False, False, False, False, False, True, False]
+    assert all(r["score"] == 0 for r in odd if r["lang_pred"] == "und") and all(0 <= r["score"] <= 1 for r in odd)
+    assert odd[7]["lang_pred"] == odd[8]["lang_pred"] and odd[7]["score"] == pytest.approx(odd[8]["score"])
+    none = langid.identify(docs(spark, ["abc", None], lang=None)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
+    assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_language_score_does_not_depend_on_blocks(spark, monkeypatch):
+    counts = np.random.default_rng(1).integers(0, 9, (3, langid.BUCKETS)).astype(float)
+    model = langid.Model(["a", "b", "c"], counts)
+    texts = ["some words here", "x", "longer text " * 900, "", "end"]
+    whole = model.sums(texts)
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    assert np.allclose(whole, model.sums(texts), rtol=1e-4, atol=1e-2)
+    for k, t in enumerate(texts):
+        assert np.allclose(whole[k], model.sums([t])[0], rtol=1e-4, atol=1e-2)
+
+
+# --- licences
+
+
+def test_licences(spark):
+    rows = [
+        (1, "a/LICENSE", "Some words\nReleased under the MIT License.\n"), (2, "a/b/c/x.py", "no header"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0."),
+        (4, "a/b/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), (5, "z/x", "nothing of the kind"), (6, None, None), (7, "ab/x", ""), (8, "a/z", "x" * 100_000), (8, "a/z", "x" * 100_000),
+        (9, "q/license", "the license of the project and the version 3 of the file"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("dir", F.lit("clash")).withColumn("n", F.lit(0))
+    got = Counter((r["doc_id"], r["license"], r["basis"], r["from_directory"]) for r in licenses.inherit(licenses.scan(df)).collect())
+    assert got == Counter({(1, "MIT", "header", None): 1, (2, "GPL-3.0", "inherited", "a/b"): 1, (3, "Apache-2.0", "header", None): 1, (4, "GPL-3.0", "header", None): 1, (5, None, "none", None): 1, (6, None, "none", None): 1, (7, None, "none", None): 1, (8, "MIT", "inherited", "a"): 2, (9, None, "none", None): 1})
+    assert licenses.scan_documents(docs(spark, [])).count() == 0
+    assert licenses.scan_documents(docs(spark, ODD)).count() == len(ODD)
+
+
+def test_licence_prefilter_is_exact():
+    m = licenses.Matcher()
+    rng = np.random.default_rng(6)
+    words = sorted({w for t in m.terms for w in t.split()} | {"foo", "bar", "baz"})
+    lines = [" ".join(words[i] for i in rng.integers(0, len(words), int(rng.integers(1, 12)))) for _ in range(3000)]
+    lines += [" ".join(w for w in text.split() if rng.random() > 0.2) for _, text in licenses.TEMPLATES for _ in range(40)]
+    for line in lines:
+        if m.best(line)[0]:
+            assert any(w in line.lower() for w in m.telling)
+    for name, text in licenses.TEMPLATES:
+        assert m.scan(f"Prose before.\n// {text}\nafter")[0] == name
+
+
+# --- toxicity
+
+
+def test_toxicity(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score_documents(d.select("doc_id", "text"), labels).join(labels, "doc_id").collect()
+    right = sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in got)
+    assert right >= 0.9 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score_documents(docs(spark, []), labels).count() == 0
+    none = toxicity.score_documents(docs(spark, ODD), labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.0} and len(none) == len(ODD)
+
+
+def test_counterfactual_penalty_evens_identity_terms():
+    rng = np.random.default_rng(7)
+    rows, labels, pairs = [], [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        words = {f"w{i}" for i in rng.integers(0, 50, 8)} | ({"insult"} if toxic else set())
+        if rng.random() < (0.8 if toxic else 0.1):
+            words |= {"muslim"}
+        text = " ".join(sorted(words))
+        rows.append(np.array(toxicity.features(toxicity.words_of(text))))
+        labels.append(int(toxic))
+        pairs += [tuple(np.array(toxicity.features(s)) for s in p) for p in toxicity.counterfactuals(text)]
+
+    def gap(penalty):
+        w, b = toxicity.fit(rows, np.array(labels), pairs, penalty)
+        score = lambda t: 1 / (1 + np.exp(-(w[toxicity.features(toxicity.words_of(t))].sum() + b)))
+        assert score("insult w1 w2") > 0.5
+        return abs(score("w1 muslim w2") - score("w1 jewish w2"))
+
+    assert gap(20.0) < gap(0.0)
+    assert toxicity.counterfactuals("No terms here. A muslim and a jewish writer.")[0][1] >= {"jewish", "hindu"}
+
+
+# --- decontamination
+
+
+def _brute(docs_, items, threshold, overlap):
+    index = decontam.Index(items, threshold)
+    out = set()
+    for i, text in docs_:
+        words = decontam.tokens(text)
+        for k in range(len(index.ids)):
+            best = 0.0
+            for a in range(0, max(1, len(words) - index.stride), index.stride):
+                here = set(words[a : a + 2 * index.stride])
+                score = sum(float(index.impact[j]) for t in here if t in index.terms for j in range(index.begin[index.terms[t]], index.begin[index.terms[t] + 1]) if index.item[j] == k)
+                best = max(best, score)
+            if best >= threshold:
+                whole, q, a_ = index.overlap(words, k)
+                if whole >= overlap and q >= 0.5 and a_ >= 0.5:
+                    out.add((i, index.ids[k]))
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "overlap"), [(0.5, 0.8), (0.2, 0.1)])
+def test_decontamination_equals_brute_force(spark, threshold, overlap):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(120)]
+    say = lambda n: " ".join(vocabulary[i] for i in rng.zipf(1.4, n) % 120)
+    items = [(k, f"{say(12)}. {say(int(rng.integers(3, 12)))}.") for k in range(50)] + [(90, None), (91, ""), (92, "w1"), (93, items_ := "Same item text here now. And answer.")]
+    texts = []
+    for k in range(80):
+        body = say(150).split()
+        if k % 4 == 0:
+            body[40:40] = items[k % 50][1].upper().split()
+        if k % 4 == 1:
+            part = items[k % 50][1].split()
+            body[90:90] = part[: len(part) // 2]
+        texts.append(" ".join(body))
+    texts += [*[t for t in ODD if t is None or len(t) < 1000], items_, items_]
+    df = docs(spark, texts)
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("clash"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, table, threshold=threshold, overlap=overlap).collect()}
+    assert got == _brute(list(enumerate(texts)), items, threshold, overlap)
+    assert {(k, k % 50) for k in range(0, 80, 4)} <= got
+    if threshold == 0.5:
+        cleaned = decontam.clean(df, table)
+        assert cleaned.columns == df.columns and {r["doc_id"] for r in cleaned.collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_decontamination_over_several_indexes(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}. The answer is number{k}.") for k in range(30)], "item_id long, text string")
+    df = docs(spark, [f"before alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}. the answer is number{k} after" for k in range(0, 30, 3)])
+    one = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, items).collect()}
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 300)
+    many = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, items).collect()}
+    assert one == many == {(k, 3 * k) for k in range(10)}
+    assert decontam.contaminated(df, items.limit(0)).count() == 0 and decontam.clean(df, items.limit(0)).count() == df.count()
+
+
+# --- sharding
+
+
+def test_sharding(spark):
+    texts = [f"text {k}" for k in range(500)] + ODD
+    ids = [*range(500 + len(ODD) - 3), None, 7, 7]
+    df = docs(spark, texts, ids=ids).withColumn("shard", F.lit("clash"))
+    got = sharding.with_slots(sharding.assign(df)).collect()
+    assert len(got) == len(texts)
+    slots = defaultdict(list)
+    for r in got:
+        data = (r["text"] or "").encode()
+        assert r[f"{OWN}size"] == len(data) + 1 and r[f"{OWN}crc"] == zlib.crc32(data)
+        assert r[f"{OWN}grown"] in (r[f"{OWN}shard"], 16) and 0 <= r[f"{OWN}shard"] < 16
+        slots[r[f"{OWN}shard"]].append(r[f"{OWN}slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by_id = {r["doc_id"]: r[f"{OWN}shard"] for r in got}
+    more = {r["doc_id"]: r[f"{OWN}shard"] for r in sharding.assign(df, 17).collect()}
+    assert {r["doc_id"]: r[f"{OWN}grown"] for r in got} == more
+    assert 0 < sum(by_id[i] != more[i] for i in by_id) < 0.12 * len(by_id)
+    heavy = Counter(r[f"{OWN}shard"] for r in sharding.assign(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 2, [1.0, 3.0]).collect())
+    assert 0.7 < heavy[1] / 4000 < 0.8
+    assert sharding.with_slots(sharding.assign(df.limit(0))).count() == 0
