@@ -150,8 +150,8 @@ def resolve(refs: DataFrame, media: DataFrame, columns: list[str], id_col: str =
 def interleave(parsed: DataFrame, media: DataFrame, columns: list[str], id_col: str = "doc_id", items: str = "items") -> DataFrame:
     """Documents (unique ids) with their items, each reference with ``columns`` under ``media``."""
     flat = parsed.select(id_col, F.explode(items).alias("x"))
-    refs = resolve(references(parsed, id_col, items), media, columns, id_col).select(id_col, "pos", F.struct(*columns).alias("media"))
-    whole = flat.join(refs, (flat[id_col] == refs[id_col]) & (F.col("x.pos") == refs["pos"]), "left").select(flat[id_col], F.struct("x.*", "media").alias("x"))
+    refs = resolve(references(parsed, id_col, items), media, columns, id_col).select(F.col(id_col).alias(f"{OWN}id"), F.col("pos").alias(f"{OWN}pos"), F.struct(*columns).alias("media"))
+    whole = flat.join(refs, (F.col(id_col) == F.col(f"{OWN}id")) & (F.col("x.pos") == F.col(f"{OWN}pos")), "left").select(id_col, F.struct("x.*", "media").alias("x"))
     return whole.groupBy(id_col).agg(F.array_sort(F.collect_list("x")).alias(items))
 
 
