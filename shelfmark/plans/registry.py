@@ -1,10 +1,8 @@
-"""Name to query and to the SQL that gives the same rows."""
+"""Name to query, and to the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import content_queries  # noqa: F401  registers its queries
+from .catalogue_queries import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
