@@ -80,6 +80,7 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     two[end] = BUCKETS
     three[end] = BUCKETS
     three[:-1][end[1:]] = BUCKETS
+    three[starts[1:] - 1] = BUCKETS  # it would run into the next text
     return [one, two, three], starts
 
 

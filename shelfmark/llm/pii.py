@@ -52,10 +52,10 @@ SYLLABLES = {
 }
 ENDINGS = {"latin_m": "n", "latin_f": "lia", "latin_x": "r", "cyrillic_m": "н", "cyrillic_f": "ля", "cyrillic_x": "р"}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = "(?i:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
+_TITLE = "(?iu:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
 _NAME = r"\p{Lu}[\p{L}'’\-]*"
 
-EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]{0,255}@[\p{L}\p{N}\-]{1,255}(?:\.[\p{L}\p{N}\-]{1,255}){0,16}\.\p{L}{2,63}"
 HEX = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 MAC = r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:])"
@@ -103,7 +103,7 @@ def _script(name: Column) -> Column:
 
 
 def _gender(e: Column) -> Column:
-    title = lambda g: e.rlike("^(?i:" + "|".join(TITLES[g]) + r")\.?[ \t]")
+    title = lambda g: e.rlike("^(?iu:" + "|".join(TITLES[g]) + r")\.?[ \t]")
     first = F.lower(F.element_at(_names(e), 1))
     known = lambda g: first.isin([n.lower() for key, names in GIVEN.items() if key.endswith(g) for n in names])
     return F.when(title("f"), "f").when(title("m"), "m").when(known("_f"), "f").when(known("_m"), "m").otherwise("x")

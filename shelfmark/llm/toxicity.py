@@ -221,7 +221,7 @@ def predict(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 if got:
                     hit.update(got)
             z = bias + float(table[sorted(hit)].sum()) if hit else bias
-            return float(1.0 / (1.0 + np.exp(-max(-40.0, min(40.0, z)))))
+            return 0.0 if z == -np.inf else float(1.0 / (1.0 + np.exp(-max(-40.0, min(40.0, z)))))
 
         return lambda batch: [pa.array([score(t) for t in texts_of(batch, text_col)], pa.float64())]
 

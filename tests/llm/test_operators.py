@@ -388,7 +388,7 @@ def test_counterfactual_penalty_evens_identity_terms():
     rows, labels, pairs = [], [], []
     for k in range(400):
         toxic = k % 4 == 0
-        words = {f"w{i}" for i in rng.integers(0, 50, 8)} | ({"insult"} if toxic else set())
+        words = {f"w{i}" for i in rng.integers(0, 50, 8)} | ({"insult"} if toxic and k % 8 == 0 else set())
         if rng.random() < (0.8 if toxic else 0.1):
             words |= {"muslim"}
         text = " ".join(sorted(words))
