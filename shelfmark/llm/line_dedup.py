@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import OWN, checkpoint, heavy_keys, salted_join
 
-RATIO, MIN_PAGES = 0.2, 10
+RATIO, MIN_PAGES = 0.1, 20
 
 #: Fixed patterns, read alike by Java's and RE2's regular expressions.
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"

@@ -50,8 +50,8 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_plain_and_empty(spark):
-    df = spark.createDataFrame([(k, "https://a.org", f"top\nline {k}\n\n") for k in range(12)], "page_id long, url string, body string")
-    assert {r["text"] for r in line_dedup.dedup_lines(df, text_col="body", html=False).collect()} == {f"line {k}" for k in range(12)}
+    df = spark.createDataFrame([(k, "https://a.org", f"top\nline {k}\n\n") for k in range(24)], "page_id long, url string, body string")
+    assert {r["text"] for r in line_dedup.dedup_lines(df, text_col="body", html=False).collect()} == {f"line {k}" for k in range(24)}
     assert line_dedup.dedup_lines(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
