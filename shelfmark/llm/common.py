@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is called heavy from this share of the rows on, so at most this many keys are heavy.
 HEAVY_SHARE = 1024
+#: Bytes that an Arrow function gets at a time.
+SLICE = 4 << 20
 #: Prefix of the columns that operators add for themselves and drop again.
 OWN = "__sm_"
 
@@ -83,8 +85,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, s
 def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """Append columns that an Arrow function computes; every input column passes through.
 
-    ``compute`` is called once a task and returns the function for a batch. A field whose name
-    the input has already replaces that column.
+    ``compute`` is called once a task and returns the function for a batch. Batches are cut to about
+    SLICE bytes, so that a worker holds few texts as Python objects at a time. A field whose name the
+    input has already replaces that column.
     """
     new = {f.name for f in fields}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
@@ -92,8 +95,10 @@ def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE // max(SLICE, whole.nbytes))
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *made], names=[*batch.schema.names[:keep], *[f.name for f in fields]])
 

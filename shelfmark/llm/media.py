@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -220,20 +220,30 @@ def encode(payloads: DataFrame, payload_col: str = "payload", out: str = "media"
 _READ = [("payload_bytes", pa.int64(), T.LongType()), ("payload_sha256", pa.string(), T.StringType()), ("tail_crc32", pa.int64(), T.LongType()), ("media_bytes", pa.int64(), T.LongType()), ("media_sha256", pa.string(), T.StringType()), ("feature", pa.string(), T.StringType())]
 
 
-def decode(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Append what the stored bytes hold, read back: sizes, hashes and the feature."""
+def _read_back(stored: bytes) -> tuple:
+    payload = decode_png(stored)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload)
+
 
+def _descriptors(rows: DataFrame, column: str, stored: Callable[[bytes], bytes]) -> DataFrame:
     def compute():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            rows: list[tuple] = []
-            for stored in bytes_of(batch, media_col):
-                payload = decode_png(stored)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload)))
-            return [pa.array([r[k] for r in rows], kind) for k, (_, kind, _) in enumerate(_READ)]
+            found = [_read_back(stored(data)) for data in bytes_of(batch, column)]
+            return [pa.array([r[k] for r in found], kind) for k, (_, kind, _) in enumerate(_READ)]
 
         return work
 
-    return add_columns(media, [T.StructField(name, kind) for name, _, kind in _READ], compute)
+    return add_columns(rows, [T.StructField(name, kind) for name, _, kind in _READ], compute)
+
+
+def decode(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """Append what the stored bytes hold, read back: sizes, hashes and the feature."""
+    return _descriptors(media, media_col, lambda data: data)
+
+
+def encode_and_decode(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """``decode`` of ``encode`` in one pass, for stores whose payloads stay where they are."""
+    return _descriptors(payloads, payload_col, encode_png)
 
 
 def of_texts(docs: DataFrame) -> DataFrame:
@@ -244,7 +254,6 @@ def of_texts(docs: DataFrame) -> DataFrame:
     thin = docs.select("doc_id", "text").withColumn("payload", padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
     html = F.concat(F.lit("<article><p>"), escaped(F.col("text")), F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     refs = references(parse(thin.select("doc_id", html.alias("html")), "html"))
-    stored = encode(thin.select("digest", "payload")).drop("payload")
     names = [n for n, _, _ in _READ]
-    found = resolve(refs, decode(stored).drop("media"), names)
+    found = resolve(refs, encode_and_decode(thin.select("digest", "payload")).drop("payload"), names)
     return found.select("doc_id", F.regexp_extract("caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes"), *names, F.col("pos").alias("media_pos"), "caption", (F.col("digest") == F.col("payload_sha256")).alias("digest_matches"))
