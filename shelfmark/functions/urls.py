@@ -120,3 +120,23 @@ def host_in_domain(host: Column, domain: Column) -> Column:
 def cookie_expired(expires: Column, now: Column) -> Column:
     """Session cookies (no expiry, or one that isn't positive) never expire."""
     return F.coalesce((expires > 0) & (expires < now), F.lit(False))
+
+
+#: Extensions that a cover may keep, and those of the image types.
+COVER_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
+COVER_TYPES = (("image/jpeg", ".jpg"), ("image/png", ".png"), ("image/webp", ".webp"))
+
+
+def cover_extension(content_type: Column, url: Column) -> Column:
+    """By type, else by the URL's path; .jpg where neither tells."""
+    kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    own = F.lower(F.regexp_extract(F.coalesce(path_of(url), url), r"(\.[^./]*)$", 1))
+    out = F.when(own.isin(*COVER_EXTENSIONS), own).otherwise(".jpg")
+    for name, extension in reversed(COVER_TYPES):
+        out = F.when(kind == name, extension).otherwise(out)
+    return out
+
+
+def playlist_url(key: Column, base: str = BASE) -> Column:
+    """Where the playlist of a key (<id>-<slug>) is; null without one."""
+    return F.concat(F.lit(base.rstrip("/") + "/m33u2/"), _encoded(key), F.lit(".m3u"))

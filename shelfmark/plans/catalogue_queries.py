@@ -231,7 +231,7 @@ def merge_link(v: Views) -> DataFrame:
 
 
 @query(
-    """, applied AS (SELECT l_partkey AS k, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_linenumber % 2 = 0) AS taken, arg_min(l_shipmode, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_linenumber % 3 = 0) AS kept, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS last_flag
+    """, applied AS (SELECT l_partkey AS k, arg_max(l_extendedprice, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_linenumber % 2 = 0) AS taken, arg_min(l_shipmode, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_linenumber % 3 = 0) AS kept, arg_max(l_returnflag, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) AS last_flag
       FROM (SELECT *, l_linestatus || l_suppkey AS l_shipmode FROM lineitem) GROUP BY l_partkey)
     SELECT p_partkey AS source_id, coalesce(taken, CASE WHEN p_size % 2 = 0 THEN p_retailprice END) AS taken, coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, kept) AS kept, coalesce(last_flag, 'old') AS last_flag FROM part LEFT JOIN applied ON p_partkey = k"""
 )
@@ -239,7 +239,7 @@ def merge_sequence(v: Views) -> DataFrame:
     """A batch with several rows a key, applied in arrival order."""
     old = v.table("part").select(F.col("p_partkey").alias("source_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).alias("taken"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("kept"), F.lit("old").alias("last_flag"))
     n = F.col("l_linenumber")
-    batch = v.table("lineitem").select(F.col("l_partkey").alias("source_id"), F.when(n % 2 == 0, F.col("l_extendedprice")).alias("taken"), F.when(n % 3 == 0, F.concat("l_linestatus", F.col("l_suppkey").cast("string"))).alias("kept"), F.col("l_returnflag").alias("last_flag"), (F.col("l_orderkey") * 10 + n).alias("seq"))
+    batch = v.table("lineitem").select(F.col("l_partkey").alias("source_id"), F.when(n % 2 == 0, F.col("l_extendedprice")).alias("taken"), F.when(n % 3 == 0, F.concat("l_linestatus", F.col("l_suppkey").cast("string"))).alias("kept"), F.col("l_returnflag").alias("last_flag"), ((F.col("l_orderkey") * 10 + n) * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("seq"))
     return merge.merge(old, batch, ["source_id"], {"taken": merge.TAKE, "kept": merge.KEEP, "last_flag": merge.OVERWRITE}, "seq")
 
 
