@@ -1,12 +1,13 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A logistic model over hashed features of a text: its distinct words (runs of letters, lower case)
-and their first three to six letters. Besides the labels, training sees pairs of labelled sentences with
+and their first four to six letters. Besides the labels, training sees pairs of labelled sentences with
 identity terms and the same sentences with the terms swapped for others of their group; the squared
 difference of the two scores is penalised, so that terms that name a group don't move the score.
-An L1 penalty leaves few features with a weight.
+Features whose share differs between the labels by less than LEAST_Z standard errors take no part; an
+L1 penalty leaves few of the others with a weight.
 
-Training rows are bounded: about ``rows`` labelled rows (default 24,000), taken by a hash of id and
+Training rows are bounded: about ``rows`` labelled rows (default 12,000), taken by a hash of id and
 text at a rate that the count gives. Executors extract features (a few hundred numbers a row); the
 driver fits them with proximal gradient steps. The weights (2^20 float32, mostly zero) are broadcast.
 
@@ -30,12 +31,13 @@ from pyspark.sql import types as T
 from .common import add_columns, crc_of_id, texts_of
 
 BUCKETS = 1 << 20
-ROWS = 24_000
+ROWS = 12_000
 #: Weight of the counterfactual penalty, of L1, of L2, and gradient steps.
-PAIRS, L1, L2, STEPS = 1.0, 3e-4, 1e-6, 400
+PAIRS, L1, L2, STEPS = 1.0, 3e-4, 1e-6, 200
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
+LEAST_Z = 3.0
 
 #: Identity terms in groups within which they are swapped.
 IDENTITY_TERMS = (
@@ -91,16 +93,15 @@ def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
 
 
 class Rows:
-    """Sparse binary rows, only over columns that occur in them."""
+    """Sparse binary rows, only over the given columns."""
 
     def __init__(self, rows: list[np.ndarray], columns: np.ndarray):
         self.n = len(rows)
-        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.searchsorted(columns, flat)
-        known = self.col < len(columns)
-        known[known] = columns[self.col[known]] == flat[known]
-        self.row, self.col = self.row[known], self.col[known]
+        flat, row = _flat(rows)
+        place = np.searchsorted(columns, flat).astype(np.int32)
+        known = place < len(columns)
+        known[known] = columns[place[known]] == flat[known]
+        self.row, self.col = row[known], place[known]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -109,6 +110,22 @@ class Rows:
         return np.bincount(self.col, weights=r[self.row], minlength=size)
 
 
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All features of the rows, and which row each is of."""
+    return np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+
+
+def telling(rows: list[np.ndarray], labels: np.ndarray, least_z: float = LEAST_Z) -> np.ndarray:
+    """Features whose share among the rows of either label differs by at least ``least_z`` standard errors."""
+    flat, row = _flat(rows)
+    positive = labels[row] > 0
+    ones, zeros = np.bincount(flat[positive], minlength=BUCKETS), np.bincount(flat[~positive], minlength=BUCKETS)
+    n1, n0 = int((labels > 0).sum()), int((labels <= 0).sum())
+    share = (ones + zeros) / (n1 + n0)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    return np.nonzero((np.abs(ones / n1 - zeros / n0) >= least_z * error) & (ones + zeros > 0))[0].astype(np.int32)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
@@ -119,10 +136,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     n = len(rows)
     if not n:
         return weights, -np.inf
-    found, many = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), return_counts=True)
-    columns = found[many >= (2 if n >= 50 else 1)]
     if len(set(labels.tolist())) < 2:
         return weights, 40.0 if labels[0] else -40.0
+    columns = telling(rows, labels)
     x, a, b = Rows(rows, columns), Rows([p[0] for p in pairs], columns), Rows([p[1] for p in pairs], columns)
     size, y = len(columns), labels.astype(np.float64)
     # rows of both labels weigh the same in sum
@@ -190,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = joined.mapInArrow(extract, "y int, x binary, other binary").toArrow()
     y, x, other = (got.column(k).to_pylist() for k in range(3))
-    numbers = lambda b: np.frombuffer(b, dtype=np.int32).astype(np.int64)
+    numbers = lambda b: np.frombuffer(b, dtype=np.int32)
     # in an order of their own, so that sums don't depend on which task ended first
     rows_ = sorted(((b, label) for label, b, o in zip(y, x, other, strict=True) if o is None and label is not None), key=lambda r: (r[0], r[1]))
     pairs = sorted((b, o) for b, o in zip(x, other, strict=True) if o is not None)
