@@ -148,8 +148,7 @@ _RAW_BOOK = T.StructType(
 def _raw_title(root: Node) -> str:
     site, full = _meta(root, ("property", "og:site_name")), _meta(root, ("property", "og:title"), ("property", "twitter:title"))
     if full:
-        title = full.removesuffix(f" - {site}") if site else full
-        title = re.sub(r"\s*-\s*АудіоКниги Українською$", "", title, flags=re.IGNORECASE).strip()
+        title = (full.removesuffix(f" - {site}") if site else full).strip()
         if title:
             return title
     heading = root.first(lambda n: n.tag == "h1")

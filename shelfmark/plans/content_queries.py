@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import matching, pages, playlist, sidecar, telemetry
+from ..operators import matching, pages, playlist, sidecar, sync, telemetry
 from ..sources import library
 from .catalogue_queries import query
 from .testviews import Views
@@ -623,3 +623,37 @@ def cookie_counts(v: Views) -> DataFrame:
 @query("SELECT user_id AS origin, event_id AS id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type = 'error'", views=False)
 def challenge_runs(v: Views) -> DataFrame:
     return v.fetch_log.filter("challenge").select("origin", "id", F.lag("event_type").over(Window.partitionBy("origin").orderBy("id")).alias("before"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '.png' WHEN page_id % 4 = 1 THEN '.webp' ELSE '.jpg' END AS extension FROM pages", views=False)
+def cover_extensions(v: Views) -> DataFrame:
+    k = F.col("page_id") % 4
+    kind = F.when(k == 0, "image/png; charset=x").when(k == 1, "text/html")
+    url = F.concat(F.lit("https://cdn.example.org/c"), F.col("page_id").cast("string"), F.when(k == 1, ".WEBP?x=.png").otherwise(".gif"))
+    return v.table("pages").select("page_id", urls.cover_extension(kind, url).alias("extension"))
+
+
+@query("SELECT o_orderkey AS source_id, array_to_string(list_filter([c_name, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 7) || ' - ' ELSE '' END || 'T' || o_orderkey], lambda x: x <> ''), '/') AS folder FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate, o_orderkey LIMIT 50) JOIN customer ON o_custkey = c_custkey", views=False)
+def prepared_folders(v: Views) -> DataFrame:
+    """Where the oldest accepted entries of the queue are laid out."""
+    from ..operators.queue import prepare_batch
+
+    k = F.col("source_id")
+    batch = prepare_batch(v.queue)
+    books = batch.join(v.table("customer"), F.col("custkey") == F.col("c_custkey")).select("source_id", F.concat(F.lit("T"), k.cast("string")).alias("title"), F.array("c_name").alias("authors"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("series_name"), F.when(k % 3 == 0, (k % 7).cast("string")).alias("series_seq"))
+    return sync.prepared(batch.select("source_id"), books)
+
+
+@query("SELECT event_id AS id, CASE event_type WHEN 'error' THEN least(greatest(CAST(floor(value * 10000) AS BIGINT) + 1000, 5000), 900000) END AS retry_ms FROM events", views=False)
+def retry_delays(v: Views) -> DataFrame:
+    return v.table("events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", telemetry.retry_delay_ms(F.floor(F.col("value") * 10000).cast("long"))).alias("retry_ms"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '#EXTM3U ' || s_name END AS body FROM supplier", views=False)
+def har_playlists(v: Views) -> DataFrame:
+    """The playlist among the responses of a HAR log, base64 or plain."""
+    text = F.concat(F.lit("#EXTM3U "), "s_name")
+    entry = F.concat(F.lit('{"request":{"url":"https://x/l.m3u"},"response":{"status":200,"content":{"encoding":"base64","text":"'), F.base64(text.cast("binary")), F.lit('"}}}'))
+    other = F.lit('{"request":{"url":"https://x/p.html"},"response":{"status":200,"content":{"text":"<html>"}}}')
+    har = F.concat(F.lit('{"log":{"entries":['), other, F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(","), entry)).otherwise(""), F.lit("]}}"))
+    return v.table("supplier").select(F.col("s_suppkey").alias("id"), playlist.playlist_from_har(har).alias("body"))
