@@ -37,32 +37,40 @@ def dice_pairs(names: DataFrame, id_col: str, text_col: str, threshold: float) -
     return shared.select("a", "b", (F.lit(2.0) * F.col("shared") / (F.col("na") + F.col("nb"))).alias("dice")).filter(F.col("dice") >= threshold)
 
 
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) pairs of distinct needles and texts where the text contains the needle.
+
+    Equi-joins only: a needle of four or more characters meets the suffixes of texts that begin with its
+    first four, a shorter one meets the pieces of its own length. Empty needles lie in nothing.
+    """
+    long, short = needles.filter("length(needle) >= 4").withColumn("start", F.substring("needle", 1, 4)), needles.filter("length(needle) between 1 and 3")
+    places = F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1)))
+    suffixes = texts.select("text", F.explode(F.transform(places, lambda i: F.substr("text", i, F.length("text")))).alias("tail")).withColumn("start", F.substring("tail", 1, 4))
+    found = long.join(suffixes, "start").filter("startswith(tail, needle)").select("needle", "text").distinct()
+    pieces = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    small = texts.select("text", F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("needle"))
+    return found.unionByName(short.select("needle").join(small, "needle").select("needle", "text"))
+
+
 def candidates(items: DataFrame, books: DataFrame) -> DataFrame:
     """(item_id, source_id): fetched books that share title words or authors with an item.
 
     Books whose title contains one of an item's first four words of four or more letters (80 a word)
     and books of its first two authors (120 an author); caps are by source_id. Items have item_id,
-    title and authors; books source_id, title, authors and detail_state. A word joins the titles'
-    distinct words first, so titles are searched once a word, not once an item.
+    title and authors; books source_id, title, authors and detail_state. Words and names are compared
+    as distinct texts, not once a book or item.
     """
     ready = books.filter(F.col("detail_state") == "ok")
     tokens = items.select("item_id", F.explode(title_tokens(F.col("title"))).alias("token"))
-    words = ready.select("source_id", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("word <> ''")
-    lexicon = words.select("word").distinct()
-    # a token lies in a title if it lies in one of its words: words become their own suffixes' prefixes
-    pieces = lexicon.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 3, F.lit(1))), lambda i: F.substr("word", i, F.length("word")))).alias("tail")).withColumn("start", F.substring("tail", 1, 4))
-    wanted = tokens.select("token").distinct().withColumn("start", F.substring("token", 1, 4))
-    holds = wanted.join(pieces, "start").filter("startswith(tail, token)").select("token", "word").distinct()
-    by_word = holds.join(words, "word").select("token", "source_id").distinct()
+    words = ready.select("source_id", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("text")).filter("text <> ''")
+    holds = containing(tokens.select(F.col("token").alias("needle")).distinct(), words.select("text").distinct())
+    by_word = holds.join(words, "text").select(F.col("needle").alias("token"), "source_id").distinct()
     capped = by_word.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("source_id"))).filter(F.col("n") <= TITLE_CAP)
     by_title = tokens.join(capped, "token").select("item_id", "source_id")
-    people = items.select("item_id", F.explode(F.slice("authors", 1, 2)).alias("author")).withColumn("needle", F.lower("author"))
-    written = ready.select("source_id", F.explode("authors").alias("name")).withColumn("name", F.lower("name"))
-    distinct_names = written.select("name").distinct()
-    needles = people.select("needle").filter("needle <> ''").distinct()
-    # names are few against books: which names contain a needle is settled on distinct names
-    held = needles.join(distinct_names, F.col("name").contains(F.col("needle")))
-    by_name = held.join(written, "name").select("needle", "source_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy("source_id"))).filter(F.col("n") <= AUTHOR_CAP)
+    people = items.select("item_id", F.explode(F.slice("authors", 1, 2)).alias("author")).select("item_id", F.lower("author").alias("needle"))
+    written = ready.select("source_id", F.explode("authors").alias("name")).select("source_id", F.lower("name").alias("text"))
+    held = containing(people.select("needle").distinct(), written.select("text").distinct())
+    by_name = held.join(written, "text").select("needle", "source_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy("source_id"))).filter(F.col("n") <= AUTHOR_CAP)
     return by_title.unionByName(people.join(by_name, "needle").select("item_id", "source_id")).distinct()
 
 

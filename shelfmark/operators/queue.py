@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import merge as m
 
+#: Buckets that number new entries; bounds the table of their starts.
+BUCKETS = 1024
+
 
 def reasons_by_source(winners: DataFrame) -> DataFrame:
     """(source_id, reason): the distinct reasons of a book, sorted, in one text."""
@@ -42,10 +45,14 @@ def transition(queue: DataFrame, wanted: DataFrame, links: DataFrame, as_of: Col
         F.coalesce("created_at", as_of).alias("created_at"),
         F.when(new, as_of).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    # ids: a running number over the new rows only, which one refresh adds
+    # ids run on from the greatest one: inside hash buckets, after the counts of the buckets before
     top = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    added = changed.filter("id is null").withColumn("n", F.row_number().over(Window.orderBy("source_id"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n")).drop("top", "n")
-    return changed.filter("id is not null").unionByName(added.select(*changed.columns))
+    added = changed.filter("id is null").withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)))
+    counts = added.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).crossJoin(top)
+    placed = added.join(F.broadcast(starts), "bucket").withColumn("id", F.col("top") + F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("source_id")))
+    return changed.filter("id is not null").unionByName(placed.select(*changed.columns))
 
 
 def counters(wanted: DataFrame, queue: DataFrame, links: DataFrame) -> DataFrame:

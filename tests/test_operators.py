@@ -140,6 +140,13 @@ def test_dice_pairs_equal_brute_force(spark):
         assert got == pytest.approx(want)
 
 
+def test_containing_equals_brute_force(spark):
+    needles, texts = ["", "a", "ab", "abc", "abcd", "bcda", "zz", "dab", "abcdabcd"], ["", "a", "abc", "abcdabcd", "dabc", "xbcdax", "é"]
+    one = spark.createDataFrame([(n,) for n in needles], "needle string")
+    got = rows(matching.containing(one, spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert sorted(got) == sorted((n, t) for n in needles for t in texts if n and n in t)
+
+
 def test_cascade(spark):
     books = spark.createDataFrame([(1, "Dune Messiah", ["Frank Herbert"], "ok"), (2, "Solaris", ["Lem"], "ok"), (3, "Hidden Thing", [], "pending")], "source_id long, title string, authors array<string>, detail_state string")
     items = spark.createDataFrame([("a", "anything", [], []), ("b", "x", [], ["other", " SHELF:2 "]), ("c", "dune messiah", ["frank herbert"], ["shelf:9"]), ("d", "Hidden Thing", [], []), ("e", "", [], [])], "item_id string, title string, authors array<string>, tags array<string>")
