@@ -7,7 +7,7 @@ numpy, some hundred thousand n-grams at a time whatever a text's length is.
 
 Training rows are bounded: about ``per_lang`` rows of each language (default 6000), taken by a hash
 of id and text with a rate that the counts give. Languages of the matrix are those of the training
-rows, all with the same prior.
+rows, all with the same prior; more than MOST_LANGS (1000) of them raise an error.
 
 A text that is null or has no letter gets ``und`` with score 0, as does every text where there was
 no row to learn from. Ties go to the language that is first by code point. Whole texts are scored.
@@ -28,6 +28,8 @@ from .common import OWN, add_columns, crc_of_id, texts_of
 
 BUCKETS = 1 << 16
 PER_LANG = 6000
+#: More languages than this raise an error; it bounds the matrix and the table of rates.
+MOST_LANGS = 1000
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 #: n-grams scored at a time, over all languages of the matrix.
@@ -134,8 +136,10 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """A model of the rows with a language and a text."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").count().withColumnsRenamed({"lang": "of", "count": "n"})
+    if sizes.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
     rate = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
-    picked = rows.join(sizes.select("of", rate.alias("rate")), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("rate") * float(1 << 30)).select("lang", "text")
+    picked = rows.join(F.broadcast(sizes.select("of", rate.alias("rate"))), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("rate") * float(1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
