@@ -15,8 +15,9 @@ threshold, so every passage and item at or above it is found.
 
 Verification: an item found is split into a question (all sentences but the last) and an answer
 (the last sentence, or the last quarter of a single one). The document is contaminated by it if it
-holds at least ``overlap`` (0.8) of the item's five-word shingles, with at least half of the
-question's and half of the answer's. Parts of fewer than five words take shingles of their length.
+holds at least ``overlap`` of the item's five-word shingles and either at least ``OVERLAP`` (0.8) of them,
+which no edit of a short answer undoes, or at least half of the question's and half of the answer's. So the
+parts only decide below 0.8. Parts of fewer than five words take shingles of their length.
 
 The index is broadcast. Its size is checked: items are dealt over as many indexes as needed for
 ``INDEX_CHARS`` characters each, and the documents are read once per index. Statistics (document
@@ -200,7 +201,7 @@ class Index:
         def settle() -> None:
             for words, found in zip(waiting, self.candidates(waiting), strict=True):
                 checked = [(self.ids[i], s, *self.overlap(words, i)) for i, s in sorted(found.items())]
-                out.append([c for c in checked if c[2] >= overlap and c[3] >= PART and c[4] >= PART])
+                out.append([c for c in checked if c[2] >= overlap and (c[2] >= OVERLAP or (c[3] >= PART and c[4] >= PART))])
             waiting.clear()
 
         have = 0
