@@ -1,10 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Scan: a file's headers are its lines and their sentences, and a licence file is also read as a whole. Each becomes a
-sparse TF-IDF vector over the templates' words and word pairs, and the licence is that of the
+Scan: a file's headers are its lines and their sentences, the runs of adjacent lines and sentences of a
+paragraph (headers are wrapped; comment marks are no words, and a line without a word ends a paragraph), and
+every paragraph; a licence file is also read as a whole. Runs have at most ``RUN`` times the words of the
+longest template. Each becomes a sparse TF-IDF vector over the templates' words and word pairs, and the licence is that of the
 template with the highest cosine of at least ``threshold``. A line is only scored if it has one of
 the telling words, without which no vector reaches the threshold: what is left of a template's vector
-without its telling words is too short. That is exact, so no line that would match is passed over.
+without its telling words is too short. A paragraph's runs are only scored if some template's vector, cut down to the terms
+that the paragraph has, is long enough. Both are exact, so nothing that would match is passed over.
 
 Inheritance: licence files (by name) give their directory's licence. Each directory that holds files is
 joined to its ancestors on the path, itself included, and takes the licence of the nearest one that
@@ -29,9 +32,12 @@ from pyspark.sql import types as T
 
 from .common import OWN, add_columns, checkpoint, heavy_keys, salted_join, texts_of
 
-THRESHOLD = 0.7
+THRESHOLD, RUN = 0.7, 4
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?").findall
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+_LINE = re.compile(r"\r\n?|\n")
+#: Comment marks that are made of letters; all others are no words.
+_MARK = re.compile(r"\s*(?:rem|dnl)\b")
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:[.\-][^/]*)?$"
 
 #: Words that tell nothing of a licence by themselves.
@@ -49,6 +55,11 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
@@ -67,6 +78,19 @@ def terms(text: str) -> list[str]:
     return [*(w for w in words if w not in COMMON), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in COMMON and b in COMMON))]
 
 
+def paragraphs(text: str) -> set[tuple[str, ...]]:
+    """The different paragraphs of two or more lines; a line without a word, such as a bare comment mark, ends one."""
+    out, lines = set(), []
+    for line in [*_LINE.split(text), ""]:
+        if _WORDS(_MARK.sub("", line, count=1)):
+            lines.append(line)
+        else:
+            if len(lines) > 1:
+                out.add(tuple(lines))
+            lines = []
+    return out
+
+
 class Matcher:
     """Unit vectors of the templates and what a text needs to match one."""
 
@@ -88,6 +112,10 @@ class Matcher:
             for t, n in c.items():
                 self.matrix[k, self.terms[t]] = n * self.idf[self.terms[t]]
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
+        #: what one more of a term adds to the products with the templates
+        self.adds = np.ascontiguousarray((self.matrix * self.idf).T)
+        self.words = frozenset(w for t in self.terms for w in t.split())
+        self.longest = RUN * max(len(_WORDS(text.lower())) for _, text in ordered)
         #: words; every text that matches has one of them
         self.telling: list[str] = []
         for row in self.matrix:
@@ -120,8 +148,41 @@ class Matcher:
         k = int(cosines.argmax())
         return (self.names[k], float(cosines[k])) if cosines[k] >= self.threshold else (None, 0.0)
 
+    def wrapped(self, lines: list[str]) -> tuple[str | None, float]:
+        """The best licence of a paragraph and of the runs of its adjacent lines and sentences, and the cosine."""
+        pieces = [w for line in lines for s in _SENTENCE.split(_MARK.sub("", line, count=1)) if (w := _WORDS(s))]
+        whole = " ".join(w for piece in pieces for w in piece)
+        held = sorted({self.terms[t] for t in terms(whole) if t in self.terms})
+        if not held or (self.matrix[:, held] ** 2).sum(axis=1).max() < (self.threshold - 1e-9) ** 2:
+            return None, 0.0
+        name, score = self.best(whole)
+        best = (-score, name or "")
+        for a in range(len(pieces)):
+            if self.words.isdisjoint(pieces[a]):  # a run is no worse without it
+                continue
+            products, square, length, last = np.zeros(len(self.names)), 0.0, 0, None
+            counts: dict[str, int] = {}
+            for b in range(a, len(pieces)):
+                length += len(pieces[b])
+                if length > self.longest:
+                    break
+                for w in pieces[b]:
+                    for t in ([w] if w not in COMMON else []) + ([f"{last} {w}"] if last and not (last in COMMON and w in COMMON) else []):
+                        k, n = self.terms.get(t), counts.get(t, 0)
+                        counts[t] = n + 1
+                        square += (2 * n + 1) * (self.rare if k is None else self.idf[k]) ** 2
+                        if k is not None:
+                            products += self.adds[k]
+                    last = w
+                if b > a and square:
+                    k = int(products.argmax())
+                    cosine = float(products[k] / np.sqrt(square))
+                    if cosine >= self.threshold:
+                        best = min(best, (-cosine, self.names[k]))
+        return (best[1], -best[0]) if best[1] else (None, 0.0)
+
     def scan(self, text: str | None, whole: bool = False) -> tuple[str | None, float]:
-        """The best licence of a text's lines, and of the whole text if it is a licence file."""
+        """The best licence of a text's lines and paragraphs, and of the whole text if it is a licence file."""
         if not text:
             return None, 0.0
         low = text.lower()
@@ -131,6 +192,7 @@ class Matcher:
         lines = {line for line in low.split("\n") if any(w in line for w in telling)}
         lines |= {s for line in lines for s in _SENTENCE.split(line) if any(w in s for w in telling)}
         found = [self.best(line) for line in [*lines, *([text] if whole else [])]]
+        found += [self.wrapped(list(p)) for p in paragraphs(low) if any(w in line for w in telling for line in p)]
         hits = [(-score, name) for name, score in found if name]
         if not hits:
             return None, 0.0

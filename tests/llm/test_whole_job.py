@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontam
+import textwrap
+
+import pytest
+
+from shelfmark.llm import decontam, licenses
 
 
 def test_near_copies_with_a_spoilt_short_answer_are_found():
@@ -17,3 +21,32 @@ def test_near_copies_with_a_spoilt_short_answer_are_found():
             assert index.ids[k] in {i for i, *_ in found}
     assert checked == 20 * 38
     assert index.find([" ".join(index.words[0][:20])]) == [[]]
+
+
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+HEADERS = {
+    "GPL-3.0": GNU.format("", "3"), "GPL-2.0": GNU.format("", "2"), "LGPL-3.0": GNU.format("Lesser ", "3"), "LGPL-2.1": GNU.format("Lesser ", "2.1"), "AGPL-3.0": GNU.format("Affero ", "3"),
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions:",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HEADERS))
+def test_wrapped_headers_are_joined(name):
+    matcher = licenses.Matcher()
+    for width in (30, 50, 60, 72, 90):
+        for mark in ("// ", " * ", "# ", "rem ", ""):
+            header = "\n".join(mark + x for x in textwrap.wrap(HEADERS[name], width))
+            found, score = matcher.scan(f"#!/bin/sh\n{mark}Copyright (C) 2020 Some Author\n{header}\nimport os\n\nx = 1\n")
+            assert found == name and score > 0.85, (width, mark, score)
+
+
+def test_paragraphs_are_not_joined_and_runs_score_like_texts():
+    matcher = licenses.Matcher()
+    assert matcher.scan("Released under\n#\n# the MIT License.\n") == matcher.scan("the MIT License.")
+    lines = ["other text", "licensed under the apache", "license, version 2.0", "words at the end"]
+    runs = [" ".join(lines[a:b]) for a in range(4) for b in range(a + 2, 5)]
+    want = min((-s, n) for n, s in map(matcher.best, runs) if n)
+    name, score = matcher.wrapped(lines)
+    assert name == want[1] and abs(score + want[0]) < 1e-9
