@@ -2,16 +2,16 @@
 
 Pages are grouped by host (lower case, without user, port and final dots). A line's ratio is the
 number of the host's pages that contain it over the host's pages; lines whose ratio exceeds
-``ratio`` are boilerplate of that host and are dropped from its pages. Hosts with fewer than
-``min_pages`` pages keep every line, as a ratio means nothing there.
+``ratio`` are boilerplate of that host and are dropped from its pages. A line on fewer than ``min_on``
+pages isn't told from chance and stays: every line of a site of five pages is on a fifth of them. No
+site is exempt for its size, unless ``min_pages`` asks for it.
 
 Lines are the text between block tags of the HTML (or lines of plain text), with tags, comments,
 scripts and styles removed, the common entities read, and white space squeezed. Empty lines don't
 count and aren't kept.
 
 Scale: lines are counted under 128-bit hashes, once a page, with partial sums before the shuffle. A
-line must be on more than ratio * min_pages pages to be dropped anywhere, so rarer ones leave before
-any join. A host's boilerplate lines number at most its mean lines a page over ``ratio``, however
+line must be on ``min_on`` pages to be dropped anywhere, so rarer ones leave before any join. A host's boilerplate lines number at most its mean lines a page over ``ratio``, however
 many pages it has, so they travel as one array a host. Heavy hosts are dealt out over salts.
 
 A null or unreadable URL belongs to the host '' (one site of its own). Null HTML has no line.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import OWN, checkpoint, heavy_keys, salted_join
 
-RATIO, MIN_PAGES = 0.1, 20
+RATIO, MIN_ON = 0.1, 3
+#: Of the SQL only: it still keeps every line of a smaller host.
+MIN_PAGES = 20
 
 #: Fixed patterns, read alike by Java's and RE2's regular expressions.
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -60,22 +62,22 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(lined: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host: str = "host", lines: str = "lines") -> tuple[DataFrame, DataFrame]:
+def boilerplate(lined: DataFrame, ratio: float = RATIO, min_pages: int = 0, host: str = "host", lines: str = "lines", min_on: int = MIN_ON) -> tuple[DataFrame, DataFrame]:
     """(host, __sm_drop array of line hashes) and (host, n pages), both with a row per host."""
     pages = checkpoint(lined.groupBy(host).agg(F.count(F.lit(1)).alias("n")))
     once = lined.select(host, F.explode(F.array_distinct(F.transform(F.col(lines), _hash))).alias("line"))
-    often = checkpoint(once.groupBy(host, "line").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") > int(ratio * min_pages)))
+    often = checkpoint(once.groupBy(host, "line").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") > max(min_on - 1, int(ratio * min_pages))))
     many = often.groupBy(host).agg(F.count(F.lit(1)).alias("n"))
     rated = salted_join(often, pages, host, heavy_keys(many, host, "n", often.count()), F.col("line"), "inner")
     dropped = rated.filter((F.col("n") >= min_pages) & (F.col("on") > F.lit(float(ratio)) * F.col("n")))
     return dropped.groupBy(host).agg(F.collect_list("line").alias(f"{OWN}drop")), pages
 
 
-def dedup_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", html: bool = True) -> DataFrame:
+def dedup_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = 0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", html: bool = True, min_on: int = MIN_ON) -> DataFrame:
     """(id, host, n_lines, n_dropped, text) of every page, the text without the host's boilerplate."""
     text = visible_text(F.col(text_col)) if html else F.col(text_col)
     lined = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), lines_of(text).alias("lines"))
-    drop, hosts = boilerplate(lined, ratio, min_pages)
+    drop, hosts = boilerplate(lined, ratio, min_pages, min_on=min_on)
     total = hosts.agg(F.sum("n")).first()[0] or 0
     joined = salted_join(lined, drop, "host", heavy_keys(hosts, "host", "n", total), F.concat_ws(",", F.col(id_col).cast("string"), F.size("lines")))
     kept = F.when(F.col(f"{OWN}drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col(f"{OWN}drop"), _hash(x))))

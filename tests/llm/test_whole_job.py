@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import textwrap
 
+import duckdb
 import pytest
 
-from shelfmark.llm import decontam, licenses
+from shelfmark.llm import decontam, licenses, line_dedup
+from shelfmark.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_near_copies_with_a_spoilt_short_answer_are_found():
@@ -50,3 +52,25 @@ def test_paragraphs_are_not_joined_and_runs_score_like_texts():
     want = min((-s, n) for n, s in map(matcher.best, runs) if n)
     name, score = matcher.wrapped(lines)
     assert name == want[1] and abs(score + want[0]) < 1e-9
+
+
+def test_boilerplate_of_small_sites_is_dropped(spark):
+    rows = [(100 * n + k, f"https://site{n}.org/{k}", f"<p>Footer</p><p>own {k}</p>" + "<p>thrice</p>" * (k < 3) + "<p>twice</p>" * (k < 2)) for n in (1, 2, 3, 5, 19, 31) for k in range(n)]
+    got = {r["page_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, lines in got.items():
+        n, k = divmod(i, 100)
+        assert f"own {k}" in lines and ("Footer" in lines) == (n < 3)
+        assert ("twice" in lines) == (k < 2)
+        assert ("thrice" in lines) == (k < 3 and (n < 3 or n == 31))
+
+
+def test_line_dedup_equals_its_sql_without_the_floor_on_pages(spark):
+    sf = "/root/testdata/sf0.01"
+    sql = ORACLE_SQL["op1_line_dedup"].replace("h.n >= 20 AND", "o.n_on >= 3 AND")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    rel = c.execute(sql)
+    got = QUERIES["op1_line_dedup"](spark, sf).select(*[d[0] for d in rel.description]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
+    assert sum(r["n_dropped"] for r in got) > 19
