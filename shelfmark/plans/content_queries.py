@@ -38,8 +38,8 @@ def _translit_sql(x: str) -> str:
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)[1:4], ' ') AS tokens FROM documents", views=False)
 def tokenise_title(v: Views) -> DataFrame:
-    """The search words of a document's title, which is its first 80 characters."""
-    return v.table("documents").select("doc_id", F.array_join(text.title_tokens(F.substring("text", 1, 80)), " ").alias("tokens"))
+    """The search words of a document, whose whole text is taken for a title."""
+    return v.table("documents").select("doc_id", F.array_join(text.title_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"SELECT doc_id, md5({_strip_sql('lower(text)')}) AS norm FROM documents", views=False)
@@ -210,9 +210,7 @@ def sequence_number(v: Views) -> DataFrame:
     views=False,
 )
 def mostly_latin(v: Views) -> DataFrame:
-    i = F.col("doc_id") % 3
-    title = F.when(i == 0, F.concat(F.lit("Книга "), F.substring("text", 1, 12))).when(i == 1, "12 — 34").otherwise(F.substring("text", 1, 40))
-    return v.table("documents").select("doc_id", text.mostly_latin(title).alias("latin"))
+    return v.table("documents").select("doc_id", text.mostly_latin(F.col("text")).alias("latin"))
 
 
 @query("SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex(c_name || ' ,  ' || c_mktsegment || ';& ' || c_nationkey, '[,&;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names FROM customer", views=False)

@@ -35,3 +35,21 @@ def test_every_part_is_a_library_item(spark, sf):
     assert {r["item_id"] for r in got} == parts
     found = {r["item_id"] for r in _compare(spark, sf, "fuzzy_top5", _whole_sql("fuzzy_top5", EVERY_PART))}
     assert len(found) > len(parts) / 2
+
+
+def test_texts_are_read_to_their_end(spark, sf):
+    # sf0.01: on the smallest tables the first 80 characters hold the same words
+    sf = sf.replace("sf0.001", "sf0.01")
+    got = _compare(spark, sf, "tokenise_title", _whole_sql("tokenise_title", ("substr(text, 1, 80)", "text")))
+    case = "CASE WHEN doc_id % 3 = 0 THEN 'Книга ' || substr(text, 1, 12) WHEN doc_id % 3 = 1 THEN '12 — 34' ELSE substr(text, 1, 40) END"
+    assert case in ORACLE_SQL["mostly_latin"] and len(got)
+    _compare(spark, sf, "mostly_latin", _whole_sql("mostly_latin", (case, "text")))
+
+
+def test_a_late_word_and_a_late_script_count(spark, tmp_path):
+    rows = [(k, "a b c " * 20 + "Latecomer") for k in range(3)] + [(k, "latin words " * 5 + "кириллица " * 20) for k in range(3, 6)] + [(k, "кириллица " * 5 + "latin words " * 30) for k in range(6, 9)]
+    spark.createDataFrame([*rows, (9, ""), (10, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {r["doc_id"]: r["tokens"] for r in QUERIES["tokenise_title"](spark, str(tmp_path)).collect()}
+    latin = {r["doc_id"]: r["latin"] for r in QUERIES["mostly_latin"](spark, str(tmp_path)).collect()}
+    assert all(tokens[k] == "latecomer" for k in range(3)) and len(tokens) == len(latin) == 11
+    assert all(latin[k] == (k < 3 or 6 <= k < 9) for k in latin)
