@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What a word is in the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A key is called heavy from this share of the rows on, so at most this many keys are heavy.
-HEAVY_SHARE = 1024
+#: A salt gets this many rows at least, and no less than 1/SALTS of all rows; twice that makes a key heavy.
+SALT_ROWS, SALTS = 256, 1 << 16
+#: Rows of a bucket from which ``numbered`` looks for rows that are all alike in it.
+BUCKET_ROWS = 1 << 18
 #: Bytes that an Arrow function gets at a time.
 SLICE = 4 << 20
 #: Prefix of the columns that operators add for themselves and drop again.
@@ -28,12 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share.
 
-    It comes from ``spark.checkpoint.dir``; only where a session has none (tests, a single
-    machine) a temporary one is set.
+    It comes from ``spark.checkpoint.dir``. Where a session has none, a local master gets a temporary
+    one; on a cluster that is an error, as executors can't read a folder of the driver's machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
@@ -44,12 +50,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: for rows that carry texts."""
+    """Cut the lineage with a Parquet table in the shared folder: for rows that carry texts.
+
+    The table lies in the session's own checkpoint folder, which goes with the session's other
+    checkpoints; ``forget`` removes it earlier.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Remove what ``written`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    paths = {f"{shared_folder(spark)}/{m}" for f in table.inputFiles() for m in re.findall(r"table-[0-9a-f]{32}", f)}
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -60,12 +79,13 @@ def crc_of_id(doc_id: Column) -> Column:
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Keys with at least 1/HEAVY_SHARE of ``total`` rows and how many salts each gets.
+    """Keys with many of ``total`` rows and how many salts each gets.
 
-    ``counts`` has a row per key. The result has at most HEAVY_SHARE rows whatever the input
-    is, which bounds its broadcast.
+    ``counts`` has a row per key. A key is heavy from 2/SALTS of all rows on (and from 2 * SALT_ROWS
+    rows), so the result has at most SALTS / 2 rows whatever the input is, a few MB to broadcast, and
+    no salt of a heavy key gets more than 1/SALTS of all rows.
     """
-    unit = max(1, total // HEAVY_SHARE + 1)
+    unit = max(SALT_ROWS, total // SALTS + 1)
     return counts.filter(F.col(n) >= 2 * unit).select(F.col(key).alias(f"{OWN}heavy"), F.ceil(F.col(n) / F.lit(unit)).cast("int").alias(f"{OWN}salts"))
 
 
@@ -82,6 +102,37 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, s
     return dealt.join(copies, [key, salt], how).drop(salt)
 
 
+def numbered(rows: DataFrame, groups: list[str], out: str, *, keys: DataFrame | None = None) -> DataFrame:
+    """``rows`` with a running number from 0 in each group, without a gap.
+
+    Needs the columns {OWN}order (its value counts first), {OWN}hash (a hex text; rows that share it must be
+    alike in all that matters, so that it is the same which gets which number). The numbers are dealt out
+    in buckets of (group, order, leading digits of the hash): running numbers in a bucket, and offsets from one row a bucket. Where a
+    bucket has very many rows, hashes that many of them share get buckets of their own, cut further by
+    the rows' places in a table that is written for it, so no task numbers a whole group, whatever
+    repeats. ``keys`` is ``rows`` without what makes it wide, to count with.
+    """
+    order, digest, sub, own, part = (OWN + x for x in ("order", "hash", "sub", "own", "part"))
+    bucket = [*groups, order, sub]
+    rows = rows.withColumn(sub, F.substring(digest, 1, 2))
+    thin = (rows if keys is None else keys.withColumn(sub, F.substring(digest, 1, 2))).select(*bucket, digest)
+    counts = checkpoint(thin.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")))
+    large = counts.filter(F.col("n") > BUCKET_ROWS)
+    heavy = None
+    if not large.isEmpty():
+        same = thin.join(large.drop("n"), bucket, "left_semi").groupBy(digest).agg(F.count(F.lit(1)).alias("n"))
+        heavy = checkpoint(heavy_keys(same, digest, "n", counts.agg(F.sum("n")).first()[0]))
+    if heavy is not None and not heavy.isEmpty():
+        rows = written(rows.withColumn(f"{OWN}row", F.monotonically_increasing_id())).join(F.broadcast(heavy), F.col(digest) == F.col(f"{OWN}heavy"), "left")
+        rows = rows.withColumn(own, F.coalesce(f"{OWN}heavy", F.lit(""))).withColumn(part, F.coalesce(F.pmod(F.xxhash64(f"{OWN}row"), F.col(f"{OWN}salts")).cast("int"), F.lit(0))).drop(f"{OWN}heavy", f"{OWN}salts", f"{OWN}row")
+        counts = checkpoint(rows.groupBy(*bucket, own, part).agg(F.count(F.lit(1)).alias("n")))
+        bucket = [*bucket, own, part]
+    before = Window.partitionBy(*groups).orderBy(*bucket[len(groups) :]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{OWN}offset"))
+    inside = Window.partitionBy(*bucket).orderBy(digest)
+    return rows.join(offsets, bucket).withColumn(out, F.col(f"{OWN}offset") + F.row_number().over(inside) - 1).drop(sub, own, part, f"{OWN}offset")
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """Append columns that an Arrow function computes; every input column passes through.
 

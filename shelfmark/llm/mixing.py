@@ -1,18 +1,19 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each document has expected copies (its source's target over its source's size). Within a source
-the expected copies are prefix-summed over the documents in order of size class and hash, one
+the expected copies are prefix-summed over the documents in order of size class and hash (of id and text), one
 random offset is added, and a document is emitted once for each integer boundary that its
 interval crosses. In size order neighbours replace each other, so the words taken differ from the
 target by little more than one document of each class.
 
 Expected copies are whole multiples of 2^-32, so sums don't depend on the order in which tasks end
-and reruns agree. The prefix sum runs in two levels: a running sum inside (source, size class, hash
-bucket), and offsets from one row per bucket. No task gets more than one bucket of a source.
+and reruns agree. A source's documents have the same expected copies, so its prefix sums are multiples of running numbers, which
+``numbered`` deals out in buckets; it also splits null or repeated ids and repeated texts.
 
-Null text and text without a word have size 0: they are sampled as others are and take no word.
-A null source is a source of its own, last in order. Repeated rows are documents of their own.
-An empty table gives an empty result.
+Null text and text without a word have size 0: they are sampled as others are and take no word. Whole texts are
+counted, however long. A null source is a source of its own, last in order. Ties (rows alike in id and
+text) and repeated rows are documents of their own, and which of them is taken can't be told apart. Columns of any name pass
+through, but for those that begin with ``__sm_``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, checkpoint, word_count
+from .common import OWN, checkpoint, heavy_keys, numbered, salted_join, word_count
 
 UNIT = 1 << 32
 SEED = "mix-1"
@@ -65,16 +66,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Add the source's key, the size class, the hash and its bucket; needs {OWN}size and {OWN}id."""
-    return rows.withColumn(f"{OWN}class", _class(F.col(f"{OWN}size"))).withColumn(f"{OWN}hash", F.md5(F.col(f"{OWN}id").cast("binary"))).withColumn(f"{OWN}sub", F.substring(f"{OWN}hash", 1, 2))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with the columns __sm_size, __sm_source_size, __sm_target and __sm_copies (0 or more)."""
-    rows = docs.withColumn(f"{OWN}size", word_count(F.col(text_col))).withColumn(f"{OWN}key", _key(F.col(source_col))).withColumn(f"{OWN}id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    thin = checkpoint(_placed(rows.select(F.col(source_col).alias("source"), f"{OWN}size", f"{OWN}key", f"{OWN}id")).groupBy("source", f"{OWN}key", f"{OWN}class", f"{OWN}sub").agg(F.count(F.lit(1)).alias("n"), F.sum(f"{OWN}size").alias("size")))
-    targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text if ``keep_text`` is false) with the columns __sm_size, __sm_source_size, __sm_target and __sm_copies (0 or more)."""
+    text = F.col(text_col)
+    rows = docs.withColumn(f"{OWN}size", word_count(text)).withColumn(f"{OWN}key", _key(F.col(source_col)))
+    # rows alike in id and text are alike in all that counts here
+    alike = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+    rows = rows.withColumn(f"{OWN}order", _class(F.col(f"{OWN}size"))).withColumn(f"{OWN}hash", alike)
+    thin = checkpoint(rows.select(F.col(source_col).alias(f"{OWN}source"), f"{OWN}size", f"{OWN}key", f"{OWN}order", f"{OWN}hash"))
+    targets = source_targets(thin.groupBy(F.col(f"{OWN}source").alias("source")).agg(F.sum(f"{OWN}size").alias("source_size")), weights, most)
     targets = targets.select(
         _key(F.col("source")).alias(f"{OWN}key"),
         F.col("source_size").alias(f"{OWN}source_size"),
@@ -82,18 +82,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long").alias(f"{OWN}units"),
         F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long").alias(f"{OWN}start"),
     )
-    groups = [f"{OWN}key", f"{OWN}class", f"{OWN}sub"]
-    before = Window.partitionBy(f"{OWN}key").orderBy(f"{OWN}class", f"{OWN}sub").rowsBetween(Window.unboundedPreceding, -1)
-    sums = thin.join(targets, f"{OWN}key").withColumn("units", F.pmod(F.col("n").cast("decimal(19,0)") * F.col(f"{OWN}units").cast("decimal(19,0)"), F.lit(UNIT)).cast("long"))
-    offsets = sums.select(*groups, f"{OWN}source_size", f"{OWN}target", f"{OWN}units", F.pmod(F.coalesce(F.sum("units").over(before), F.lit(0)) + F.col(f"{OWN}start"), F.lit(UNIT)).alias(f"{OWN}offset"))
-    inside = Window.partitionBy(*groups).orderBy(f"{OWN}hash", f"{OWN}id", f"{OWN}size", f"{OWN}tie").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(f"{OWN}units").over(inside)
-    tie = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) if text_col in docs.columns else F.lit(0)
-    return (
-        _placed(rows).withColumn(f"{OWN}tie", tie).join(offsets, groups).withColumn(f"{OWN}end", end)
-        .withColumn(f"{OWN}copies", F.expr(f"least({most}, ({OWN}offset + {OWN}end) div {UNIT} - ({OWN}offset + {OWN}end - {OWN}units) div {UNIT})"))
-        .drop(*groups, f"{OWN}id", f"{OWN}hash", f"{OWN}tie", f"{OWN}end", f"{OWN}units", f"{OWN}offset")
-    )
+    counts = thin.groupBy(f"{OWN}key").agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(rows if keep_text else rows.drop(text_col), [f"{OWN}key"], f"{OWN}number", keys=thin)
+    placed = salted_join(placed, targets, f"{OWN}key", heavy_keys(counts, f"{OWN}key", "n", thin.count()), F.col(f"{OWN}hash"), "inner")
+    # all documents of a source have the same expected copies, so the prefix sum is a multiple of the number
+    upto = lambda k: F.expr(f"cast((cast({OWN}units as decimal(19,0)) * ({OWN}number + {k}) + {OWN}start) div {UNIT} as long)")
+    return placed.withColumn(f"{OWN}copies", F.least(F.lit(most).cast("long"), upto(1) - upto(0))).drop(f"{OWN}key", f"{OWN}order", f"{OWN}hash", f"{OWN}number", f"{OWN}units", f"{OWN}start")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

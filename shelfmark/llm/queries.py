@@ -20,7 +20,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return mixed.select("doc_id", F.col(f"{OWN}size").alias("size"), F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), (F.col(f"{OWN}copies") * F.col(f"{OWN}size")).alias("taken"))
 
 
@@ -72,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _MIX_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -94,7 +94,7 @@ WITH d AS (
          CAST('0x' || substr(md5('mix-1' || coalesce(source, '')), 1, 8) AS BIGINT) AS start FROM t
 ), r AS (
   SELECT d.doc_id, d.size, u.source_size, u.target, u.units, u.start,
-         sum(CAST(u.units AS HUGEINT)) OVER (PARTITION BY u.source ORDER BY length(bin(d.size)) * 16 + (d.size >> greatest(length(bin(d.size)) - 4, 0)), md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+         sum(CAST(u.units AS HUGEINT)) OVER (PARTITION BY u.source ORDER BY length(bin(d.size)) * 16 + (d.size >> greatest(length(bin(d.size)) - 4, 0)), md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.digest) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 )
 SELECT doc_id, size, source_size, target,

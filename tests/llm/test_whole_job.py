@@ -7,7 +7,8 @@ import textwrap
 import duckdb
 import pytest
 
-from shelfmark.llm import decontam, licenses, line_dedup
+from shelfmark.llm import common, decontam, licenses, line_dedup, mixing, sharding
+from shelfmark.llm.common import OWN
 from shelfmark.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -74,3 +75,47 @@ def test_line_dedup_equals_its_sql_without_the_floor_on_pages(spark):
     got = QUERIES["op1_line_dedup"](spark, sf).select(*[d[0] for d in rel.description]).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
     assert sum(r["n_dropped"] for r in got) > 19
+
+
+def _hot(spark):
+    """A third of the rows with a null id and one text, a third with a null id and texts of their own."""
+    from pyspark.sql import functions as F
+
+    k = F.col("id") % 3
+    return spark.range(12_000).select(F.when(k == 2, F.col("id")).alias("doc_id"), F.when(k == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"), F.lit("s").alias("source"))
+
+
+def test_a_hot_key_is_numbered_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 1000)
+    df = _hot(spark).repartition(6)
+    placed = sharding.with_slots(sharding.assign(df)).cache()
+    by: dict[int, list[int]] = {}
+    for shard, slot in placed.select(f"{OWN}shard", f"{OWN}slot").collect():
+        by.setdefault(shard, []).append(slot)
+    assert sum(map(len, by.values())) == 12_000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    same = placed.filter("text = 'the same text'").select(f"{OWN}slot").collect()
+    assert len(same) == 4000 and len({s for s, in same}) == 4000
+    agreed = lambda d: sorted(map(repr, sharding.with_slots(sharding.assign(d)).select("doc_id", "text", f"{OWN}shard", f"{OWN}slot").collect()))
+    assert agreed(df) == agreed(df.repartition(5))
+    mixed = lambda d: sorted(map(repr, mixing.mix(d, most=3).select("doc_id", "text", f"{OWN}copies").collect()))
+    assert mixed(df) == mixed(df.repartition(5))
+    monkeypatch.setattr(common, "BUCKET_ROWS", 1 << 18)
+    assert agreed(df) == agreed(df.repartition(5))
+
+
+def test_sharding_equals_brute_force(spark):
+    import hashlib
+    import math
+
+    weights = [1.0, 2.5, 0.5, 1.0]
+    keys = [None, *range(300)]
+    df = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    cost = lambda key, n, w: -math.log((int(hashlib.md5(f"{n}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+    want = {}
+    for k in keys:
+        key = "~" if k is None else str(k)
+        costs = [cost(key, n, w) for n, w in enumerate(weights)]
+        best = costs.index(min(costs))
+        want[k] = (best, 4 if cost(key, 4, 2.0) < costs[best] else best)
+    got = {r["doc_id"]: (r[f"{OWN}shard"], r[f"{OWN}grown"]) for r in sharding.assign(df, weights=weights, new_weight=2.0).collect()}
+    assert got == want and {g for _, g in want.values()} == {0, 1, 2, 3, 4}
