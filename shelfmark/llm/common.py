@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -49,24 +51,40 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that ``written`` made and ``forget`` hasn't removed.
+_TABLES: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: for rows that carry texts.
 
-    The table lies in the session's own checkpoint folder, which goes with the session's other
-    checkpoints; ``forget`` removes it earlier.
+    ``forget`` removes it; what is left goes when the driver's Python ends.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _TABLES.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _TABLES.discard(path)
+
+
 def forget(table: DataFrame) -> None:
-    """Remove what ``written`` wrote, once nothing reads it any more."""
-    spark = table.sparkSession
-    paths = {f"{shared_folder(spark)}/{m}" for f in table.inputFiles() for m in re.findall(r"table-[0-9a-f]{32}", f)}
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Remove what ``written`` gave, once nothing reads it any more; other tables stay."""
+    names = {m for f in table.inputFiles() for m in re.findall(r"table-[0-9a-f]{32}", f)}
+    for path in [p for p in _TABLES if p.rsplit("/", 1)[1] in names]:
+        _remove(table.sparkSession, path)
+
+
+@atexit.register
+def _forget_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in [*_TABLES] if spark is not None else []:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _remove(spark, path)
 
 
 def word_count(text: Column) -> Column:
