@@ -1,30 +1,36 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Scan: a file's headers are its lines and their sentences, the runs of adjacent lines and sentences of a
-paragraph (headers are wrapped; comment marks are no words, and a line without a word ends a paragraph), and
-every paragraph; a licence file is also read as a whole. Runs have at most ``RUN`` times the words of the
-longest template. Each becomes a sparse TF-IDF vector over the templates' words and word pairs, and the licence is that of the
-template with the highest cosine of at least ``threshold``. A line is only scored if it has one of
-the telling words, without which no vector reaches the threshold: what is left of a template's vector
-without its telling words is too short. A paragraph's runs are only scored if some template's vector, cut down to the terms
-that the paragraph has, is long enough. Both are exact, so nothing that would match is passed over.
+Scan: templates are notices (up to ``NOTICE`` words) and whole licence texts. What is compared with them are spans of a
+file: its lines and their sentences; the runs of adjacent lines and sentences of a paragraph (notices are wrapped;
+comment marks are no words, and a line without a word ends a paragraph) of up to ``RUN`` times the words of the
+longest notice; whole paragraphs; the runs of adjacent paragraphs that begin and end with a telling word's paragraph,
+of up to twice the words of the longest template; and a licence file as a whole. Each span becomes a sparse TF-IDF vector over the templates' words and
+word pairs. It is named by the template with the highest cosine of at least ``threshold``, unless a template of another
+licence comes within ``MARGIN`` of it. A file takes the name of its span with the highest cosine; an opening
+that several licences share counts only where nothing else is found. An SPDX tag names the licence before all that.
+
+A line, paragraph or run is only scored if it has one of the telling words, without which no vector reaches the
+threshold: what is left of a template's vector without its telling words is too short. Runs are only scored if some
+template's vector, cut down to the terms that they have, is long enough. Both are exact, so nothing that would match is passed over.
 
 Inheritance: licence files (by name) give their directory's licence. Each directory that holds files is
 joined to its ancestors on the path, itself included, and takes the licence of the nearest one that
 has any. Files without a header of their own take their directory's. Paths are joined once a
 directory, not once a file, and directories with very many files are dealt out over salts.
 
-Null or empty text matches nothing. Ties of cosines go to the licence that is first by name. Several
+Null or empty text matches nothing. Ties of cosines between spans go to the licence that is first by name. Several
 licence files in one directory: the highest cosine, then the first by licence. A null path stands for
-a file at the root. Repeated rows each get a row. Whole texts are scanned. An empty table gives an
-empty result.
+a file at the root. Repeated rows each get a row. Whole texts are scanned, however long. Columns of any name pass through ``scan``, but for
+``license``, ``license_score`` and those that begin with ``__sm_``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
+from math import log, sqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,172 +38,246 @@ from pyspark.sql import types as T
 
 from .common import OWN, add_columns, checkpoint, heavy_keys, salted_join, texts_of
 
-THRESHOLD, RUN = 0.7, 4
+THRESHOLD, MARGIN, RUN, NOTICE = 0.7, 0.02, 4, 80
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?").findall
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 _LINE = re.compile(r"\r\n?|\n")
 #: Comment marks that are made of letters; all others are no words.
 _MARK = re.compile(r"\s*(?:rem|dnl)\b")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*\(?([a-z0-9.\-]+)").findall
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:[.\-][^/]*)?$"
 
 #: Words that tell nothing of a licence by themselves.
 COMMON = frozenset("a all an and any are as at be by can either for form free from in into is it later may met more new not of on or other person public software that the them these this to under use v version with work works you your".split())
-#: Licence headers and the first lines of licence files, by SPDX name.
+
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GNU_SHORT = "Licensed under the GNU {}General Public License, version {}."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_1_2 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+_MIT_END = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES '
+    "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
+_APACHE_END = (
+    " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+#: Licence notices, titles and texts, by SPDX name.
 TEMPLATES = (
+    ("AGPL-3.0", _GNU_SHORT.format("Affero ", "3")),
+    ("AGPL-3.0", _GNU.format("Affero ", "3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + _APACHE_END),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", f"{_BSD}: {_BSD_1_2} {_BSD_END}"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", f"{_BSD}: {_BSD_1_2} {_BSD_3} {_BSD_END}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format("", "2")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _GNU.format("", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_END}"),
+    ("LGPL-2.1", _GNU_SHORT.format("Lesser ", "2.1")),
+    ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", _GNU_SHORT.format("Lesser ", "3")),
+    ("LGPL-3.0", _GNU.format("Lesser ", "3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_END),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Openings that several licences share; that of the BSD texts alone counts as the one that asks more.
+OPENINGS = (("BSD-3-Clause", _BSD),)
 
 
-def terms(text: str) -> list[str]:
+def terms(words: Iterable[str]) -> list[str]:
     """Words and pairs of words, but those of common words only."""
-    words = _WORDS(text.lower())
+    words = list(words)
     return [*(w for w in words if w not in COMMON), *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in COMMON and b in COMMON))]
 
 
-def paragraphs(text: str) -> set[tuple[str, ...]]:
-    """The different paragraphs of two or more lines; a line without a word, such as a bare comment mark, ends one."""
-    out, lines = set(), []
-    for line in [*_LINE.split(text), ""]:
+def paragraphs(text: str) -> list[list[str]]:
+    """The paragraphs as lists of lines; a line without a word, such as a bare comment mark, ends one."""
+    out: list[list[str]] = [[]]
+    for line in _LINE.split(text):
         if _WORDS(_MARK.sub("", line, count=1)):
-            lines.append(line)
-        else:
-            if len(lines) > 1:
-                out.add(tuple(lines))
-            lines = []
-    return out
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def pieces(lines: list[str]) -> list[list[str]]:
+    """The words of a paragraph's lines and their sentences, in order."""
+    return [w for line in lines for s in _SENTENCE.split(_MARK.sub("", line, count=1)) if (w := _WORDS(s))]
 
 
 class Matcher:
-    """Unit vectors of the templates and what a text needs to match one."""
+    """Unit vectors of the templates as postings, and what a span needs to match one."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, openings: tuple[tuple[str, str], ...] = OPENINGS, threshold: float = THRESHOLD):
         self.threshold = threshold
-        ordered = sorted(templates)
+        ordered = sorted(templates) + sorted(openings)
         self.names = [name for name, _ in ordered]
-        counts = [{t: ts.count(t) for t in set(ts)} for ts in (terms(text) for _, text in ordered)]
-        self.terms = {t: k for k, t in enumerate(sorted({t for c in counts for t in c}))}
-        frequency = np.zeros(len(self.terms))
-        for c in counts:
-            for t in c:
-                frequency[self.terms[t]] += 1
-        self.idf = np.log((1 + len(counts)) / (1 + frequency)) + 1
+        self.own = len(templates)  # the rest are openings
+        words = [_WORDS(text.lower()) for _, text in ordered]
+        counts = [Counter(terms(w)) for w in words]
+        frequency = Counter(t for c in counts for t in c)
+        self.idf = {t: log((1 + len(counts)) / (1 + n)) + 1 for t, n in frequency.items()}
         #: of a term that no template has
-        self.rare = float(np.log(1 + len(counts)) + 1)
-        self.matrix = np.zeros((len(counts), len(self.terms)))
+        self.rare = log(1 + len(counts)) + 1
+        #: term to (template, weight in its unit vector)
+        self.postings: dict[str, list[tuple[int, float]]] = {t: [] for t in self.idf}
         for k, c in enumerate(counts):
+            norm = sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             for t, n in c.items():
-                self.matrix[k, self.terms[t]] = n * self.idf[self.terms[t]]
-        self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-        #: what one more of a term adds to the products with the templates
-        self.adds = np.ascontiguousarray((self.matrix * self.idf).T)
-        self.words = frozenset(w for t in self.terms for w in t.split())
-        self.longest = RUN * max(len(_WORDS(text.lower())) for _, text in ordered)
-        #: words; every text that matches has one of them
+                self.postings[t].append((k, n * self.idf[t] / norm))
+        self.words = frozenset(w for t in self.idf for w in t.split())
+        self.notice = RUN * max(len(w) for w in words if len(w) <= NOTICE)
+        self.whole = 2 * max(map(len, words))
+        #: words; every span that matches has one of them
         self.telling: list[str] = []
-        for row in self.matrix:
-            mass = {t: float(row[k] ** 2) for t, k in self.terms.items() if row[k]}
+        for k in range(len(ordered)):
+            mass = {t: w * w for t, ps in self.postings.items() for j, w in ps if j == k}
             while sum(mass.values()) >= (threshold - 1e-9) ** 2:
-                words = {w for t in mass for w in t.split()} - COMMON
-                known = words & set(self.telling)
+                left = {w for t in mass for w in t.split()} - COMMON
+                known = left & set(self.telling)
                 weigh = lambda w: sum(m for t, m in mass.items() if w in t.split())  # noqa: E731, B023
-                word = max(sorted(known or words), key=weigh)
+                word = max(sorted(known or left), key=weigh)
                 if word not in self.telling:
                     self.telling.append(word)
                 mass = {t: m for t, m in mass.items() if word not in t.split()}
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The licence of a text and the cosine, or (None, 0)."""
-        found = terms(text)
-        if not found:
-            return None, 0.0
-        vector, other = np.zeros(len(self.terms)), 0.0
-        counts: dict[str, int] = {}
-        for t in found:
-            k = self.terms.get(t)
-            if k is None:
-                counts[t] = counts.get(t, 0) + 1
-            else:
-                vector[k] += self.idf[k]
-        other = sum((n * self.rare) ** 2 for n in counts.values())
-        norm = float(np.sqrt(vector @ vector + other))
-        cosines = self.matrix @ vector / norm
-        k = int(cosines.argmax())
-        return (self.names[k], float(cosines[k])) if cosines[k] >= self.threshold else (None, 0.0)
-
-    def wrapped(self, lines: list[str]) -> tuple[str | None, float]:
-        """The best licence of a paragraph and of the runs of its adjacent lines and sentences, and the cosine."""
-        pieces = [w for line in lines for s in _SENTENCE.split(_MARK.sub("", line, count=1)) if (w := _WORDS(s))]
-        whole = " ".join(w for piece in pieces for w in piece)
-        held = sorted({self.terms[t] for t in terms(whole) if t in self.terms})
-        if not held or (self.matrix[:, held] ** 2).sum(axis=1).max() < (self.threshold - 1e-9) ** 2:
-            return None, 0.0
-        name, score = self.best(whole)
-        best = (-score, name or "")
-        for a in range(len(pieces)):
-            if self.words.isdisjoint(pieces[a]):  # a run is no worse without it
+    def judge(self, products: dict[int, float], square: float) -> list[tuple[float, bool, str]]:
+        """What a span's products with the templates and its squared length say: (cosine, whether an opening, name)."""
+        if not square:
+            return []
+        best: dict[tuple[bool, str], float] = {}
+        for k, p in products.items():
+            key = k >= self.own, self.names[k]
+            best[key] = max(best.get(key, 0.0), p)
+        norm, out = sqrt(square), []
+        for shared in (False, True):
+            ranked = sorted(((-p / norm, name) for (s, name), p in best.items() if s == shared))
+            if ranked and -ranked[0][0] >= self.threshold and (len(ranked) == 1 or ranked[1][0] - ranked[0][0] >= MARGIN):
+                out.append((-ranked[0][0], shared, ranked[0][1]))
+        return out
+
+    def of(self, words: list[str]) -> list[tuple[float, bool, str]]:
+        """What one span's words match."""
+        products: dict[int, float] = {}
+        square = 0.0
+        for t, n in Counter(terms(words)).items():
+            idf = self.idf.get(t, self.rare)
+            square += (n * idf) ** 2
+            for k, w in self.postings.get(t, ()):
+                products[k] = products.get(k, 0.0) + n * idf * w
+        return self.judge(products, square)
+
+    def able(self, words: Iterable[str]) -> bool:
+        """Whether some template's vector, cut down to the terms that the words have, is long enough."""
+        mass: dict[int, float] = {}
+        for t in set(terms(words)):
+            for k, w in self.postings.get(t, ()):
+                mass[k] = mass.get(k, 0.0) + w * w
+        return max(mass.values(), default=0.0) >= (self.threshold - 1e-9) ** 2
+
+    def runs(self, parts: list[list[str]], limit: int, ends: list[bool] | None = None) -> list[tuple[float, bool, str]]:
+        """What the runs of two or more adjacent parts match, of up to ``limit`` words; ``ends`` says which parts may begin and end one."""
+        out = []
+        for a in range(len(parts)):
+            if not ends[a] if ends else self.words.isdisjoint(parts[a]):  # without ends: a run is no worse without it
                 continue
-            products, square, length, last = np.zeros(len(self.names)), 0.0, 0, None
+            if ends:
+                near, b = [], a
+                while b < len(parts) and len(near) + len(parts[b]) <= limit:
+                    near += parts[b]
+                    b += 1
+                if not self.able(near):
+                    continue
+            products: dict[int, float] = {}
             counts: dict[str, int] = {}
-            for b in range(a, len(pieces)):
-                length += len(pieces[b])
-                if length > self.longest:
+            square, length, last = 0.0, 0, None
+            for b in range(a, len(parts)):
+                length += len(parts[b])
+                if length > limit:
                     break
-                for w in pieces[b]:
+                for w in parts[b]:
                     for t in ([w] if w not in COMMON else []) + ([f"{last} {w}"] if last and not (last in COMMON and w in COMMON) else []):
-                        k, n = self.terms.get(t), counts.get(t, 0)
+                        n, idf = counts.get(t, 0), self.idf.get(t, self.rare)
                         counts[t] = n + 1
-                        square += (2 * n + 1) * (self.rare if k is None else self.idf[k]) ** 2
-                        if k is not None:
-                            products += self.adds[k]
+                        square += (2 * n + 1) * idf * idf
+                        for k, x in self.postings.get(t, ()):
+                            products[k] = products.get(k, 0.0) + idf * x
                     last = w
-                if b > a and square:
-                    k = int(products.argmax())
-                    cosine = float(products[k] / np.sqrt(square))
-                    if cosine >= self.threshold:
-                        best = min(best, (-cosine, self.names[k]))
-        return (best[1], -best[0]) if best[1] else (None, 0.0)
+                if b > a and (not ends or ends[b]):
+                    out += self.judge(products, square)
+        return out
 
     def scan(self, text: str | None, whole: bool = False) -> tuple[str | None, float]:
-        """The best licence of a text's lines and paragraphs, and of the whole text if it is a licence file."""
+        """The licence of a text and its cosine, or (None, 0); ``whole`` for a licence file."""
         if not text:
             return None, 0.0
         low = text.lower()
+        if tags := _SPDX(low):
+            known = {name.lower(): name for name in self.names}
+            tag = min(re.sub(r"-(?:only|or-later)$", "", t) for t in tags)
+            return known.get(tag, tag), 1.0
         telling = [w for w in self.telling if w in low]
         if not telling:
             return None, 0.0
-        lines = {line for line in low.split("\n") if any(w in line for w in telling)}
-        lines |= {s for line in lines for s in _SENTENCE.split(line) if any(w in s for w in telling)}
-        found = [self.best(line) for line in [*lines, *([text] if whole else [])]]
-        found += [self.wrapped(list(p)) for p in paragraphs(low) if any(w in line for w in telling for line in p)]
-        hits = [(-score, name) for name, score in found if name]
+        has = lambda x: any(w in x for w in telling)
+        told = paragraphs(low)
+        lines = {line for p in told for line in p if has(line)}
+        lines |= {s for line in lines for s in _SENTENCE.split(line) if has(s)}
+        hits = [h for line in sorted(lines) for h in self.of(_WORDS(line))]
+        split = [pieces(p) for p in told]
+        joined = [[w for x in p for w in x] for p in split]
+        marked = [any(has(line) for line in p) for p in told]
+        for one in {tuple(map(tuple, p)) for p, m in zip(split, marked, strict=True) if m and len(p) > 1}:
+            words = [w for x in one for w in x]
+            if self.able(words):
+                hits += self.of(words)
+                hits += self.runs(list(map(list, one)), self.notice)
+        hits += self.runs(joined, self.whole, marked)
+        if whole:
+            hits += self.of([w for p in joined for w in p])
         if not hits:
             return None, 0.0
-        score, name = min(hits)
-        return name, -score
+        score, _, name = min(hits, key=lambda h: (h[1], -h[0], h[2]))
+        return name, score
 
 
 def scan(files: DataFrame, text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
