@@ -16,14 +16,15 @@ def test_near_copies_with_a_spoilt_short_answer_are_found():
     items = [(k, " ".join(f"q{k}x{j}" for j in range(30)) + f"? a{k} b{k} c{k} d{k} e{k}.") for k in range(20)]
     index = decontam.Index(items)
     checked = 0
-    for k, words in enumerate(index.words):
+    for k, (_, text) in enumerate(items):
+        words = decontam.tokens(text)
         copies = [[*words[:p], "edited", *words[p + 1 :]] for p in range(len(words))] + [words[:-n] for n in (1, 2, 3)]
-        near = [c for c in copies if index.overlap(c, k)[0] >= decontam.OVERLAP]
+        near = [c for c in copies if index.overlap(index.numbers(c), k, {})[0] >= decontam.OVERLAP]
         checked += len(near)
         for found in index.find([" ".join(["before", *c, "after"]) for c in near]):
             assert index.ids[k] in {i for i, *_ in found}
     assert checked == 20 * 38
-    assert index.find([" ".join(index.words[0][:20])]) == [[]]
+    assert index.find([" ".join(decontam.tokens(items[0][1])[:20])]) == [[]]
 
 
 GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
@@ -45,14 +46,9 @@ def test_wrapped_headers_are_joined(name):
             assert found == name and score > 0.85, (width, mark, score)
 
 
-def test_paragraphs_are_not_joined_and_runs_score_like_texts():
+def test_paragraphs_of_other_words_are_not_joined():
     matcher = licenses.Matcher()
-    assert matcher.scan("Released under\n#\n# the MIT License.\n") == matcher.scan("the MIT License.")
-    lines = ["other text", "licensed under the apache", "license, version 2.0", "words at the end"]
-    runs = [" ".join(lines[a:b]) for a in range(4) for b in range(a + 2, 5)]
-    want = min((-s, n) for n, s in map(matcher.best, runs) if n)
-    name, score = matcher.wrapped(lines)
-    assert name == want[1] and abs(score + want[0]) < 1e-9
+    assert matcher.scan("Released under\n#\n# something else.\n#\n# the MIT License.\n") == matcher.scan("the MIT License.")
 
 
 def test_boilerplate_of_small_sites_is_dropped(spark):
@@ -66,17 +62,49 @@ def test_boilerplate_of_small_sites_is_dropped(spark):
         assert ("thrice" in lines) == (k < 3 and (n < 3 or n == 31))
 
 
-def test_line_dedup_equals_its_sql_without_the_floor_on_pages(spark):
+def test_line_dedup_equals_its_sql_and_drops_lines(spark):
     sf = "/root/testdata/sf0.01"
-    sql = ORACLE_SQL["op1_line_dedup"].replace("h.n >= 20 AND", "o.n_on >= 3 AND")
     c = duckdb.connect()
     c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
-    rel = c.execute(sql)
+    rel = c.execute(ORACLE_SQL["op1_line_dedup"])
     got = QUERIES["op1_line_dedup"](spark, sf).select(*[d[0] for d in rel.description]).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
     assert sum(r["n_dropped"] for r in got) > 19
 
 
+def test_planted_boilerplate_is_found(spark):
+    """Sites of 4 to 400 pages, each line on a fifth to all of them; own lines, and lines two pages share, stay."""
+    import random
+
+    rng, rows, planted = random.Random(9), [], set()
+    for site in range(40):
+        n = rng.choice([4, 7, 15, 30, 80, 400])
+        lines = [(f"site {site} footer {j}", rng.choice([0.3, 0.6, 1.0])) for j in range(6)]
+        for k in range(n):
+            on = [t for t, share in lines if rng.random() < share]
+            planted |= {(site, k, t) for t in on}
+            body = "".join(f"<p>own {site} {k} {j}</p>" for j in range(5)) + f"<p>pair {site} {k // 2}</p>"
+            rows.append((site * 1000 + k, f"https://s{site}.org/{k}", body + "".join(f"<div>{t}</div>" for t in on)))
+    got = {r["page_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    left = sum(t in got[site * 1000 + k] for site, k, t in planted)
+    assert left <= 0.1 * len(planted)
+    for i, lines in got.items():
+        site, k = divmod(i, 1000)
+        assert [f"own {site} {k} {j}" for j in range(5)] == lines[:5] and f"pair {site} {k // 2}" in lines
+
+
+def test_unclosed_tags_and_long_pages_take_little_time(spark):
+    import time
+
+    bad = ["<a" * 500_000, "<script " * 130_000, "<!-- " * 200_000, "</script   " * 90_000, "<p" * 400_000, "<style>" + " " * 1_000_000, "x" * 1_000_000, "<p>one</p>" * 100_000, "<p>one</p>" * 100_000, "<script>" + "</script " * 100_000]
+    df = spark.createDataFrame([(k, "https://a.org", h) for k, h in enumerate(bad)], "page_id long, url string, html string").repartition(1)
+    line_dedup.dedup_lines(df.limit(0)).collect()
+    began = time.time()
+    got = {r["page_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.time() - began < 30 and len(got) == len(bad)
+    assert got[7]["n_lines"] == 100_000 and got[7]["n_dropped"] == 0 and got[6]["text"] == bad[6] and got[1]["n_lines"] == 0
+
+
 def _hot(spark):
     """A third of the rows with a null id and one text, a third with a null id and texts of their own."""
     from pyspark.sql import functions as F
