@@ -1,25 +1,31 @@
 """PII: surrogate generation, with DataFrame functions only.
 
 Entities are found by pattern: e-mail addresses, telephone, card and social security numbers, IPv4 and
-MAC addresses, IBANs, long hexadecimal tokens, quoted secrets, and persons after a title. Each is
+MAC addresses, IBANs, long hexadecimal tokens, keys by their usual prefixes, quoted secrets, and persons after a title. The kind is that
+of the first pattern that matches the whole entity, in the order in which they are looked for. A document's titled persons are also found where
+their names stand bare, in the same case or in capitals. Each entity is
 brought to a canonical form, its unit (digits of a number, lower case of an address, the given and
 family names of a person one by one), and units get surrogates from SHA-256 of a key, the kind, the
 unit and an attempt number:
 
-- kind and format stay: the mention's punctuation, country code, length, letter case and (of a card)
-  leading digit and Luhn validity; an address stays under a reserved domain;
+- kind and format stay: the mention's punctuation, country code, length, letter case, a key's prefix, (of a card)
+  leading digit and Luhn validity, (of an IBAN) country and validity of the check digits;
+- surrogates lie in ranges that nobody owns where the kind has one: addresses under a reserved domain, IPs for benchmarks or in
+  the reserved class, telephone exchange 555, social security areas that aren't issued, locally administered MACs;
 - a person keeps the title, and the names' gender (from the title, else from the given name) and
   script (Latin or Cyrillic);
 - one unit has one surrogate wherever it stands, so coreference holds over the whole corpus;
 - a collision check gives every unit a surrogate that no other unit of its kind has and that is itself
-  no unit of the corpus: units that lose the check try again with the next attempt.
+  no unit of the corpus: units that lose the check try again with the next attempt, and later attempts draw from wider ranges.
 
-Scale: texts without an entity pass through without a shuffle. Units are distinct before they are
+Scale: the patterns run over each text once; texts and what was found are written to the shared folder, and rows without an entity pass
+through from there without a shuffle. Those with one are split at their entities and written again. Units are distinct before they are
 checked, the check's joins are on the surrogate and the unit together, mentions of heavy units are dealt
 out over salts, and a text is shuffled once, only if it has an entity.
 
-Null text stays null and has no entity. Texts without an entity come back unchanged. Repeated rows
-are rewritten alike and each keep their row. An empty table gives an empty result.
+Null text stays null and has no entity. Texts without an entity come back unchanged; every pattern is bounded, so
+that very long texts take a time in proportion. Ties: of units that draw one surrogate the first by code point gets it. Repeated rows
+are rewritten alike and each keep their row. Only the id and the text are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, checkpoint, heavy_keys, salted_join
+from .common import OWN, checkpoint, heavy_keys, salted_join, written
 
 KEY = "shelfmark-surrogates-1"
 ROUNDS = 64
@@ -68,30 +74,29 @@ IBAN = rf"[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{4}}[0-9]{{7}}[A-Z0-9]{{0,18}}{_EDGE}"
 CARD = rf"(?:[0-9]{{13,19}}|[0-9]{{4}}[ \-][0-9]{{4}}[ \-][0-9]{{4}}[ \-][0-9]{{1,7}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}){_EDGE}"
 PHONE = (
     rf"(?<!\+)(?:\+?1[ .\-]?)?(?:\([0-9]{{3}}\)[ .\-]?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}{_EDGE}"
-    rf"|\+[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]{{1,5}}\)?){{2,5}}{_EDGE}"
+    rf"|\+(?=(?:[ .\-]?\(?[0-9]\)?){{8}})[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]{{1,5}}\)?){{2,5}}{_EDGE}|0[0-9]{{2,4}}[ /\-][0-9]{{5,8}}{_EDGE}"
 )
+#: What keys of well-known services begin with.
+PREFIX = "(?:AKIA|ASIA|AIza|sk-|gh[pousr]_|xox[abprs]-)"
+TOKEN = rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|AIza[0-9A-Za-z_\-]{{35}}|sk-[A-Za-z0-9_\-]{{20,200}}|gh[pousr]_[A-Za-z0-9]{{30,255}}|xox[abprs]-[A-Za-z0-9\-]{{10,250}}){_EDGE}"
 PERSON = rf"(?={_FIRST}){_TITLE}\.?[ \t]+{_NAME}(?:[ \t]+{_NAME}){{0,2}}"
 SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api[_\-]?key)\s{0,2}[=:]\s{0,2}["'])[^"'\s]{6,}"""
+#: In the order in which they are tried.
+PATTERNS = (("email", EMAIL), ("hex", HEX), ("ip", IP), ("mac", MAC), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("token", TOKEN), ("person", PERSON))
 #: All but secrets begin after anything but a letter or a digit.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join((EMAIL, HEX, IP, MAC, SSN, IBAN, CARD, PHONE, PERSON)) + ")|" + SECRET
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for _, p in PATTERNS) + ")|" + SECRET
 #: What every entity has in it, cheap to look for.
-HINT = rf"[0-9@]|[=:]\s{{0,2}}[\"']|(?={_FIRST})(?<![\p{{L}}\p{{N}}]){_TITLE}\.?[ \t]"
+HINT = rf"[0-9@]|[=:]\s{{0,2}}[\"']|{PREFIX}|(?={_FIRST})(?<![\p{{L}}\p{{N}}]){_TITLE}\.?[ \t]"
+#: Numbers have their format put back by ``_refill``.
+_NUMBERS = ("card", "phone", "ssn")
 
 
 def kind_of(e: Column) -> Column:
-    """The kind of an entity that ENTITY matched."""
-    return (
-        F.when(e.contains("@"), "email")
-        .when(e.rlike(rf"^{_TITLE}\.?[ \t]"), "person")
-        .when(e.rlike("^[0-9A-Fa-f]{32,64}$"), "hex")
-        .when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
-        .when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(e.rlike("^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$"), "mac")
-        .when(e.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}$"), "iban")
-        .when(e.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card")
-        .when(e.rlike(r"^[+(]?[0-9][0-9 ().\-]+[0-9]$"), "phone")
-        .otherwise("secret")
-    )
+    """The kind of an entity that ENTITY matched: the first pattern that matches all of it; a secret if none does."""
+    found = F.lit("secret")
+    for kind, pattern in reversed(PATTERNS):
+        found = F.when(e.rlike(rf"\A(?:{pattern})\z"), kind).otherwise(found)
+    return found
 
 
 def _digits(e: Column) -> Column:
@@ -122,7 +127,8 @@ def units(e: Column) -> Column:
     named = F.transform(names, lambda x, i: F.concat(F.when(i == F.size(names) - 1, F.lit("family|")).otherwise(F.concat(F.lit("given_"), group)), F.lower(x)))
     digits = _digits(e)
     number = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
-    one = F.when(kind.isin("card", "phone", "ssn"), number).when(kind.isin("secret", "iban"), e).otherwise(F.lower(e))
+    abroad = (kind == "phone") & e.startswith("+") & ~((F.length(digits) == 11) & digits.startswith("1"))
+    one = F.when(abroad, F.concat(F.lit("+"), digits)).when(kind.isin(*_NUMBERS), number).when(kind.isin("secret", "iban", "token"), e).otherwise(F.lower(e))
     return F.when(kind == "person", named).otherwise(F.array(F.concat(kind, F.lit("|"), one)))
 
 
@@ -152,6 +158,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of a text of digits and capitals (A is 10) by 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
 def surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     """The candidate for a unit (kind|canonical form) at an attempt."""
     kind, value = F.substring_index(unit, "|", 1), F.regexp_replace(unit, r"^[^|]*\|(?:[mfx]\|)?", "")
@@ -163,7 +175,18 @@ def surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     body = F.concat(F.substring(value, 1, 1), F.substr(digits, F.lit(2), n - 2))
     check = F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.concat(body, F.when(_luhn_sum(value) % 10 == 0, check).otherwise(F.substr(digits, n, F.lit(1))))
-    ip = F.concat_ws(".", (_at(hashed, F.lit(0)) % 223 + 1).cast("string"), *[_at(hashed, F.lit(k)).cast("string") for k in (1, 2)], (_at(hashed, F.lit(3)) % 254 + 1).cast("string"))
+    byte = lambda k, most=256, least=0: (_at(hashed, F.lit(k)) % most + least).cast("string")
+    ip = F.when(attempt == 0, F.concat_ws(".", F.lit("198"), byte(0, 2, 18), byte(1), byte(2))).otherwise(F.concat_ws(".", byte(0, 15, 240), byte(1), byte(2), byte(3, 254, 1)))
+    # ten digits: the first one and exchange 555, later an area that no number has; those of other countries keep two digits of the code
+    ten = F.when(attempt < 4, F.concat(F.substring(value, 1, 1), F.substring(digits, 2, 2), F.lit("555"), F.substring(digits, 7, 4))).otherwise(F.concat(byte(1, 2), F.substring(digits, 2, 9)))
+    phone = F.when(value.startswith("+") & (attempt < 16), F.concat(F.substring(value, 1, 3), F.substr(digits, F.lit(4)))).when(n == 10, ten).otherwise(digits)
+    ssn = F.concat(F.lit("9"), F.substring(digits, 2, 2), byte(5, 5), F.substr(digits, F.lit(5)))
+    mac = F.concat(F.substring(hashed, 1, 1), F.substr(F.lit("26ae"), _at(hashed, F.lit(7)) % 4 + 1, F.lit(1)), F.lit(":"), F.concat_ws(":", *[F.substring(hashed, 2 * k + 1, 2) for k in range(1, 6)]))
+    land, account = F.substring(value, 1, 2), F.substr(digits, F.lit(5))
+    valid = _mod97(F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4))) == 1
+    iban = F.concat(land, F.when(valid, F.lpad((F.lit(98) - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substring(digits, 3, 2)), account)
+    start = F.regexp_extract(value, rf"\A{PREFIX}", 0)
+    token = F.concat(start, F.substr(digits, F.length(start) + 1))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     of_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain).cast("binary"), 256)
     more = F.when(attempt > 0, F.substring(hashed, 65, 8)).otherwise("")
@@ -185,9 +208,8 @@ def surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     names = F.when(kind == "family", per_script(lambda s: made(s, "_x"))).when(gender == "f", per_script(lambda s: given(s, "_f"))).when(gender == "m", per_script(lambda s: given(s, "_m"))).otherwise(per_script(lambda s: given(s, "_x")))
     return (
         F.when(kind == "email", email).when(kind == "hex", F.substr(hashed, F.lit(1), n)).when(kind == "ip", ip)
-        .when(kind == "mac", F.concat_ws(":", *[F.substring(hashed, 2 * k + 1, 2) for k in range(6)]))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substr(digits, F.lit(3))))
-        .when(kind == "card", card).when(kind.isin("phone", "ssn", "secret"), digits).otherwise(names)
+        .when(kind == "mac", mac).when(kind == "iban", iban).when(kind == "token", token)
+        .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "secret", digits).otherwise(names)
     )
 
 
@@ -196,7 +218,9 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     space = lambda c: F.when(F.substring_index(c, "|", 1).startswith("given"), "given").otherwise(F.substring_index(c, "|", 1))
     value = F.regexp_replace("unit", r"^[^|]*\|(?:[mfx]\|)?", "")
     real = found.select(space(F.col("unit")).alias("space"), value.alias("surrogate")).distinct()
-    pending = found.select("unit").withColumn("attempt", F.lit(0))
+    # by number: rows as short as these would else all be made in one task
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pending = found.select("unit").repartition(tasks, "unit").withColumn("attempt", F.lit(0))
     done = None
     for _ in range(ROUNDS):
         tried = pending.withColumn("surrogate", surrogate(F.col("unit"), F.col("attempt"), key)).withColumn("space", space(F.col("unit")))
@@ -206,7 +230,7 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
         first = free.groupBy("space", "surrogate").agg(F.min("unit").alias("unit"))
         won = checkpoint(first.select("space", "surrogate", "unit"))
         done = won if done is None else done.unionByName(won)
-        pending = checkpoint(pending.join(won.select("unit"), "unit", "left_anti").withColumn("attempt", F.col("attempt") + 1))
+        pending = checkpoint(pending.join(won.select("unit"), "unit", "left_anti").withColumn("attempt", F.col("attempt") + 1)).repartition(tasks, "unit")
         if pending.isEmpty():
             return done.select("unit", "surrogate")
     raise ValueError(f"no free surrogates after {ROUNDS} rounds: the space of some kind is used up")
@@ -214,7 +238,7 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def _refill(e: Column, number: Column) -> Column:
     """A number's new digits (a country code's old ones before them) in the format of a mention."""
-    old = _digits(e)
+    old, number = _digits(e), _digits(number)
     full = F.concat(F.substr(old, F.lit(1), F.length(old) - F.length(number)), number)
     chars = F.filter(F.split(e, ""), lambda c: c != "")
     return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(full, F.length(_digits(F.substr(e, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
@@ -224,28 +248,51 @@ def _cased(new: Column, old: Column) -> Column:
     return F.when((F.upper(old) == old) & (F.lower(old) != old) & (F.length(old) > 1), F.upper(new)).otherwise(new)
 
 
-def replacement(e: Column, known: Column) -> Column:
-    """What stands for a mention, by the map of its row's units."""
-    kind, own = kind_of(e), units(e)
+def replacement(e: Column, kind: Column, own: Column, known: Column) -> Column:
+    """What stands for a mention of a kind with units, by the map of its row's units."""
     one = known[F.element_at(own, 1)]
-    names = F.zip_with(own, _names(e), lambda u, x: _cased(F.concat(F.upper(F.substring(known[u], 1, 1)), F.substring(known[u], 2, 1000)), x))
+    capital = lambda u: F.concat(F.upper(F.substring(known[u], 1, 1)), F.substring(known[u], 2, 1000))
+    names = F.zip_with(own, _names(e), lambda u, x: _cased(capital(u), x))
     person = F.concat(F.regexp_extract(e, rf"^{_TITLE}\.?[ \t]+", 0), F.array_join(names, " "))
-    return F.when(kind == "person", person).when(kind.isin("card", "phone", "ssn"), _refill(e, one)).when(kind.isin("secret", "iban"), one).otherwise(_cased(one, e))
+    return (
+        F.when(kind == "person", person).when(kind == "name", _cased(capital(F.element_at(own, 1)), e)).when(kind.isin(*_NUMBERS), _refill(e, one))
+        .when(kind.isin("secret", "iban", "token"), one).otherwise(_cased(one, e))
+    )
+
+
+def _persons(found: Column) -> Column:
+    """(name, lower-case name, unit) of the titled persons' names, family names first; names of one letter left out."""
+    titled = F.filter(found, lambda e: kind_of(e) == "person")
+    each = F.flatten(F.transform(titled, lambda e: F.zip_with(_names(e), units(e), lambda x, u: F.struct((~u.startswith("family|")).alias("given"), x.alias("name"), F.lower(x).alias("low"), u.alias("unit")))))
+    return F.array_sort(F.array_distinct(F.filter(each, lambda x: F.length(x["name"]) > 1)))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text with surrogates, n_entities, kinds) of every row."""
+    row, found, names, pattern, mention = (OWN + x for x in ("row", "found", "names", "pattern", "mention"))
+    none = F.array().cast("array<string>")
     thin = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY), F.lit(False))
-    plain = thin.filter(~has).select(id_col, "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    rows = thin.filter(has).withColumn(f"{OWN}row", F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "text").cast("binary"))).withColumn(f"{OWN}found", F.regexp_extract_all("text", F.lit(ENTITY), 0))
-    mentions = checkpoint(rows.select(f"{OWN}row", F.explode(F.array_distinct(F.flatten(F.transform(f"{OWN}found", units)))).alias("unit")).distinct())
+    read = written(thin.withColumn(found, F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ENTITY), 0)).otherwise(none)))
+    plain = read.filter(F.size(found) == 0).select(id_col, "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    rows = read.filter(F.size(found) > 0).withColumn(row, F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "text").cast("binary")))
+    # the names that stand bare: the row's own pattern
+    rows = rows.withColumn(names, _persons(F.col(found)))
+    bare = F.array_join(F.array_distinct(F.flatten(F.transform(names, lambda x: F.array(x["name"], F.upper(x["name"]))))), "|")
+    rows = rows.withColumn(pattern, F.when(F.size(names) == 0, ENTITY).otherwise(F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), bare, F.lit(r")(?![\p{L}\p{N}])"))))
+    rows = rows.select(id_col, row, names, F.split("text", F.col(pattern), -1).alias("parts"), F.when(F.size(names) == 0, F.col(found)).otherwise(F.regexp_extract_all("text", F.col(pattern), 0)).alias(found))
+
+    def of(e: Column) -> Column:
+        hit = F.try_element_at(F.filter(names, lambda x: x["low"] == F.lower(e)), F.lit(1))
+        return F.when(hit.isNotNull(), F.struct(e.alias("e"), F.lit("name").alias("kind"), F.array(hit["unit"]).alias("units"))).otherwise(F.struct(e.alias("e"), kind_of(e).alias("kind"), units(e).alias("units")))
+
+    rows = written(rows.select(id_col, row, "parts", F.transform(found, of).alias(mention)))
+    mentions = checkpoint(rows.select(row, F.explode(F.array_distinct(F.flatten(F.transform(mention, lambda m: m["units"])))).alias("unit")).distinct())
     counts = checkpoint(mentions.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     chosen = assign(counts, key)
-    known = salted_join(mentions, chosen, "unit", heavy_keys(counts, "unit", "n", total), F.col(f"{OWN}row"), "inner").groupBy(f"{OWN}row").agg(F.map_from_entries(F.collect_list(F.struct("unit", "surrogate"))).alias(f"{OWN}known"))
-    told = rows.join(known, f"{OWN}row")
-    parts = F.split("text", ENTITY, -1)
-    new = F.array_join(F.zip_with(parts, F.transform(f"{OWN}found", lambda e: replacement(e, F.col(f"{OWN}known"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    told = told.select(id_col, new.alias("text"), F.size(f"{OWN}found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform(f"{OWN}found", kind_of))), ",").alias("kinds"))
+    known = salted_join(mentions, chosen, "unit", heavy_keys(counts, "unit", "n", total), F.col(row), "inner").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("unit", "surrogate"))).alias(f"{OWN}known"))
+    told = rows.join(known, row)
+    new = F.array_join(F.zip_with("parts", F.transform(mention, lambda m: replacement(m["e"], m["kind"], m["units"], F.col(f"{OWN}known"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    kinds = F.array_sort(F.array_distinct(F.transform(mention, lambda m: F.when(m["kind"] == "name", "person").otherwise(m["kind"]))))
+    told = told.select(id_col, new.alias("text"), F.size(mention).cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))
     return plain.unionByName(told)
