@@ -12,14 +12,16 @@ than the proportional share of the budget each time (length * bits / segments).
 get the full Hamming check. Both are exact: no linked pair fails the filter.
 
 A key lists distinct fingerprints only, so copies of a text count once however many there are. What
-leaves a key is a forest that connects the same fingerprints as all links do, never all pairs. A
+leaves a key is a forest that connects the same fingerprints as all links do, never all pairs. Inside a task, a
 key with more than ``block`` fingerprints is cut again by quarters of the bits that the key leaves
-open (three differences leave one quarter equal), and so on down; lists that can't be cut further
-are compared block by block. Nothing is capped.
-
-Null text, empty text and text without a word have fingerprint zero and link as any other.
-Repeated rows each get a row. Ids may be null or repeated: the graph's nodes are fingerprints.
-A component of null ids only has a null component_id. An empty table gives an empty result.
+open (three differences leave one quarter equal), and so on down to four open bits, which sixteen fingerprints can differ in.
+A key with more than SPLIT fingerprints isn't compared in its task: it streams them out, and they are listed anew under
+the quarters of its open bits, dealt over all tasks. At 16 open bits a key has no more than 2^16 fingerprints. Nothing is capped.
+
+Null text, empty text and text without a word have fingerprint zero and link as any other. Very long texts are hashed whole.
+Ties: the smallest doc_id of a component names it. Repeated rows each get a row. Ids may be null or repeated: the graph's nodes are fingerprints.
+A component of null ids only has a null component_id. Of the input only id and text are read by ``near_duplicates``; columns of any name pass
+through ``keep_one``, but for those that begin with ``__sm_``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .common import OWN, add_columns, bytes_of, checkpoint, heavy_keys, salted_j
 from .components import components
 
 SHINGLE, SEED, BITS, SEGMENTS, BLOCK = 3, 42, 3, 6, 2048
+#: Fingerprints of a key from which it is dealt over tasks, and open bits up to which it can't have more.
+SPLIT, FEW_BITS = 1 << 16, 16
 _HASH = xxhash.xxh64_intdigest
 _U = np.uint64
 
@@ -163,63 +167,114 @@ def links(values: np.ndarray, open_bits: list[int], forest: _Forest, where: np.n
 
 
 def _keys(fps: np.ndarray, segments: int, exact: int) -> list[np.ndarray]:
-    """The values of each choice of ``exact`` segments, and the choice's number in the low bits."""
+    """The values of each choice of ``exact`` segments."""
     parts = layout(segments)
     out = []
-    for number, choice in enumerate(combinations(range(segments), exact)):
+    for choice in combinations(range(segments), exact):
         key = np.zeros(len(fps), dtype=_U)
         for k in choice:
             at, width = parts[k]
             key = (key << _U(width)) | ((fps >> _U(at)) & _U((1 << width) - 1))
-        out.append((key << _U(8)) | _U(number))
+        out.append(key)
+    return out
+
+
+def open_bits(way: int, bits: int = BITS, segments: int = SEGMENTS) -> list[int]:
+    """The bits that a key leaves open. Its way is the number of its choice of segments and, from digit 64 on, the parts (from 1) it was cut by."""
+    parts = layout(segments)
+    choice = [*combinations(range(segments), segments - bits)][way % 64]
+    out = [b for k, (at, width) in enumerate(parts) if k not in choice for b in range(at, at + width)]
+    way //= 64
+    while way:
+        way, cut = divmod(way, bits + 2)
+        part = out[cut - 1 :: bits + 1]
+        out = [b for b in out if b not in part]
     return out
 
 
 def similar(fps: DataFrame, col: str = "fp", bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
     """Distinct fingerprints to links (u, v) with the components of all pairs within ``bits``."""
-    exact = segments - bits
-    parts = layout(segments)
-    opens = [[b for k, (at, width) in enumerate(parts) if k not in choice for b in range(at, at + width)] for choice in combinations(range(segments), exact)]
+    split, few = SPLIT, FEW_BITS
+
+    def rows(way: np.ndarray, key: np.ndarray, fp: np.ndarray, names: tuple[str, str, str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(way.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=list(names))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = _keys(signed.view(_U), segments, exact)
-            for key in keys:
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(signed)], names=["key", "fp"])
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
+            for number, key in enumerate(_keys(own, segments, segments - bits)):
+                yield rows(np.full(len(own), number), key, own, ("way", "key", "fp"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            way, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for w in np.unique(way).tolist():
+                here, own = key[way == w].view(_U), fp[way == w].view(_U)
+                left, place = open_bits(w, bits, segments), 1
+                while w // 64 >= (bits + 2) ** (place - 1):
+                    place += 1
+                for part in range(1, bits + 2):
+                    mask = _U(sum(1 << b for b in left[part - 1 :: bits + 1]))
+                    # keys that meet by chance only cost comparisons
+                    new = (here * _U(0x9E3779B97F4A7C15)) ^ ((own & mask) * _U(0xC2B2AE3D27D4EB4F)) ^ _U(part)
+                    yield rows(np.full(len(own), w + 64 * part * (bits + 2) ** (place - 1)), new ^ (new >> _U(29)), own, ("way", "key", "fp"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            cuts = np.nonzero(np.diff(keys))[0] + 1
-            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            some = ends - begins > 1
-            u, v = [], []
-            for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True):
-                group = values[a:b]
-                for p, q in links(group, opens[int(keys[a]) & 255], _Forest(b - a), None, bits, segments):
-                    u.append(group[p])
-                    v.append(group[q])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(u, dtype=_U).view(np.int64)), pa.array(np.array(v, dtype=_U).view(np.int64))], names=["u", "v"])
-
-        keys, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:  # sorted by key: all but the last key of a batch are whole
+        opens: dict[int, list[int]] = {}
+        pairs: tuple[list, list] = ([], [])  # links of the batch at hand
+        group, held, size, streams = None, [], 0, False  # the key that may go on in the next batch
+
+        def compare(way: int, own: np.ndarray) -> None:
+            for p, q in links(own, opens[way], _Forest(len(own)), None, bits, segments):
+                pairs[0].append(own[p])
+                pairs[1].append(own[q])
+
+        def streamed() -> Iterator[pa.RecordBatch]:
+            for own in held:
+                yield rows(np.full(len(own), group[0]), np.full(len(own), group[1]), own, ("way", "u", "v"))
+            held.clear()
+
+        def told() -> pa.RecordBatch:
+            u, v = (np.array(x, dtype=_U) for x in pairs)
+            pairs[0].clear(), pairs[1].clear()
+            return rows(np.full(len(u), -1), u, v, ("way", "u", "v"))
+
+        for batch in batches:  # sorted by way and key
             if not batch.num_rows:
                 continue
-            k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(_U)
-            waiting.append((k, f))
-            if k[0] == k[-1] and waiting[0][0][0] == k[0]:
-                continue  # one key goes on through this batch
-            keys, values = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            last = int(np.searchsorted(keys, keys[-1], "left"))
-            waiting = [(keys[last:], values[last:])]
-            yield flush(keys[:last], values[:last])
-        if waiting:
-            yield flush(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
-
-    listed = fps.select(F.col(col).alias("fp")).mapInArrow(spread, "key long, fp long")
-    parts_n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(parts_n, "key").sortWithinPartitions("key").mapInArrow(match, "u long, v long")
+            way, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fp = fp.view(_U)
+            cuts = np.nonzero((np.diff(key) != 0) | (np.diff(way) != 0))[0] + 1
+            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            some = ends - begins > 1
+            some[0] = some[-1] = True
+            for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True):
+                own = int(way[a]), key[a]
+                opens.setdefault(own[0], open_bits(own[0], bits, segments))
+                if own != group:
+                    if size > 1 and not streams:
+                        compare(group[0], np.concatenate(held))
+                    group, size, streams = own, 0, False
+                    held.clear()
+                held.append(fp[a:b])
+                size += b - a
+                if size > split and len(opens[own[0]]) > few:
+                    streams = True
+                    yield from streamed()
+            yield told()
+        if size > 1 and not streams:
+            compare(group[0], np.concatenate(held))
+        yield told()
+
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed, found = fps.select(F.col(col).alias("fp")).mapInArrow(spread, "way int, key long, fp long"), None
+    while True:
+        step = checkpoint(listed.repartition(tasks, "way", "key").sortWithinPartitions("way", "key").mapInArrow(match, "way int, u long, v long"))
+        pairs, large = step.filter("way < 0").select("u", "v"), step.filter("way >= 0")
+        found = pairs if found is None else found.unionByName(pairs)
+        if large.isEmpty():
+            return found
+        listed = large.mapInArrow(cut, "way int, key long, fp long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
