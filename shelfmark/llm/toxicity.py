@@ -7,19 +7,27 @@ difference of the two scores is penalised, so that terms that name a group don't
 Features whose share differs between the labels by less than LEAST_Z standard errors take no part; an
 L1 penalty leaves few of the others with a weight.
 
+Identity terms are those of the table ``IDENTITY_TERMS`` and terms learned from the labelled texts: words whose
+share differs between the labels, though most texts that hold them are harmless. Such words are what a plain
+classifier wrongly takes for signs of toxicity (or of its absence). The ``terms`` (default 256) with the clearest difference are
+put in groups of four that are about equally frequent. A word most of whose texts are toxic is never one of them.
+
 Training rows are bounded: about ``rows`` labelled rows (default 12,000), taken by a hash of id and
-text at a rate that the count gives. Executors extract features (a few hundred numbers a row); the
-driver fits them with proximal gradient steps. The weights (2^20 float32, mostly zero) are broadcast.
+text at a rate that the count gives; they are written to the shared folder and read three times: for features, for the counts of words,
+and for the pairs. Executors do all that; the driver gets features (a few hundred numbers a row), the chosen terms, and of the pairs only
+features that take part, and fits them with proximal gradient steps. The weights (2^20 float32, mostly zero) are broadcast.
 
 Null, empty and letterless texts have no feature and score as the intercept says. Texts are scored
-whole. Repeated labels of a document count as rows of their own. Where there is no row to learn from
-every score is 0. Repeated rows score alike; an empty table gives an empty result.
+whole, however long. Repeated labels of a document count as rows of their own. Where there is no row to learn from
+every score is 0. Ties: terms that differ as clearly stand by code point. Repeated rows score alike. Columns of any name pass through, but
+for the one of the score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -28,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, crc_of_id, texts_of
+from .common import add_columns, crc_of_id, forget, texts_of, written
 
 BUCKETS = 1 << 20
 ROWS = 12_000
 #: Weight of the counterfactual penalty, of L1, of L2, and gradient steps.
-PAIRS, L1, L2, STEPS = 1.0, 3e-4, 1e-6, 200
+PAIRS, L1, L2, STEPS = 4.0, 3e-4, 1e-6, 200
+#: How many terms are learned, and of how many a group has.
+TERMS, GROUP = 256, 4
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 PREFIXES = (4, 5, 6)
@@ -55,7 +65,24 @@ IDENTITY_TERMS = (
     ("mujer", "hombre"),
     ("cristianos", "musulmanes", "judíos"),
 )
-_SWAPS = {w: group for group in IDENTITY_TERMS for w in group}
+
+
+def swaps_of(groups) -> dict[str, str]:
+    """Each term and the next one of its group."""
+    return {w: g[(k + 1) % len(g)] for g in groups if len(g) > 1 for k, w in enumerate(g)}
+
+
+SWAPS = swaps_of(IDENTITY_TERMS)
+
+
+@dataclass
+class Model:
+    """Weights of BUCKETS features, the intercept, and what it was fitted to."""
+
+    weights: np.ndarray
+    bias: float
+    terms: list[str] = field(default_factory=list)
+    pairs: int = 0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -81,14 +108,13 @@ def features(words: set[str], cache: dict[str, tuple[int, ...]] | None = None) -
     return sorted(out)
 
 
-def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
-    """For each sentence with identity terms: its words, and its words with each term swapped for the next."""
+def counterfactuals(text: str | None, swaps: dict[str, str] = SWAPS) -> list[tuple[set[str], set[str]]]:
+    """For each sentence with identity terms: its words, and its words with each term swapped for the next of its group."""
     out = []
     for sentence in _SENTENCE.split(text or ""):
         words = words_of(sentence)
-        if not words.isdisjoint(_SWAPS):
-            swapped = {(_SWAPS[w][(_SWAPS[w].index(w) + 1) % len(_SWAPS[w])] if w in _SWAPS else w) for w in words}
-            out.append((words, swapped))
+        if not words.isdisjoint(swaps):
+            out.append((words, {swaps.get(w, w) for w in words}))
     return out
 
 
@@ -130,7 +156,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PAIRS) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PAIRS, columns: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights of BUCKETS features and an intercept, by accelerated proximal gradient steps."""
     weights = np.zeros(BUCKETS, dtype=np.float32)
     n = len(rows)
@@ -138,7 +164,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
         return weights, -np.inf
     if len(set(labels.tolist())) < 2:
         return weights, 40.0 if labels[0] else -40.0
-    columns = telling(rows, labels)
+    columns = telling(rows, labels) if columns is None else columns
     x, a, b = Rows(rows, columns), Rows([p[0] for p in pairs], columns), Rows([p[1] for p in pairs], columns)
     size, y = len(columns), labels.astype(np.float64)
     # rows of both labels weigh the same in sum
@@ -185,39 +211,77 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> tuple[np.ndarray, float]:
+def learned_terms(texts: DataFrame, terms: int = TERMS, least_z: float = LEAST_Z) -> list[str]:
+    """The words of (y, text) rows whose share differs most clearly between the labels, but most of whose texts are harmless.
+
+    They come in order of frequency, so that neighbours can stand for each other.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, text in zip(texts_of(batch, "y"), texts_of(batch, "text"), strict=True):
+                if words := sorted(words_of(text)):
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([int(y == 1)] * len(words), pa.int32())], names=["word", "y"])
+
+    n1, n = texts.agg(F.sum((F.col("y") == 1).cast("long")), F.count(F.lit(1))).first()
+    n1 = n1 or 0
+    if not 0 < n1 < n:
+        return []
+    share = F.col("n") / F.lit(float(n))
+    error = F.sqrt(share * (1 - share) * F.lit(1 / n1 + 1 / (n - n1)))
+    clear = F.abs(F.col("ones") / F.lit(float(n1)) - (F.col("n") - F.col("ones")) / F.lit(float(n - n1))) / error
+    counts = texts.mapInArrow(count, "word string, y int").groupBy("word").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
+    found = counts.filter((F.col("n") < n) & (F.col("ones") * 2 < F.col("n"))).withColumn("z", clear).filter(F.col("z") >= least_z)
+    best = found.orderBy(F.col("z").desc(), "word").limit(terms).collect()
+    return [r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, terms: int = TERMS, penalty: float = PAIRS) -> Model:
     """Fit the labelled documents (all of those that are given; bounded as said above)."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null and y is not null")
     count = marked.count()
     # ids are sampled before the texts are joined; repeated ids go in or stay out together
     picked = marked.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < float(1 << 30) * min(1.0, rows / max(1, count)))
-    joined = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(picked, F.col("doc") == F.col("id")).select("id", "y", "text")
+    joined = written(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(picked, F.col("doc") == F.col("id")).select("y", "text"))
+
+    def numbers_of(sets: list[set[str]], cache: dict[str, tuple[int, ...]], some: np.ndarray | None = None) -> pa.Array:
+        found = [np.array(features(s, cache), dtype=np.int32) for s in sets]
+        return pa.array([(f if some is None else f[np.isin(f, some)]).tobytes() for f in found], pa.binary())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        numbers = lambda sets: pa.array([np.array(features(s, cache), dtype=np.int32).tobytes() for s in sets], pa.binary())
         for batch in batches:
-            texts, ys = texts_of(batch, "text"), texts_of(batch, "y")
-            pairs = [p for t in texts for p in counterfactuals(t)]
-            n, m = len(texts), len(pairs)
-            x = pa.concat_arrays([numbers([words_of(t) for t in texts]), numbers([p[0] for p in pairs])])
-            other = pa.concat_arrays([pa.nulls(n, pa.binary()), numbers([p[1] for p in pairs])])
-            yield pa.RecordBatch.from_arrays([pa.array([*ys, *[None] * m], pa.int32()), x, other], names=["y", "x", "other"])
-
-    got = joined.mapInArrow(extract, "y int, x binary, other binary").toArrow()
-    y, x, other = (got.column(k).to_pylist() for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), numbers_of([words_of(t) for t in texts_of(batch, "text")], cache)], names=["y", "x"])
+
     numbers = lambda b: np.frombuffer(b, dtype=np.int32)
+    got = joined.mapInArrow(extract, "y int, x binary").toArrow()
     # in an order of their own, so that sums don't depend on which task ended first
-    rows_ = sorted(((b, label) for label, b, o in zip(y, x, other, strict=True) if o is None and label is not None), key=lambda r: (r[0], r[1]))
-    pairs = sorted((b, o) for b, o in zip(x, other, strict=True) if o is not None)
-    return fit([numbers(b) for b, _ in rows_], np.array([int(label == 1) for _, label in rows_]), [(numbers(b), numbers(o)) for b, o in pairs])
+    ordered = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
+    x, y = [numbers(b) for b, _ in ordered], np.array([int(label == 1) for _, label in ordered])
+    if len(set(y.tolist())) < 2:
+        forget(joined)
+        return Model(*fit(x, y, []))
+    columns, own = telling(x, y), learned_terms(joined, terms)
+    swaps = SWAPS | swaps_of([own[k : k + GROUP] for k in range(0, len(own), GROUP)])
+    shared = docs.sparkSession.sparkContext.broadcast((swaps, columns))
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps, columns = shared.value
+        cache: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            pairs = [p for t in texts_of(batch, "text") for p in counterfactuals(t, swaps)]
+            yield pa.RecordBatch.from_arrays([numbers_of([p[k] for p in pairs], cache, columns) for k in (0, 1)], names=["a", "b"])
+
+    got = joined.mapInArrow(swap, "a binary, b binary").toArrow()
+    pairs = sorted((a, b) for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True) if a != b)
+    forget(joined)
+    return Model(*fit(x, y, [(numbers(a), numbers(b)) for a, b in pairs], penalty, columns), own, len(pairs))
 
 
-def predict(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with a score from 0 to 1."""
-    weights, bias = model
-    used = np.nonzero(weights)[0]
-    shared = df.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used], bias))
+    used = np.nonzero(model.weights)[0]
+    shared = df.sparkSession.sparkContext.broadcast((used.astype(np.int32), model.weights[used], model.bias))
 
     def compute():
         used, values, bias = shared.value
