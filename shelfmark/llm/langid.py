@@ -7,11 +7,12 @@ numpy, some hundred thousand n-grams at a time whatever a text's length is.
 
 Training rows are bounded: about ``per_lang`` rows of each language (default 6000), taken by a hash
 of id and text with a rate that the counts give. Languages of the matrix are those of the training
-rows, all with the same prior; more than MOST_LANGS (1000) of them raise an error.
+rows, all with the same prior. The matrix takes a quarter of a MB a language; more than MOST_LANGS (400) of them raise an error.
 
 A text that is null or has no letter gets ``und`` with score 0, as does every text where there was
-no row to learn from. Ties go to the language that is first by code point. Whole texts are scored.
-Repeated rows score alike; an empty table gives an empty result.
+no row to learn from. Ties go to the language that is first by code point. Whole texts are scored, however long.
+Repeated rows score alike. Columns of any name pass through, but for those of the results and those that begin with ``__sm_``. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import OWN, add_columns, crc_of_id, texts_of
 BUCKETS = 1 << 16
 PER_LANG = 6000
 #: More languages than this raise an error; it bounds the matrix and the table of rates.
-MOST_LANGS = 1000
+MOST_LANGS = 400
 UNDETERMINED = "und"
 SMOOTHING = 0.5
 #: n-grams scored at a time, over all languages of the matrix.
@@ -37,7 +38,7 @@ BLOCK = 1 << 21
 
 
 def _letters() -> np.ndarray:
-    """Code point below 2^16 to its lower-case letter, anything else to a space."""
+    """Code point below 2^16 to its lower-case letter, anything else to a space (those above: see ``_high``)."""
     table = np.full(1 << 16, 32, dtype=np.uint16)
     for code in range(1 << 16):
         char = chr(code)
@@ -50,6 +51,13 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def _high(codes: np.ndarray) -> np.ndarray:
+    """Code points above 2^16 to their lower-case letters, anything else to a space."""
+    some, where = np.unique(codes, return_inverse=True)
+    low = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, some.tolist())]
+    return np.array(low, dtype=np.uint32)[where]
+
+
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed n-grams of the texts one after the other, by order; and where each text starts.
 
@@ -64,6 +72,9 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     np.cumsum([len(t) + 1 for t in texts[:-1]], out=starts[1:])
     codes = np.concatenate([np.array([32], dtype=np.uint32), codes, np.array([32], dtype=np.uint32)])  # text k now has a space before it at starts[k]
     letters = _TABLE[0][np.minimum(codes, 0xFFFF)].astype(np.uint32)
+    high = codes > 0xFFFF
+    if high.any():
+        letters[high] = _high(codes[high])
     space = letters == 32
     keep = ~space
     keep[1:] |= ~space[:-1]
@@ -102,11 +113,20 @@ class Model:
     """Languages and the log-probability matrix (BUCKETS + 1 rows; the last is zero)."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs = langs
-        smooth = counts + SMOOTHING
-        logs = np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True)) if langs else np.zeros((0, BUCKETS))
-        self.matrix = np.zeros((BUCKETS + 1, len(langs)), dtype=np.float32)
-        self.matrix[:BUCKETS] = logs.T
+        self._fill({lang: np.log(c + SMOOTHING) - np.log((c + SMOOTHING).sum()) for lang, c in zip(langs, counts, strict=True)})
+
+    @classmethod
+    def of(cls, logs: dict[str, np.ndarray]) -> Model:
+        """From each language's log-probabilities."""
+        out = cls.__new__(cls)
+        out._fill(logs)
+        return out
+
+    def _fill(self, logs: dict[str, np.ndarray]) -> None:
+        self.langs = list(logs)
+        self.matrix = np.zeros((BUCKETS + 1, len(logs)), dtype=np.float32)
+        for k, own in enumerate(logs.values()):
+            self.matrix[:BUCKETS, k] = own
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text in each language."""
@@ -132,6 +152,12 @@ class Model:
         return [self.langs[k] for k in best], 1.0 / odds.sum(axis=1)
 
 
+def _logs(counts: list) -> np.ndarray:
+    smooth = np.full(BUCKETS, SMOOTHING)
+    np.add.at(smooth, np.array([c["bucket"] for c in counts], dtype=np.int64), np.array([c["n"] for c in counts], dtype=np.float64))
+    return (np.log(smooth) - np.log(smooth.sum())).astype(np.float32)
+
+
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
     """A model of the rows with a language and a text."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -156,12 +182,11 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             used = np.nonzero(have[:BUCKETS])[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(have[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = picked.repartition(12).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    matrix = np.zeros((len(langs), BUCKETS))
-    place = {lang: k for k, lang in enumerate(langs)}
-    matrix[counts["lang"].map(place).to_numpy(dtype=np.int64), counts["bucket"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.float64)
-    return Model(langs, matrix)
+    counts = picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # a row a language, one after the other: the driver holds one language's counts beside the matrix
+    by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    parts = [(r["lang"], _logs(r["counts"])) for r in by_lang.toLocalIterator()]
+    return Model.of(dict(sorted(parts)))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
