@@ -22,6 +22,8 @@ SALT_ROWS, SALTS = 256, 1 << 16
 BUCKET_ROWS = 1 << 18
 #: Bytes that an Arrow function gets at a time.
 SLICE = 4 << 20
+#: Bytes of a row group in tables that ``written`` writes: a writer holds one in memory.
+ROW_GROUP = 32 << 20
 #: Prefix of the columns that operators add for themselves and drop again.
 OWN = "__sm_"
 
@@ -62,7 +64,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     _TABLES.add(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -151,27 +153,30 @@ def numbered(rows: DataFrame, groups: list[str], out: str, *, keys: DataFrame |
     return rows.join(offsets, bucket).withColumn(out, F.col(f"{OWN}offset") + F.row_number().over(inside) - 1).drop(sub, own, part, f"{OWN}offset")
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """Append columns that an Arrow function computes; every input column passes through.
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about SLICE bytes, so that a worker holds few texts as Python objects at a time."""
+    rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
 
-    ``compute`` is called once a task and returns the function for a batch. Batches are cut to about
-    SLICE bytes, so that a worker holds few texts as Python objects at a time. A field whose name the
+
+def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns that an Arrow function computes; every input column but those in ``drop`` passes through.
+
+    ``compute`` is called once a task and returns the function for a slice of a batch. A field whose name the
     input has already replaces that column.
     """
     new = {f.name for f in fields}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
-    keep = len(df.columns)
+    kept = [k for k, c in enumerate(df.columns) if c not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
         for whole in batches:
-            rows = max(1, whole.num_rows * SLICE // max(SLICE, whole.nbytes))
-            for a in range(0, whole.num_rows, rows):
-                batch = whole.slice(a, rows)
-                made = work(batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *made], names=[*batch.schema.names[:keep], *[f.name for f in fields]])
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *work(batch)], names=[*(batch.schema.names[k] for k in kept), *[f.name for f in fields]])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in kept), *fields]))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list:

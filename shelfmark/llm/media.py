@@ -2,18 +2,20 @@
 
 ``parse`` turns HTML into one ordered array of structs per document: text runs and media references,
 each with its position, a reference with its digest, its alternative text and its caption (the
-figure's caption, wherever in the figure it stands). ``resolve`` joins references to a media table by
+figure's caption, wherever in the figure it stands). ``interleave`` joins references to a media table by
 digest and puts what it finds back at the same positions. Only references travel to the join, never
 a document's text, and only those columns of the media table that the caller asks for: a store's
 payloads move if they are asked for, descriptors otherwise.
 
-``encode`` stores payloads as PNG (8-bit RGB, 64 pixels or 192 bytes a row, no filter) and ``decode``
-reads the stored bytes back and describes them.
+``encode`` makes the media table: digest, and the payload as PNG (8-bit RGB, 64 pixels or 192 bytes a row, no
+filter). A task stores a digest once, so a text with thousands of copies is encoded once a task, and payloads aren't shuffled.
+The table is written to the shared folder; ``decode`` reads the stored bytes back from it and describes them.
 
 Null HTML gives an empty sequence, as does empty HTML. Script, style and template contents are
-dropped. A reference without a digest stays in the sequence, unresolved, as does one whose digest
+dropped. Very long documents are parsed whole. A reference without a digest stays in the sequence, unresolved, as does one whose digest
 the media table lacks. Rows of the media table with one digest count as copies of each other.
-Repeated documents each get a row. Empty tables give empty results.
+Repeated documents, null ids and equal ids each get a row: rows are told apart by their place in a table that is written. Columns of any name
+pass through ``parse`` and ``interleave``, but for the items and those that begin with ``__sm_``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, add_columns, bytes_of, checkpoint, heavy_keys, salted_join, texts_of
+from .common import OWN, add_columns, bytes_of, checkpoint, heavy_keys, salted_join, slices, texts_of, written
 
 ROW = 192
 SCHEME = "sha256:"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _IDAT = 1 << 20
+#: Digests that a task remembers to have stored.
+REMEMBERED = 100_000
 
 _BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
 _SKIPPED = frozenset(("script", "style", "template", "noscript"))
@@ -123,14 +127,14 @@ def sequence(html: str | None) -> list[dict]:
     return parser.done()
 
 
-def parse(df: DataFrame, html_col: str = "html", out: str = "items") -> DataFrame:
-    """Append the ordered items of each document."""
+def parse(df: DataFrame, html_col: str = "html", out: str = "items", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append the ordered items of each document, without the columns in ``drop``."""
     kind = pa.list_(pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in ITEM.names[1:]]]))
 
     def compute():
         return lambda batch: [pa.array([sequence(h) for h in texts_of(batch, html_col)], kind)]
 
-    return add_columns(df, [T.StructField(out, T.ArrayType(ITEM))], compute)
+    return add_columns(df, [T.StructField(out, T.ArrayType(ITEM))], compute, drop)
 
 
 def references(parsed: DataFrame, id_col: str = "doc_id", items: str = "items") -> DataFrame:
@@ -147,12 +151,14 @@ def resolve(refs: DataFrame, media: DataFrame, columns: list[str], id_col: str =
     return salted_join(refs, found, "digest", heavy_keys(counts, "digest", "n", refs.count()), F.concat_ws(",", id_col, "pos"))
 
 
-def interleave(parsed: DataFrame, media: DataFrame, columns: list[str], id_col: str = "doc_id", items: str = "items") -> DataFrame:
-    """Documents (unique ids) with their items, each reference with ``columns`` under ``media``."""
-    flat = parsed.select(id_col, F.explode(items).alias("x"))
-    refs = resolve(references(parsed, id_col, items), media, columns, id_col).select(F.col(id_col).alias(f"{OWN}id"), F.col("pos").alias(f"{OWN}pos"), F.struct(*columns).alias("media"))
-    whole = flat.join(refs, (F.col(id_col) == F.col(f"{OWN}id")) & (F.col("x.pos") == F.col(f"{OWN}pos")), "left").select(id_col, F.struct("x.*", "media").alias("x"))
-    return whole.groupBy(id_col).agg(F.array_sort(F.collect_list("x")).alias(items))
+def interleave(parsed: DataFrame, media: DataFrame, columns: list[str], items: str = "items") -> DataFrame:
+    """``parsed`` with ``columns`` of the media row in each item, under ``media`` (null where there is none)."""
+    row, hits = f"{OWN}row", f"{OWN}hits"
+    rows = written(parsed.withColumn(row, F.monotonically_increasing_id()))
+    refs = resolve(references(rows, row, items), media, columns, row)
+    found = refs.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct(*columns)))).alias(hits))
+    whole = F.transform(F.col(items), lambda x: x.withField("media", F.try_element_at(F.col(hits), x["pos"])))
+    return rows.join(found, row, "left").withColumn(items, whole).drop(row, hits)
 
 
 def padded(text: Column) -> Column:
@@ -212,9 +218,24 @@ def describe(payload: bytes) -> str:
     return f"64x{len(payload) // ROW} mean={mean:.4f} std={spread:.4f} entropy={float(-(share * np.log2(share)).sum()):.4f}"
 
 
-def encode(payloads: DataFrame, payload_col: str = "payload", out: str = "media") -> DataFrame:
-    """Append the stored form of each payload."""
-    return add_columns(payloads, [T.StructField(out, T.BinaryType())], lambda: lambda batch: [pa.array([encode_png(p) for p in bytes_of(batch, payload_col)], pa.binary())])
+def encode(payloads: DataFrame, payload_col: str = "payload", digest_col: str = "digest") -> DataFrame:
+    """(digest, media): the stored form of each payload, a digest at most once a task as long as it is remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for whole in batches:
+            for batch in slices(whole):
+                digests, media = [], []
+                for digest, payload in zip(texts_of(batch, digest_col), bytes_of(batch, payload_col), strict=True):
+                    if digest not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(digest)
+                        digests.append(digest)
+                        media.append(encode_png(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+
+    return payloads.select(digest_col, payload_col).mapInArrow(run, "digest string, media binary")
 
 
 _READ = [("payload_bytes", pa.int64(), T.LongType()), ("payload_sha256", pa.string(), T.StringType()), ("tail_crc32", pa.int64(), T.LongType()), ("media_bytes", pa.int64(), T.LongType()), ("media_sha256", pa.string(), T.StringType()), ("feature", pa.string(), T.StringType())]
@@ -225,35 +246,34 @@ def _read_back(stored: bytes) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload)
 
 
-def _descriptors(rows: DataFrame, column: str, stored: Callable[[bytes], bytes]) -> DataFrame:
+def decode(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """``media`` with what the stored bytes hold, read back, in their place: sizes, hashes and the feature."""
+
     def compute():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [_read_back(stored(data)) for data in bytes_of(batch, column)]
+            found = [_read_back(data) for data in bytes_of(batch, media_col)]
             return [pa.array([r[k] for r in found], kind) for k, (_, kind, _) in enumerate(_READ)]
 
         return work
 
-    return add_columns(rows, [T.StructField(name, kind) for name, _, kind in _READ], compute)
-
-
-def decode(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Append what the stored bytes hold, read back: sizes, hashes and the feature."""
-    return _descriptors(media, media_col, lambda data: data)
-
-
-def encode_and_decode(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """``decode`` of ``encode`` in one pass, for stores whose payloads stay where they are."""
-    return _descriptors(payloads, payload_col, encode_png)
+    return add_columns(media, [T.StructField(name, kind) for name, _, kind in _READ], compute, (media_col,))
 
 
 def of_texts(docs: DataFrame) -> DataFrame:
-    """Documents rendered as HTML with their own bytes as the picture, parsed, stored and resolved.
+    """Documents rendered as HTML with their own bytes as the picture, parsed, stored and interleaved.
 
-    (doc_id, n_bytes, what ``decode`` gives, and position and caption of the reference.)
+    (doc_id, n_bytes, what ``decode`` gives, and how the sequence lies: its items, the picture's position and caption.) The text runs
+    themselves aren't needed here; their MD5 stands for them.
     """
     thin = docs.select("doc_id", "text").withColumn("payload", padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
+    store = written(encode(thin))
     html = F.concat(F.lit("<article><p>"), escaped(F.col("text")), F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    refs = references(parse(thin.select("doc_id", html.alias("html")), "html"))
+    parsed = parse(thin.select("doc_id", html.alias("html")), "html", drop=("html",))
+    parsed = parsed.withColumn("items", F.transform("items", lambda x: x.withField("text", F.md5(x["text"].cast("binary")))))
     names = [n for n, _, _ in _READ]
-    found = resolve(refs, encode_and_decode(thin.select("digest", "payload")).drop("payload"), names)
-    return found.select("doc_id", F.regexp_extract("caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes"), *names, F.col("pos").alias("media_pos"), "caption", (F.col("digest") == F.col("payload_sha256")).alias("digest_matches"))
+    whole = interleave(parsed, decode(store), names).withColumn("x", F.element_at(F.filter("items", lambda x: x["kind"] == "img"), 1))
+    runs = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), ",")
+    return whole.select(
+        "doc_id", F.regexp_extract("x.caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes"), *[F.col(f"x.media.{n}").alias(n) for n in names],
+        F.size("items").cast("long").alias("n_items"), F.col("x.pos").alias("media_pos"), F.col("x.caption").alias("caption"), runs.alias("text_md5"), (F.col("x.digest") == F.col("x.media.payload_sha256")).alias("digest_matches"),
+    )
