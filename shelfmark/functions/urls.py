@@ -140,3 +140,14 @@ def cover_extension(content_type: Column, url: Column) -> Column:
 def playlist_url(key: Column, base: str = BASE) -> Column:
     """Where the playlist of a key (<id>-<slug>) is; null without one."""
     return F.concat(F.lit(base.rstrip("/") + "/m33u2/"), _encoded(key), F.lit(".m3u"))
+
+
+def preferred_cover(cover: Column) -> Column:
+    """The cover's URL, null where there is none."""
+    return F.nullif(F.trim(cover), F.lit(""))
+
+
+def cover_proxy_url(source_id: Column, cover: Column, version: Column) -> Column:
+    """Where a browser gets a book's cover; the address changes with the cached file's version, if there is one."""
+    address = F.concat(F.lit("/api/covers/"), source_id.cast("string"))
+    return F.when(preferred_cover(cover).isNotNull(), F.concat(address, F.coalesce(F.concat(F.lit("?v="), version.cast("string")), F.lit(""))))

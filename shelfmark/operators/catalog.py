@@ -107,6 +107,56 @@ def record_detail(books: DataFrame, parsed: DataFrame, fetched_at: Column, order
     return m.merge(books, batch, ["source_id"], {k: v for k, v in m.DETAIL.items() if k in batch.columns}, order)
 
 
+def _people(parsed: DataFrame, column: str) -> DataFrame:
+    """(key, name, book_count) of the people that parsed pages name; of several names of a key the one of the greatest book counts."""
+    flat = parsed.select("source_id", F.explode(column).alias("x"))
+    return flat.groupBy(F.col("x.key").alias("key")).agg(F.max_by("x.name", "source_id").alias("name")).withColumn("book_count", F.lit(None).cast("int"))
+
+
+def record_details(tables: dict[str, DataFrame], parsed: DataFrame, fetched_at: Column) -> dict[str, DataFrame]:
+    """All tables after detail pages came in: the books, their people, genres and series, and the bridges of these books anew.
+
+    ``tables`` are those of ``sources.schema``; ``parsed`` comes from ``pages.parse_books``, a row a book.
+    """
+    flat = parsed.withColumns({"series_key": F.col("series.key"), "series_name": F.col("series.name"), "series_seq": F.col("series.sequence")})
+    out = {"books": record_detail(tables["books"], flat, fetched_at)}
+    for name, column, key in (("authors", "authors", "author_key"), ("narrators", "narrators", "narrator_key"), ("genres", "genres", "genre_key")):
+        found = _people(parsed, column)
+        out[name] = m.merge(tables[name], found if name != "genres" else found.drop("book_count"), ["key"], m.GENRE if name == "genres" else m.ENTITY)
+        fresh = parsed.select("source_id", F.explode(column).alias("x")).select("source_id", F.col("x.key").alias(key))
+        out[f"book_{name}"] = m.replace_children(tables[f"book_{name}"], parsed, fresh, "source_id", ["source_id", key])
+    series = _people(parsed.filter("series is not null").withColumn("all", F.array("series")), "all")
+    out["series"] = m.merge(tables["series"], series, ["key"], m.ENTITY)
+    out["book_tags"] = m.replace_children(tables["book_tags"], parsed, parsed.select("source_id", F.explode("tags").alias("tag")), "source_id", ["source_id", "tag"])
+    return out
+
+
+def skipped(landed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(source_id, detail_state, detail_error) of landed pages that are no books."""
+    return landed.select("source_id").join(parsed.select("source_id"), "source_id", "left_anti").select("source_id", F.lit("skipped").alias("detail_state"), F.lit("not a book page").alias("detail_error"))
+
+
+def backfill(tables: dict[str, DataFrame], landed: DataFrame, parsed: DataFrame, fetched_at: Column) -> dict[str, DataFrame]:
+    """All tables after a backfill: books recorded, other pages marked, and siblings that pages link to added as pending."""
+    out = record_details(tables, parsed, fetched_at)
+    books = mark_state(out["books"], skipped(landed, parsed), fetched_at)
+    fresh = new_siblings(parsed.select(F.explode("related_ids").alias("related_id")), books).withColumn("slug", F.lit("")).withColumn("first_seen_at", fetched_at)
+    extra = [F.col(c).cast(books.schema[c].dataType).alias(c) if c in fresh.columns else F.lit(None).cast(books.schema[c].dataType).alias(c) for c in books.columns]
+    return {**tables, **out, "books": books.unionByName(fresh.select(*extra))}
+
+
+def seed(authors: DataFrame, narrators: DataFrame, author_index: DataFrame, narrator_index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Authors and narrators after both index pages (``pages.parse_index``) came in."""
+    entries = lambda index: index.groupBy("key").agg(F.min_by(F.struct("name", "book_count"), "page_id").alias("x")).select("key", "x.*")
+    return m.merge(authors, entries(author_index), ["key"], m.ENTITY), m.merge(narrators, entries(narrator_index), ["key"], m.ENTITY)
+
+
+def attach_facet(dimension: DataFrame, bridge: DataFrame, cards: DataFrame, bridge_key: str) -> tuple[DataFrame, DataFrame]:
+    """An entity table and its bridge after listing cards (source_id, key, name) of facets came in: names are taken, pairs added once."""
+    names = cards.groupBy("key").agg(F.min("name").alias("name")).withColumn("book_count", F.lit(None).cast("int"))
+    return m.merge(dimension, names, ["key"], m.ENTITY), m.insert_or_ignore(bridge, cards.select("source_id", F.col("key").alias(bridge_key)), ["source_id", bridge_key])
+
+
 def mark_state(books: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
     """(source_id, detail_state, detail_error): the state as given, and when."""
     return m.update_by_key(books, marks.withColumn("fetched_at", at), ["source_id"], {"detail_state": m.OVERWRITE, "detail_error": m.OVERWRITE, "fetched_at": m.OVERWRITE})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import author_score, leading_int, match_score, match_side, title_tokens
+from ..functions.text import author_score, authors_side, closeness, leading_int, match_score, names_closeness, title_side, title_tokens
 
 THRESHOLD = 0.86
 TITLE_CAP, AUTHOR_CAP, KEPT = 80, 120, 5
@@ -37,19 +37,25 @@ def dice_pairs(names: DataFrame, id_col: str, text_col: str, threshold: float) -
     return shared.select("a", "b", (F.lit(2.0) * F.col("shared") / (F.col("na") + F.col("nb"))).alias("dice")).filter(F.col("dice") >= threshold)
 
 
-def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """(needle, text) pairs of distinct needles and texts where the text contains the needle.
+def _pieces(text: Column, size: int) -> Column:
+    """The pieces of a text of ``size`` characters, once each."""
+    some = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
-    Equi-joins only: a needle of four or more characters meets the suffixes of texts that begin with its
-    first four, a shorter one meets the pieces of its own length. Empty needles lie in nothing.
+
+def containing(needles: DataFrame, texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, needle, text) of distinct needles and texts of one kind (``by``) where the text contains the needle.
+
+    One equi-join: a needle of four or more characters meets the texts that have the one of its four-letter
+    pieces that fewest texts have, so a piece that all share (the same start of all names) joins nothing; a
+    shorter needle meets those that have it as a piece. Empty needles lie in nothing.
     """
-    long, short = needles.filter("length(needle) >= 4").withColumn("start", F.substring("needle", 1, 4)), needles.filter("length(needle) between 1 and 3")
-    places = F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1)))
-    suffixes = texts.select("text", F.explode(F.transform(places, lambda i: F.substr("text", i, F.length("text")))).alias("tail")).withColumn("start", F.substring("tail", 1, 4))
-    found = long.join(suffixes, "start").filter("startswith(tail, needle)").select("needle", "text").distinct()
-    pieces = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    small = texts.select("text", F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))).alias("needle"))
-    return found.unionByName(short.select("needle").join(small, "needle").select("needle", "text"))
+    held = texts.select(*by, "text", F.explode(F.concat(*[_pieces(F.col("text"), k) for k in (1, 2, 3, 4)])).alias("piece"))
+    seldom = held.filter("length(piece) = 4").groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("n"))
+    cut = needles.filter("length(needle) >= 4").select(*by, "needle", F.explode(_pieces(F.col("needle"), 4)).alias("piece"))
+    long = cut.join(seldom, [*by, "piece"]).groupBy(*by, "needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    keyed = long.unionByName(needles.filter("length(needle) between 1 and 3").select(*by, "needle", F.col("needle").alias("piece")))
+    return keyed.join(held, [*by, "piece"]).filter(F.contains("text", "needle")).select(*by, "needle", "text")
 
 
 def candidates(items: DataFrame, books: DataFrame) -> DataFrame:
@@ -58,27 +64,31 @@ def candidates(items: DataFrame, books: DataFrame) -> DataFrame:
     Books whose title contains one of an item's first four words of four or more letters (80 a word)
     and books of its first two authors (120 an author); caps are by source_id. Items have item_id,
     title and authors; books source_id, title, authors and detail_state. Words and names are compared
-    as distinct texts, not once a book or item.
+    as distinct texts, not once a book or item, and both kinds in one join.
     """
-    ready = books.filter(F.col("detail_state") == "ok")
-    tokens = items.select("item_id", F.explode(title_tokens(F.col("title"))).alias("token"))
-    words = ready.select("source_id", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("text")).filter("text <> ''")
-    holds = containing(tokens.select(F.col("token").alias("needle")).distinct(), words.select("text").distinct())
-    by_word = holds.join(words, "text").select(F.col("needle").alias("token"), "source_id").distinct()
-    capped = by_word.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy("source_id"))).filter(F.col("n") <= TITLE_CAP)
-    by_title = tokens.join(capped, "token").select("item_id", "source_id")
-    people = items.select("item_id", F.explode(F.slice("authors", 1, 2)).alias("author")).select("item_id", F.lower("author").alias("needle"))
-    written = ready.select("source_id", F.explode("authors").alias("name")).select("source_id", F.lower("name").alias("text"))
-    held = containing(people.select("needle").distinct(), written.select("text").distinct())
-    by_name = held.join(written, "text").select("needle", "source_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy("source_id"))).filter(F.col("n") <= AUTHOR_CAP)
-    return by_title.unionByName(people.join(by_name, "needle").select("item_id", "source_id")).distinct()
+    each = lambda values, cap, name: F.transform(values, lambda x: F.struct(F.lit(cap).alias("cap"), x.alias(name)))
+    listed = lambda df, key, name, title, people: df.select(key, F.explode(F.concat(each(title, TITLE_CAP, name), each(F.transform(people, F.lower), AUTHOR_CAP, name))).alias("x")).select(key, "x.*")
+    wanted = listed(items, "item_id", "needle", title_tokens(F.col("title")), F.slice("authors", 1, 2))
+    words = F.filter(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")), lambda t: t != "")
+    have = listed(books.filter(F.col("detail_state") == "ok"), "source_id", "text", words, F.col("authors"))
+    holds = containing(wanted.select("cap", "needle").distinct(), have.select("cap", "text").distinct(), ("cap",))
+    found = holds.join(have, ["cap", "text"]).select("cap", "needle", "source_id").distinct()
+    capped = found.withColumn("n", F.row_number().over(Window.partitionBy("cap", "needle").orderBy("source_id"))).filter(F.col("n") <= F.col("cap"))
+    return wanted.join(capped, ["cap", "needle"]).select("item_id", "source_id").distinct()
 
 
 def scored(pairs: DataFrame, items: DataFrame, books: DataFrame) -> DataFrame:
-    """(item_id, source_id, score) of candidate pairs; titles and names are normalised before the joins."""
-    i = items.select("item_id", match_side(F.col("title"), F.col("authors")).alias("a"))
-    b = books.select("source_id", match_side(F.col("title"), F.col("authors")).alias("b"))
-    return pairs.join(i, "item_id").join(b, "source_id").select("item_id", "source_id", match_score(F.col("a"), F.col("b")).alias("score"))
+    """(item_id, source_id, score) of candidate pairs; titles and names are normalised before the joins.
+
+    A book may have many authors, so names join only pairs whose sides both have some.
+    """
+    some = F.coalesce(F.size("authors") > 0, F.lit(False))
+    i = items.select("item_id", title_side(F.col("title")).alias("a"), some.alias("named"))
+    b = books.select("source_id", title_side(F.col("title")).alias("b"), some.alias("signed"))
+    titled = pairs.join(i, "item_id").join(b, "source_id").select("item_id", "source_id", closeness(F.col("a"), F.col("b")).alias("titles"), (F.col("named") & F.col("signed")).alias("both"))
+    people = lambda df, key, name: df.filter(some).select(key, F.lit(True).alias("both"), authors_side(F.col("authors")).alias(name))
+    full = titled.join(people(items, "item_id", "a"), ["item_id", "both"], "left").join(people(books, "source_id", "b"), ["source_id", "both"], "left")
+    return full.select("item_id", "source_id", match_score(F.col("titles"), F.when(F.col("both"), names_closeness(F.col("a"), F.col("b")))).alias("score"))
 
 
 def top(pairs: DataFrame, kept: int = KEPT) -> DataFrame:

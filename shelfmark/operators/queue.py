@@ -11,9 +11,9 @@ from . import merge as m
 BUCKETS = 1024
 
 
-def reasons_by_source(winners: DataFrame) -> DataFrame:
-    """(source_id, reason): the distinct reasons of a book, sorted, in one text."""
-    return winners.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("reason"))
+def reasons_by_source(winners: DataFrame, *more: Column) -> DataFrame:
+    """(source_id, reason): the distinct reasons of a book, sorted, in one text; and ``more`` aggregates."""
+    return winners.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("reason"), *more)
 
 
 def outcomes(wanted: DataFrame, queue: DataFrame, links: DataFrame) -> DataFrame:
@@ -61,6 +61,12 @@ def counters(wanted: DataFrame, queue: DataFrame, links: DataFrame) -> DataFrame
     return done.agg(F.count_if(F.col("outcome") == "queued").alias("queued"), F.count_if(F.col("outcome") == "refreshed").alias("already_queued"), F.count_if(F.col("outcome").isin("synced", "left")).alias("already_linked"))
 
 
+def refresh_totals(matched: DataFrame, wanted: DataFrame, queue: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: what ``counters`` tells, with matched (source_id, reason, work) rows and those that a better edition stands for."""
+    found = matched.agg(F.count(F.lit(1)).alias("matched"), (F.count(F.lit(1)) - F.count_distinct("reason", "work")).alias("deduped"))
+    return found.crossJoin(F.broadcast(counters(wanted, queue, links)))  # one row each
+
+
 def set_state(queue: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """(id, state, note): the new state; the old note stays unless there is a new one."""
     return m.update_by_key(queue, changes.withColumn("updated_at", as_of), ["id"], {"state": m.OVERWRITE, "note": m.TAKE, "updated_at": m.OVERWRITE})

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import target_folder
+from ..functions.urls import cover_extension
 from . import matching, sidecar
 from . import merge as m
+from .playlist import staging_folder
 
 
 def remembered(links: DataFrame, matched: DataFrame, items: DataFrame) -> DataFrame:
@@ -56,3 +58,22 @@ def prepared(batch: DataFrame, books: DataFrame, template: str = "{author}/{seri
     """(source_id, folder) for queue entries that are to be laid out in the library."""
     author = F.try_element_at("authors", F.lit(1))
     return batch.join(books, "source_id").select("source_id", target_folder(author, F.col("series_name"), F.col("series_seq"), F.col("title"), template).alias("folder"))
+
+
+def staged(books: DataFrame, covers: DataFrame, root: str) -> DataFrame:
+    """(path, content) of what a book's staging folder gets: its sidecar, and its cover where there is one.
+
+    ``books`` has source_id, slug and sidecar, ``covers`` source_id, content_type, url and bytes.
+    """
+    rows = books.select("source_id", F.concat(F.lit(root.rstrip("/") + "/"), staging_folder(F.col("source_id"), F.col("slug"))).alias("folder"), "sidecar")
+    texts = rows.select(F.concat("folder", F.lit("/metadata.json")).alias("path"), sidecar.serialised(F.col("sidecar")).cast("binary").alias("content"))
+    images = rows.join(covers, "source_id").select(F.concat("folder", F.lit("/cover"), cover_extension(F.col("content_type"), F.col("url"))).alias("path"), F.col("bytes").alias("content"))
+    return texts.unionByName(images)
+
+
+def stale_covers(staged_files: DataFrame, present: DataFrame) -> DataFrame:
+    """(path): covers of other formats in folders that get a cover, which are to go."""
+    folder, name = F.regexp_extract("path", "^(.*)/", 1), F.regexp_extract("path", "([^/]+)$", 1)
+    cover = name.rlike(r"^cover\.(?:jpe?g|png|webp)$")
+    new = staged_files.filter(cover).select(folder.alias("folder"), F.col("path").alias("new"))
+    return present.filter(cover).select(folder.alias("folder"), "path").join(new, "folder").filter("path <> new").select("path")

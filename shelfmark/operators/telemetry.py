@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,38 +16,84 @@ def fetch_stats(log: DataFrame, by: list[str]) -> DataFrame:
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.count_if("ok").alias("successes"), F.count_if("challenge").alias("challenges"), F.count_if(~F.col("ok") & ~F.col("challenge")).alias("failures"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"))
 
 
-def limiter_step(state: Column, kind: Column, at_ms: Column, low: int = MIN_MS, high: int = MAX_MS, cooldown: int = COOLDOWN_MS, patience: int = PATIENCE) -> Column:
+STATE = "interval_ms long, in_row long, cooldown_until long, requests long, challenges long"
+START = (MIN_MS, 0, None, 0, 0)
+
+
+def limiter_step(state: tuple, kind: str, at_ms: int) -> tuple:
     """The limiter's state after an event of kind success, challenge or failure.
 
-    state: interval_ms, in_row (consecutive challenges), cooldown_until, requests, challenges. A
+    State: interval_ms, in_row (consecutive challenges), cooldown_until, requests, challenges. A
     cool-down that has run out by the event's time is over, and challenges count anew.
     """
-    rested = F.coalesce(at_ms >= state["cooldown_until"], F.lit(False))
-    half_up = lambda x: F.floor(x + 0.5).cast("long")
-    interval, in_row = state["interval_ms"], F.when(rested, F.lit(0).cast("long")).otherwise(state["in_row"])
-    calmer = F.when(interval > low, F.greatest(F.lit(low).cast("long"), half_up(interval * 0.8))).otherwise(interval)
-    wary = F.least(F.lit(high).cast("long"), F.greatest(F.lit(1000).cast("long"), interval * 2))
-    slower = F.least(F.lit(high).cast("long"), half_up(interval * 1.5))
-    success, challenge = kind == "success", kind == "challenge"
-    return F.struct(
-        F.when(success, calmer).when(challenge, wary).otherwise(slower).alias("interval_ms"),
-        F.when(success, F.lit(0).cast("long")).when(challenge, in_row + 1).otherwise(in_row).alias("in_row"),
-        F.when(success, F.lit(None).cast("long")).when(challenge & (in_row + 1 >= patience), at_ms + cooldown).when(rested, F.lit(None).cast("long")).otherwise(state["cooldown_until"]).alias("cooldown_until"),
-        (state["requests"] + 1).alias("requests"),
-        (state["challenges"] + challenge.cast("long")).alias("challenges"),
-    )
-
-
-def limiter_start(low: int = MIN_MS) -> Column:
-    zero = F.lit(0).cast("long")
-    return F.struct(F.lit(low).cast("long").alias("interval_ms"), zero.alias("in_row"), F.lit(None).cast("long").alias("cooldown_until"), zero.alias("requests"), zero.alias("challenges"))
+    interval, in_row, until, requests, challenges = state
+    if until is not None and at_ms >= until:
+        in_row, until = 0, None
+    if kind == "success":
+        interval, in_row, until = (max(MIN_MS, int(interval * 0.8 + 0.5)) if interval > MIN_MS else interval), 0, None
+    elif kind == "challenge":
+        interval, in_row, challenges = min(MAX_MS, max(1000, interval * 2)), in_row + 1, challenges + 1
+        if in_row >= PATIENCE:
+            until = at_ms + COOLDOWN_MS
+    else:
+        interval = min(MAX_MS, int(interval * 1.5 + 0.5))
+    return interval, in_row, until, requests + 1, challenges
 
 
 def limiter_fold(events: DataFrame, key: str) -> DataFrame:
-    """The limiter's state per key after its events (id, kind, at_ms) in order of time and id."""
-    ordered = F.array_sort(F.collect_list(F.struct("at_ms", "id", "kind")))
-    folded = F.aggregate("events", limiter_start(), lambda s, e: limiter_step(s, e["kind"], e["at_ms"]))
-    return events.groupBy(key).agg(ordered.alias("events")).select(key, folded.alias("state")).select(key, "state.*")
+    """The limiter's state per key after its events (id, kind, at_ms) in order of time and id.
+
+    The state depends on every event before, so a key's events go through one task; they stream
+    through it sorted, and only the state is held, however many there are.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, done = None, None, []
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [()] * 6
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, [kind_of_key, *[pa.int64()] * 5], strict=True)], names=names)
+            done.clear()
+            return out
+
+        names = [key, *(f.split()[0] for f in STATE.split(", "))]
+        kind_of_key = None
+        for batch in batches:
+            kind_of_key = batch.schema.field(0).type
+            for k, kind, at_ms in zip(*(batch.column(c).to_pylist() for c in (0, 3, 1)), strict=True):
+                if state is None or k != own:
+                    if state is not None:
+                        done.append((own, *state))
+                    own, state = k, START
+                state = limiter_step(state, kind, at_ms)
+            yield told()
+        if state is not None:
+            done.append((own, *state))
+            yield told()
+
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_events = events.select(key, "at_ms", "id", "kind").repartition(tasks, key).sortWithinPartitions(key, "at_ms", "id")
+    return sorted_events.mapInArrow(fold, f"{key} {events.schema[key].dataType.simpleString()}, {STATE}")
+
+
+def paced(requests: DataFrame, key: str, interval_ms: int = MIN_MS) -> DataFrame:
+    """When each request (id, at_ms) of a key may go: no sooner than asked, and an interval after the one before."""
+    order = Window.partitionBy(key).orderBy("at_ms", "id")
+    n = F.row_number().over(order)
+    # the k-th one waits for the latest of all earlier ones and the intervals between
+    return requests.withColumn("n", n).withColumn("go_ms", F.max(F.col("at_ms") - F.col("n") * interval_ms).over(order) + F.col("n") * interval_ms).drop("n")
+
+
+def probe_blocked(log: DataFrame, key: str, window_ms: int = 30 * 60_000) -> DataFrame:
+    """``log`` with blocked_until, the end of the window that the last challenge before opened, and whether it still holds."""
+    before = Window.partitionBy(key).orderBy("at_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(F.when(F.col("kind") == "challenge", F.col("at_ms") + window_ms)).over(before)
+    return log.withColumn("blocked_until", until).withColumn("blocked", F.coalesce(F.col("at_ms") < F.col("blocked_until"), F.lit(False)))
+
+
+def recent(log: DataFrame, n: int, by: str = "id") -> DataFrame:
+    """The last n entries of a log, the oldest of them first."""
+    return log.orderBy(F.col(by).desc()).limit(n).orderBy(by)
 
 
 def early_stop(attempts: DataFrame, batch: str, order: str, failures: int = 3) -> DataFrame:
@@ -72,5 +121,10 @@ def retry_delay_ms(remaining_ms: Column) -> Column:
 
 
 def sync_counters(outcomes: DataFrame) -> DataFrame:
-    """One row of a sync: matched, written, unchanged, errors and their sorted messages."""
-    return outcomes.agg(F.count_if(F.col("via") != "none").alias("matched"), F.count_if("written").alias("written"), F.count_if(~F.col("written") & F.col("error").isNull() & (F.col("via") != "none")).alias("unchanged"), F.count("error").alias("errors"), F.array_sort(F.collect_list("error")).alias("messages"))
+    """One row of a sync: matched, written, unchanged and errors. What the errors say: ``sync_errors``."""
+    return outcomes.agg(F.count_if(F.col("via") != "none").alias("matched"), F.count_if("written").alias("written"), F.count_if(~F.col("written") & F.col("error").isNull() & (F.col("via") != "none")).alias("unchanged"), F.count("error").alias("errors"))
+
+
+def sync_errors(outcomes: DataFrame) -> DataFrame:
+    """(error, n): the messages of a sync, a row each."""
+    return outcomes.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, merge, queue, selection
+from ..staging import once
 from .testviews import VIEWS_SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def _subscriptions(v: Views, kinds: tuple[str, ...] | None = None) -> DataFrame:
 
 
 def _genres(v: Views) -> tuple[DataFrame, DataFrame]:
-    return v.books.select("source_id", F.lower("genre").alias("genre_key")), v.books.select(F.lower("genre").alias("key"), F.col("genre").alias("name")).distinct()
+    return v.titles.select("source_id", F.lower("genre").alias("genre_key")), v.titles.select(F.lower("genre").alias("key"), F.col("genre").alias("name")).distinct()
 
 
 def _matches(v: Views, kinds: tuple[str, ...]) -> DataFrame:
@@ -43,7 +44,7 @@ def _matches(v: Views, kinds: tuple[str, ...]) -> DataFrame:
     ways = {
         "author": lambda: catalog.match_people(subs, v.book_authors, v.authors, "author_key", "author"),
         "narrator": lambda: catalog.match_people(subs, v.book_narrators, v.narrators, "narrator_key", "narrator"),
-        "series": lambda: catalog.match_series(subs, v.books, v.books.select(F.col("series_key").alias("key"), F.col("series_name").alias("name")).distinct()),
+        "series": lambda: catalog.match_series(subs, v.titles, v.titles.select(F.col("series_key").alias("key"), F.col("series_name").alias("name")).distinct()),
         "tag": lambda: catalog.match_tag(subs, v.book_tags),
         "genre": lambda: catalog.match_people(subs, *_genres(v), "genre_key", "genre"),
     }
@@ -59,7 +60,7 @@ def _scored(v: Views, rows: DataFrame) -> DataFrame:
     people = catalog.names_of(v.book_narrators, v.narrators, "narrator_key", "narrators")
     full = rows.join(v.books, "source_id").join(people, "source_id", "left").withColumn("narrators", F.coalesce("narrators", F.array().cast("array<string>")))
     full = full.withColumn("duration_sec", F.lit(0)).withColumn("description", F.lit("")).withColumn("work_key", F.md5(F.col("title").cast("binary")))
-    return selection.with_score(full, PREFERRED, BLOCKED).withColumn("score", F.round("score", 4))
+    return selection.with_score(full, PREFERRED, BLOCKED).withColumn("score", F.round(F.col("score") + 1e-7, 4))  # off the ties of rounding
 
 
 _SCORED_SQL = """
@@ -70,7 +71,7 @@ _SCORED_SQL = """
   SELECT b.source_id, md5(b.title) AS work, b.title, coalesce(p.blocked, false) AS blocked, p.pref,
          round((CASE WHEN coalesce(p.blocked, false) THEN -1000000.0 ELSE 0.0 END) + (CASE WHEN p.pref IS NOT NULL THEN (2 - p.pref) * 10000.0 ELSE 0.0 END)
            + coalesce(b.rating * (0.3 + 0.7 * (least(coalesce(b.votes, 0), 50) / 50.0E0)) * 20.0E0, 0.0)
-           + 5.0 + (CASE WHEN p.source_id IS NOT NULL THEN 2.0 ELSE 0.0 END) + (CASE WHEN b.detail_state = 'ok' THEN 5.0 ELSE 0.0 END), 4)::DOUBLE AS score
+           + 5.0 + (CASE WHEN p.source_id IS NOT NULL THEN 2.0 ELSE 0.0 END) + (CASE WHEN b.detail_state = 'ok' THEN 5.0 ELSE 0.0 END) + 0.0000001, 4)::DOUBLE AS score
   FROM books b LEFT JOIN people p ON b.source_id = p.source_id
 )
 """
@@ -95,14 +96,16 @@ _WINNERS_SQL = (
 
 
 def _winners(v: Views) -> DataFrame:
-    best = selection.best_editions(_scored(v, _matches(v, _FLAGSHIP)), ["reason", "work_key"])
+    matched = once(_matches(v, _FLAGSHIP))
+    best = selection.best_editions(_scored(v.within(matched), matched), ["reason", "work_key"])
     return best.filter("not blocked")
 
 
 @query(_WINNERS_SQL + "SELECT source_id, array_to_string(list_sort(list(DISTINCT reason)), ', ') AS reason, count(*) AS n, max(score) AS score FROM winners GROUP BY source_id")
 def subscription_queue(v: Views) -> DataFrame:
     """Books that the subscriptions put on the queue: the best edition of each work, with all reasons."""
-    return _winners(v).groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("reason"), F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+    winners = _winners(v)
+    return queue.reasons_by_source(winners, F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
 
 def _sub(kind: str) -> None:
@@ -164,7 +167,7 @@ def pending_detail(v: Views) -> DataFrame:
 )
 def book_with_people(v: Views) -> DataFrame:
     bridge, genres = _genres(v)
-    full = catalog.with_people(v.books.select("source_id", "title"), catalog.names_of(v.book_authors, v.authors, "author_key", "authors"), catalog.names_of(v.book_narrators, v.narrators, "narrator_key", "narrators"), catalog.names_of(bridge, genres, "genre_key", "genres"), v.book_tags)
+    full = catalog.with_people(v.titles.select("source_id", "title"), catalog.names_of(v.book_authors, v.authors, "author_key", "authors"), catalog.names_of(v.book_narrators, v.narrators, "narrator_key", "narrators"), catalog.names_of(bridge, genres, "genre_key", "genres"), v.book_tags)
     joined = lambda c: F.array_join(c, ", ").alias(c)
     return full.select("source_id", "title", joined("authors"), joined("narrators"), joined("tags"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import matching, pages, playlist, sidecar, sync, telemetry
 from ..sources import library
+from ..staging import once
 from .catalogue_queries import query
 from .testviews import Views
 
@@ -36,7 +37,7 @@ def _translit_sql(x: str) -> str:
     return out
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)[1:4], ' ') AS tokens FROM documents", views=False)
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)[1:4], ' ') AS tokens FROM documents", views=False)
 def tokenise_title(v: Views) -> DataFrame:
     """The search words of a document, whose whole text is taken for a title."""
     return v.table("documents").select("doc_id", F.array_join(text.title_tokens(F.col("text")), " ").alias("tokens"))
@@ -47,29 +48,33 @@ def normalise_text(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(text.normalise_name(F.col("text")).cast("binary")).alias("norm"))
 
 
-_SUFFIXES = (" Книга 2", " (Т. 2)", ", частина II", " vol. 007", " Book IX - part 3", " #12", " том XIX том 19", " Vol 5 кн. v", "", ", част. 1 #1")
+_SUFFIXES = (" Книга 2", " (Т. 2)", ", частина II", " vol. 007", " Book IX - part 3", " #12", " том XIX том 19", " Vol 5 кн. v", "", ", част. 1 #1", " vol. 0007 ч.12")
 _ROMANS = (("iii", 3), ("xix", 19), ("ii", 2), ("ix", 9), ("iv", 4), ("v", 5), ("i", 1), ("x", 10))
 
 
-def _suffix_sql() -> str:
-    return "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SUFFIXES)) + " END"
+def _suffix_sql(key: str) -> str:
+    return f"CASE {key} % {len(_SUFFIXES)} " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SUFFIXES)) + " END"
 
 
-def _title_sql() -> str:
+def _suffix(key: str) -> F.Column:
+    return F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col(key) % len(_SUFFIXES) + 1).cast("int"))
+
+
+def _norm_sql(rows: str) -> str:
+    """(source_id, norm) of rows (source_id, t), the title normalised."""
     # without look-around the boundary is taken along and put back; twice, for neighbours that share one
-    words, out = "|".join(text.VOLUME_WORDS), "' ' || lower(p_name || s) || ' '"
+    words, out = "|".join(text.VOLUME_WORDS), "' ' || lower(t) || ' '"
     for _ in range(2):
-        out = f"regexp_replace({out}, '([^\\p{{L}}\\p{{N}}])(?:{words})\\s*\\.?\\s*0*([0-9]{{1,3}})([^\\p{{L}}\\p{{N}}])', '\\1 #\\2 \\3', 'g')"
+        out = f"regexp_replace({out}, '([^\\p{{L}}\\p{{N}}])(?:{words})\\s*\\.?\\s*(?:0{{0,2}}([0-9])|0?([0-9]{{2}})|([0-9]{{3}}))([^\\p{{L}}\\p{{N}}])', '\\1 #\\2\\3\\4 \\5', 'g')"
         for roman, number in _ROMANS:
             out = f"regexp_replace({out}, '([^\\p{{L}}\\p{{N}}])(?:{words})\\s*\\.?\\s*{roman}([^\\p{{L}}\\p{{N}}])', '\\1 #{number} \\2', 'g')"
     out = f"string_split({_strip_sql(f"regexp_replace({out}, '#\\s*([0-9]{{1,3}})', ' #\\1 ', 'g')")}, ' ')"
-    return f"SELECT p_partkey AS source_id, array_to_string(list_filter({out}, lambda t, i: NOT starts_with(t, '#') OR list_position({out}, t) = i), ' ') AS norm FROM (SELECT *, {_suffix_sql()} AS s FROM part)"
+    return f"SELECT source_id, array_to_string(list_filter(x, lambda t, i: NOT starts_with(t, '#') OR list_position(x, t) = i), ' ') AS norm FROM (SELECT source_id, {out} AS x FROM ({rows}))"
 
 
-@query(_title_sql(), views=False)
+@query(_norm_sql(f"SELECT p_partkey AS source_id, p_name || {_suffix_sql('p_partkey')} AS t FROM part"), views=False)
 def normalise_title_volumes(v: Views) -> DataFrame:
-    suffix = F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return v.table("part").select(F.col("p_partkey").alias("source_id"), text.normalise_title(F.concat("p_name", suffix)).alias("norm"))
+    return v.table("part").select(F.col("p_partkey").alias("source_id"), text.normalise_title(F.concat("p_name", _suffix("p_partkey"))).alias("norm"))
 
 
 _WORDS = ("Характерник", "Щастя", "Кайдашева сім'я", "Їжак і Єва", "Ґанок, цукор", "Юність ёлки эхо", "Plain title")
@@ -82,12 +87,14 @@ def transliterate(v: Views) -> DataFrame:
 
 
 @query(
-    f"""SELECT b.source_id, md5(coalesce(nullif(array_to_string(list_sort(list_transform(coalesce(a.names, []), lambda n: {_strip_sql('lower(n)')})), '&'), ''), '?') || '|' || b.title) AS work_key
-    FROM books b LEFT JOIN (SELECT source_id, list(name) AS names FROM book_authors JOIN authors ON author_key = key GROUP BY source_id) a ON a.source_id = b.source_id"""
+    f""", marked AS ({_norm_sql(f"SELECT source_id, title || {_suffix_sql('source_id')} AS t FROM books")})
+    SELECT b.source_id, md5(coalesce(nullif(array_to_string(list_sort(list_transform(coalesce(a.names, []), lambda n: {_strip_sql('lower(n)')})), '&'), ''), '?') || '|' || m.norm) AS work_key
+    FROM books b JOIN marked m ON m.source_id = b.source_id LEFT JOIN (SELECT source_id, list(name) AS names FROM book_authors JOIN authors ON author_key = key WHERE source_id % 4 <> 0 GROUP BY source_id) a ON a.source_id = b.source_id"""
 )
 def work_identity(v: Views) -> DataFrame:
-    people = v.book_authors.join(v.authors, F.col("author_key") == F.col("key")).groupBy("source_id").agg(F.collect_list("name").alias("names"))
-    return v.books.join(people, "source_id", "left").select("source_id", text.work_key(F.coalesce("names", F.array().cast("array<string>")), F.col("title")).alias("work_key"))
+    """The works of marked titles; every fourth book has no author."""
+    people = v.book_authors.join(v.authors, F.col("author_key") == F.col("key")).filter("source_id % 4 <> 0").groupBy("source_id").agg(F.collect_list("name").alias("names"))
+    return v.titles.join(people, "source_id", "left").select("source_id", text.work_key(F.coalesce("names", F.array().cast("array<string>")), F.concat("title", _suffix("source_id"))).alias("work_key"))
 
 
 def _safe_sql(x: str, longest: int = 120) -> str:
@@ -206,7 +213,7 @@ def sequence_number(v: Views) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, l > 0 AND n * 4 >= l * 3 AS latin FROM (SELECT doc_id, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS l, length(regexp_replace(t, '[^\p{Latin}]', '', 'g')) AS n FROM
-    (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Книга ' || substr(text, 1, 12) WHEN doc_id % 3 = 1 THEN '12 — 34' ELSE substr(text, 1, 40) END AS t FROM documents))""",
+    (SELECT doc_id, text AS t FROM documents))""",
     views=False,
 )
 def mostly_latin(v: Views) -> DataFrame:
@@ -230,28 +237,26 @@ def dice_pairs(v: Views) -> DataFrame:
     return found.select("a", "b", F.round("dice", 6).alias("dice"))
 
 
-def _items(v: Views) -> DataFrame:
-    """Library items: all parts, their words swapped, in capitals, some with an author and a tag."""
-    words = F.split("p_name", " ")
-    people = v.book_authors.join(v.authors, F.col("author_key") == F.col("key")).groupBy("source_id").agg(F.min("name").alias("author"))
-    rows = v.table("part").join(people, F.col("p_partkey") == F.col("source_id"), "left")
-    i = F.col("p_partkey").cast("string")
-    return rows.select(
-        F.concat(F.lit("item"), i).alias("item_id"), F.upper(F.concat(words[1], F.lit(" "), words[0])).alias("title"), F.when((F.col("p_partkey") % 40 == 0) & F.col("author").isNotNull(), F.array("author")).otherwise(F.array().cast("array<string>")).alias("authors"),
-        F.when(F.col("p_partkey") % 100 == 0, F.array(F.lit("fiction"), F.concat(F.lit(" Shelf:"), (F.col("p_partkey") + 1).cast("string")))).otherwise(F.array(F.lit("fiction"), F.lit("shelf:none"))).alias("tags"),
-    )
-
+def _matched_tables(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Library items and books with their authors, each computed once.
 
-def _authored(v: Views) -> DataFrame:
-    people = v.book_authors.join(v.authors, F.col("author_key") == F.col("key")).groupBy("source_id").agg(F.array_sort(F.collect_list("name")).alias("authors"))
-    return v.books.join(people, "source_id", "left").select("source_id", "title", "detail_state", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"))
+    Items are all parts, their words swapped, in capitals, some with an author and a tag.
+    """
+    people = once(v.book_authors.join(v.authors, F.col("author_key") == F.col("key")).groupBy("source_id").agg(F.array_sort(F.collect_list("name")).alias("authors")))
+    books = once(v.titles.join(people, "source_id", "left").select("source_id", "title", "detail_state", F.coalesce("authors", F.array().cast("array<string>")).alias("authors")))
+    words, i, none = F.split("title", " "), F.col("source_id"), F.array().cast("array<string>")
+    items = books.select(
+        F.concat(F.lit("item"), i.cast("string")).alias("item_id"), F.upper(F.concat(words[1], F.lit(" "), words[0])).alias("title"), F.when(i % 40 == 0, F.slice("authors", 1, 1)).otherwise(none).alias("authors"),
+        F.when(i % 100 == 0, F.array(F.lit("fiction"), F.concat(F.lit(" Shelf:"), (i + 1).cast("string")))).otherwise(F.array(F.lit("fiction"), F.lit("shelf:none"))).alias("tags"),
+    )
+    return once(items), books
 
 
 _STRIP_NAME = "replace(replace(lower({x}), '#', '#'), ' ', '')"
 _FUZZY_SQL = f"""
 , people AS (SELECT source_id, list_sort(list(name)) AS names, min(name) AS author FROM book_authors JOIN authors ON author_key = key GROUP BY source_id
 ), items AS (
-  SELECT 'item' || p_partkey AS item_id, p_partkey, upper(string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1]) AS title, CASE WHEN p_partkey % 40 = 0 THEN author END AS author FROM part LEFT JOIN people ON p_partkey = source_id WHERE p_partkey % 20 = 0
+  SELECT 'item' || p_partkey AS item_id, p_partkey, upper(string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1]) AS title, CASE WHEN p_partkey % 40 = 0 THEN author END AS author FROM part LEFT JOIN people ON p_partkey = source_id
 ), ready AS (
   SELECT b.source_id, b.title, coalesce(p.names, []) AS names FROM books b LEFT JOIN people p ON p.source_id = b.source_id WHERE detail_state = 'ok'
 ), tokens AS (
@@ -275,7 +280,7 @@ _FUZZY_SQL = f"""
 @query(_FUZZY_SQL + "SELECT item_id, source_id, round(score, 6) AS score, place FROM best WHERE place <= 5")
 def fuzzy_top5(v: Views) -> DataFrame:
     """The five best candidates of each library item."""
-    items, books = _items(v), _authored(v)
+    items, books = _matched_tables(v)
     found = matching.top(matching.scored(matching.candidates(items, books), items, books))
     return found.select("item_id", "source_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
@@ -293,7 +298,8 @@ FROM items i LEFT JOIN known k ON k.item_id = i.item_id LEFT JOIN tagged t ON t.
 def match_cascade(v: Views) -> DataFrame:
     """Which book each library item is, and how that was found."""
     links = v.table("part").filter("p_partkey % 60 = 0").select(F.concat(F.lit("item"), F.col("p_partkey").cast("string")).alias("item_id"), F.col("p_partkey").alias("source_id"), F.col("p_retailprice").alias("confidence"))
-    return matching.cascade(_items(v), links, _authored(v), "shelf").withColumn("score", F.round("score", 6))
+    items, books = _matched_tables(v)
+    return matching.cascade(items, links, books, "shelf").withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -338,9 +344,17 @@ def page_anchor_counts(v: Views) -> DataFrame:
     return found.crossJoin(F.broadcast(found.agg(F.sum("n_links").alias("all_links"))))
 
 
-@query()
+_BLOCK_SQL = r"(?i)</?(?:p|div|br|h[1-6]|li|tr|blockquote|section)\b[^>]*>"
+_PAGE_SQL = rf"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '{_BLOCK_SQL}', chr(10), 'g'), '<[/a-zA-Z][^>]*>', '', 'g')"
+for _entity, _letter in (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PAGE_SQL = f"replace({_PAGE_SQL}, '{_entity}', '{_letter}')"
+
+
+@query(rf"SELECT page_id, CAST(len(x) AS INTEGER) AS n_lines, md5(array_to_string(x, chr(10))) AS digest FROM (SELECT page_id, list_filter(list_transform(string_split(replace({_PAGE_SQL}, chr(160), ' '), chr(10)), lambda l: trim(regexp_replace(l, '[ \t]+', ' ', 'g'), E' \t\r\n')), lambda l: l <> '') AS x FROM pages)", views=False)
 def page_text(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", pages.html_to_text(F.col("html")).alias("text"))
+    """The text of a page: how many lines it has, and what they are; empty ones aside."""
+    lines = F.filter(F.split(pages.html_to_text(F.col("html")), "\n"), lambda line: line != "")
+    return v.table("pages").select("page_id", lines.alias("x")).select("page_id", F.size("x").alias("n_lines"), F.md5(F.array_join("x", "\n").cast("binary")).alias("digest"))
 
 
 def _book_page(v: Views) -> DataFrame:
@@ -353,12 +367,12 @@ def _book_page(v: Views) -> DataFrame:
         esc('.html"></head><body><ul class="pmovie__list"><li><span>Автор:</span> <span itemprop="author"><a href="/xfsearch/avtor/'), F.replace("series_key", F.lit("#"), F.lit("%23")), esc('/">'), F.col("series_name"), esc('</a></span><li><span>Жанр:</span> <a href="/fantasy/">Fantasy</a></ul><div class="pmovie__rating-score">'),
         F.replace(F.format_string("%.1f", F.col("size") / 10.0), F.lit("."), F.lit(",")), esc('</div><span data-vote-num-id="1">'), F.coalesce(F.col("votes"), F.lit(0)).cast("string"), esc('</span><div itemprop="description"><p>About&nbsp;'), name, esc("<br>More.</p><h2>Series</h2><a href=\"/"), (F.col("source_id") + 1).cast("string"), esc('-next.html">next</a></div></body></html>'),
     )
-    return people.filter("size % 5 <> 0").select(F.col("source_id").alias("page_id"), F.concat(F.lit(urls.BASE + "/"), i, F.lit("-x.html")).alias("url"), html.alias("html"))
+    return people.select(F.col("source_id").alias("page_id"), F.concat(F.lit(urls.BASE + "/"), i, F.lit("-x.html")).alias("url"), html.alias("html"))
 
 
 @query(
     """SELECT source_id, replace(title, ' ', '-') AS slug, upper(title[1]) || split_part(substr(title, 2), ' ', 1) || ' ' || upper(split_part(title, ' ', 2)[1]) || substr(split_part(title, ' ', 2), 2) AS title, CAST((size % 20) * 3600 + 605 AS INTEGER) AS duration_sec, round(size / 10.0, 1)::DOUBLE AS rating,
-    CAST(coalesce(votes, 0) AS INTEGER) AS votes, series_key AS authors, 'fantasy' AS genres, CAST(source_id + 1 AS VARCHAR) AS related, 'About ' || upper(title[1]) || split_part(substr(title, 2), ' ', 1) || ' ' || upper(split_part(title, ' ', 2)[1]) || substr(split_part(title, ' ', 2), 2) || chr(10) || chr(10) || 'More.' AS description FROM books WHERE size % 5 <> 0"""
+    CAST(coalesce(votes, 0) AS INTEGER) AS votes, series_key AS authors, 'fantasy' AS genres, CAST(source_id + 1 AS VARCHAR) AS related, 'About ' || upper(title[1]) || split_part(substr(title, 2), ' ', 1) || ' ' || upper(split_part(title, ' ', 2)[1]) || substr(split_part(title, ' ', 2), 2) || chr(10) || chr(10) || 'More.' AS description FROM books"""
 )
 def page_parse_books(v: Views) -> DataFrame:
     """Book pages through the parser and back to the columns they were made of."""
@@ -368,7 +382,7 @@ def page_parse_books(v: Views) -> DataFrame:
 
 
 def _listing_pages(v: Views) -> DataFrame:
-    b = v.books.filter("source_id < 400").withColumn("page_id", F.floor(F.col("source_id") / 20))
+    b = v.books.withColumn("page_id", F.floor(F.col("source_id") / 20))
     i = F.col("source_id").cast("string")
     card = F.concat(F.lit('<div class="poster item"><a class="poster__link" href="/'), i, F.lit('-s.html"></a><div class="poster__title"> '), F.col("title"), F.lit('</div><div class="js-duration" data-time="1:02:'), F.lpad((F.col("size") % 60).cast("string"), 2, "0"), F.lit('"></div><div class="poster__ratings">Рейтинг 4,'), (F.col("size") % 10).cast("string"), F.lit(" (18 голосів)</div></div>"))
     grids = b.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
@@ -376,12 +390,12 @@ def _listing_pages(v: Views) -> DataFrame:
     return grids.select("page_id", F.concat(F.lit('<div class="grid-items">'), "cards", F.lit("</div>"), pager).alias("html"))
 
 
-@query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, source_id, title, CAST(3720 + size % 60 AS INTEGER) AS duration_sec, round(4 + (size % 10) / 10.0, 1)::DOUBLE AS rating, CAST(greatest(1, source_id // 20 + 1, (source_id // 20) % 7) AS INTEGER) AS last_page FROM books WHERE source_id < 400")
+@query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, source_id, title, CAST(3720 + size % 60 AS INTEGER) AS duration_sec, round(4 + (size % 10) / 10.0, 1)::DOUBLE AS rating, CAST(greatest(1, source_id // 20 + 1, (source_id // 20) % 7) AS INTEGER) AS last_page FROM books")
 def listing_cards(v: Views) -> DataFrame:
     return pages.parse_listings(_listing_pages(v), urls.BASE).select("page_id", "source_id", "title", "duration_sec", "rating", "last_page")
 
 
-@query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, max(greatest(1, source_id // 20 + 1, (source_id // 20) % 7))::INTEGER AS last_page FROM books WHERE source_id < 400 GROUP BY 1")
+@query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, max(greatest(1, source_id // 20 + 1, (source_id // 20) % 7))::INTEGER AS last_page FROM books GROUP BY 1")
 def listing_last_page(v: Views) -> DataFrame:
     return pages.parse_listings(_listing_pages(v), urls.BASE).groupBy("page_id").agg(F.max("last_page").alias("last_page"))
 
@@ -602,10 +616,10 @@ def strip_noise(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", pages.strip_noise(F.concat("text", F.lit("\n"), noise)).alias("text"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey < 1024 THEN c_custkey || ' B' ELSE printf('%.1f KiB', floor(c_custkey / 1024.0 * 10 + 0.5) / 10) END AS bytes, CASE WHEN c_custkey < 60 THEN greatest(1, c_custkey) || 's' ELSE (c_custkey // 60) || 'm ' || (c_custkey % 60) || 's' END AS length FROM customer WHERE c_custkey < 3600", views=False)
+@query("SELECT c_custkey, CASE WHEN c_custkey < 1024 THEN c_custkey || ' B' ELSE printf('%.1f KiB', floor(c_custkey / 1024.0 * 10 + 0.5) / 10) END AS bytes, CASE WHEN c_custkey < 60 THEN greatest(1, c_custkey) || 's' WHEN c_custkey >= 3600 THEN (c_custkey // 3600) || 'h ' || (c_custkey % 3600 // 60) || 'm' ELSE (c_custkey // 60) || 'm ' || (c_custkey % 60) || 's' END AS length FROM customer", views=False)
 def formatted(v: Views) -> DataFrame:
     i = F.col("c_custkey")
-    return v.table("customer").filter("c_custkey < 3600").select("c_custkey", text.format_bytes(i).alias("bytes"), text.format_duration(i).alias("length"))
+    return v.table("customer").select("c_custkey", text.format_bytes(i).alias("bytes"), text.format_duration(i).alias("length"))
 
 
 @query("SELECT user_id AS origin, count(*) AS cookies, count(*) FILTER (WHERE event_id % 4 = 0 OR event_id % 4 = 1) AS live, count(*) FILTER (WHERE event_id % 3 <> 2) AS matching FROM events GROUP BY user_id", views=False)

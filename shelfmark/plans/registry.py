@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_queries  # noqa: F401  registers its queries
+from . import content_queries, job_queries  # noqa: F401  they register their queries
 from .catalogue_queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -16,11 +16,11 @@ WITH stats AS (
          CASE WHEN p_size % 3 = 0 THEN 'pending' ELSE 'ok' END AS detail_state, rating, votes
   FROM part LEFT JOIN stats ON p_partkey = source_id
 ), book_authors AS (
-  SELECT DISTINCT l_partkey AS source_id, lower(s_name) AS author_key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49
+  SELECT DISTINCT l_partkey AS source_id, lower(s_name) AS author_key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ), authors AS (
   SELECT lower(s_name) AS key, s_name AS name FROM supplier
 ), book_narrators AS (
-  SELECT DISTINCT l_partkey AS source_id, lower(n_name) AS narrator_key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity >= 49
+  SELECT DISTINCT l_partkey AS source_id, lower(n_name) AS narrator_key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), narrators AS (
   SELECT lower(n_name) AS key, n_name AS name FROM nation
 ), book_tags AS (
@@ -34,24 +34,34 @@ WITH stats AS (
 
 
 class Views:
-    """Views over the tables in one folder, made when first used."""
+    """Views over the tables in one folder, made when first used; of some books only, if ``ids`` (source_id) says so."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, ids: DataFrame | None = None):
+        self.spark, self.sf_dir, self.ids = spark, sf_dir, ids
+
+    def within(self, ids: DataFrame) -> Views:
+        """The views of these books: what they are made of is narrowed before it is aggregated."""
+        return Views(self.spark, self.sf_dir, ids.select("source_id").distinct())
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = {"part": "p_partkey", "lineitem": "l_partkey"}.get(name)
+        return rows if self.ids is None or key is None else rows.join(self.ids, F.col(key) == F.col("source_id"), "left_semi")
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """The books' own columns, without what lineitem tells of them."""
+        state = F.when(F.col("p_size") % 3 == 0, "pending").otherwise("ok")
+        return self.table("part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.lower("p_brand").alias("series_key"), F.col("p_brand").alias("series_name"), F.col("p_type").alias("genre"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), state.alias("detail_state"))
 
     @cached_property
     def books(self) -> DataFrame:
         stats = self.table("lineitem").groupBy(F.col("l_partkey").alias("source_id")).agg((F.lit(50.0) * F.avg("l_discount")).alias("rating"), F.count(F.lit(1)).alias("votes"))
-        state = F.when(F.col("p_size") % 3 == 0, "pending").otherwise("ok")
-        part = self.table("part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), F.lower("p_brand").alias("series_key"), F.col("p_brand").alias("series_name"), F.col("p_type").alias("genre"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), state.alias("detail_state"))
-        return part.join(stats, "source_id", "left")
+        return self.titles.join(stats, "source_id", "left")
 
     @cached_property
     def _supplied(self) -> DataFrame:
-        return self.table("lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("source_id"), "l_suppkey").distinct()
+        return self.table("lineitem").select(F.col("l_partkey").alias("source_id"), "l_suppkey")
 
     @cached_property
     def book_authors(self) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_names
@@ -41,6 +43,11 @@ def items(raw: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
+def item(raw: DataFrame, item_id: str, json_col: str = "json") -> DataFrame:
+    """The one item of that id among item JSON texts; only its text is parsed whole."""
+    return items(raw.filter(F.get_json_object(json_col, "$.id") == item_id), json_col)
+
+
 def result_pages(pages: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """Item JSON texts of landed result pages (library, page, json), up to the first short page."""
     parsed = pages.select("library", "page", F.from_json("json", "struct<results:array<variant>>").alias("p")).withColumn("n", F.coalesce(F.size("p.results"), F.lit(0)))
@@ -55,16 +62,38 @@ def book_libraries(raw: DataFrame, only: list[str] | None = None, json_col: str
     return (found.filter(F.col("id").isin(*only)) if only else found).select("id", "name")
 
 
-def cookies(meta: DataFrame, key: str = "cookies") -> DataFrame:
-    """Cookies that a meta row holds as JSON; none where it is malformed."""
-    parsed = F.from_json("value", "array<struct<name:string,value:string,domain:string,path:string,expires:double>>")
-    return meta.filter(F.col("key") == key).select(F.explode(F.coalesce(parsed, F.array().cast("array<struct<name:string,value:string,domain:string,path:string,expires:double>>"))).alias("c")).select("c.*")
+def cookies(meta: DataFrame, wanted: Column | str = "cookies") -> DataFrame:
+    """(key, pos, name, value, domain, path, expires): cookies that meta rows hold as JSON; none where it is malformed.
+
+    ``wanted`` is the row's key, or a condition on the rows.
+    """
+    kind = "array<struct<name:string,value:string,domain:string,path:string,expires:double>>"
+    rows = meta.filter(F.col("key") == wanted if isinstance(wanted, str) else wanted)
+    parsed = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", kind))
+    return rows.select("key", F.posexplode(parsed).alias("pos", "c")).select("key", "pos", "c.*")
 
 
-def cookie_header(rows: DataFrame, order: str) -> DataFrame:
-    """One Cookie header: by name the last one wins."""
-    last = rows.groupBy("name").agg(F.max_by("value", order).alias("value"))
-    return last.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "value"))), "; ").alias("header"))
+def set_cookies(responses: DataFrame) -> DataFrame:
+    """Cookies that responses (line, host, at_s) set: name, value, expires in seconds and domain, with the other columns.
+
+    Lines without a name set none. Of Expires and Max-Age the later attribute counts; a date that can't be read doesn't.
+    Without a Domain the cookie is the host's.
+    """
+    parts = F.split("line", ";")
+    pair = F.element_at(parts, 1)
+    attrs = F.transform(F.slice(parts, 2, 1000), lambda a: F.struct(F.lower(F.trim(F.substring_index(a, "=", 1))).alias("k"), F.when(F.instr(a, "=") > 0, F.trim(F.element_at(F.split(a, "="), 2))).alias("v")))
+    date = lambda v: F.unix_timestamp(F.try_to_timestamp(F.replace(F.regexp_replace(v, r"^[A-Za-z]+,\s*|\s*(?:GMT|UTC)$", ""), F.lit("-"), F.lit(" ")), F.lit("d MMM yyyy HH:mm:ss")))
+    told = lambda a: F.when(a["k"] == "expires", date(a["v"])).when(a["k"] == "max-age", F.col("at_s") + F.regexp_extract(a["v"], "^([+-]?[0-9]{1,12})", 1).try_cast("long"))
+    last = lambda values: F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(-1))
+    own = F.nullif(last(F.transform(attrs, lambda a: F.when(a["k"] == "domain", a["v"]))), F.lit(""))
+    named = responses.filter(F.instr(pair, "=") > 1)
+    return named.select(*responses.columns, F.trim(F.substring_index(pair, "=", 1)).alias("name"), F.trim(F.substr(pair, F.instr(pair, "=") + 1)).alias("value"), last(F.transform(attrs, told)).alias("expires"), F.coalesce(own, "host").alias("domain"))
+
+
+def cookie_header(rows: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, header): one Cookie header of each jar; by name the last cookie counts."""
+    last = rows.groupBy(*by, "name").agg(F.max_by("value", order).alias("value"))
+    return last.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "value"))), "; ").alias("header"))
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +112,12 @@ def best_cover(found: DataFrame, least_bytes: int = 64) -> DataFrame:
     return found.withColumn("rank", rank).filter((F.col("rank") > 0) & (F.col("length") >= least_bytes)).groupBy("dir").agg(F.min_by("path", "rank").alias("path"))
 
 
+def listing(found: DataFrame) -> DataFrame:
+    """Files of each folder with their place in the order in which people read names: letters before case."""
+    order = Window.partitionBy("dir").orderBy(F.collate("file", "UNICODE"), "file")
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def image_kind(content: Column) -> Column:
     """jpeg, png or webp by the first bytes; null for anything else."""
     head = F.hex(F.substring(content, 1, 12))
@@ -96,3 +131,24 @@ def placement_plan(staged: DataFrame, present: DataFrame, mode: str = "all") ->
     media = is_media(F.col("file"))
     action = F.when(F.col("file").startswith("."), "skipped").when(media & F.lit(mode == "metadata-only"), "skipped").when(F.coalesce(same, F.lit(False)), "skipped").when(media, "linked").otherwise("copied")
     return staged.join(there, "file", "left").select("file", action.alias("action"))
+
+
+def write_files(rows: DataFrame) -> None:
+    """Write (path, content) rows as files, each moved to its name when it is whole; a retried task writes the same again.
+
+    Paths are absolute or URIs of a file system that all executors reach.
+    """
+
+    def write(part) -> None:
+        from pyarrow import fs
+
+        for row in part:
+            system, path = fs.FileSystem.from_uri(row["path"])
+            folder, _, name = path.rpartition("/")
+            system.create_dir(folder, recursive=True)
+            partial = f"{folder}/.tmp-{name}-{uuid.uuid4().hex}"
+            with system.open_output_stream(partial) as out:
+                out.write(bytes(row["content"]))
+            system.move(partial, path)
+
+    rows.select("path", F.col("content").cast("binary").alias("content")).foreachPartition(write)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,17 +64,58 @@ def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
     Files of several generations are read with their schemas merged.
     """
-    path = f"{folder}/{name}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return conform(spark.read.option("mergeSchema", "true").parquet(path), name) if there else empty(spark, name)
+    try:
+        return conform(spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}"), name)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return empty(spark, name)
 
 
 def save_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
     conform(df, name).write.mode(mode).parquet(f"{folder}/{name}")
 
 
+def commit(tables: dict[str, DataFrame], folder: str) -> int:
+    """Write several tables as one new version: readers see all of it or nothing, as a version counts once its marker is there.
+
+    Tables that aren't given are those of the version before. Versions are numbered from 1; the number is returned.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = versions(spark, folder)
+    number = max(before, default=0) + 1
+    old = before.get(number - 1, {})
+    where = {}
+    for name, df in tables.items():
+        where[name] = f"v{number}-{uuid.uuid4().hex[:8]}"
+        save_table(df, f"{folder}/{where[name]}", name)
+    rows = [(number, name, at) for name, at in (old | where).items()]
+    # the marker is one file that appears at once; of two writers of one number the second fails here
+    spark.createDataFrame(rows, "version int, name string, folder string").coalesce(1).write.mode("error").parquet(f"{folder}/_versions/{number}")
+    return number
+
+
+def versions(spark: SparkSession, folder: str) -> dict[int, dict[str, str]]:
+    """The committed versions: table to folder."""
+    out: dict[int, dict[str, str]] = {}
+    try:
+        found = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/_versions").collect()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return out
+    for r in found:
+        out.setdefault(r["version"], {})[r["name"]] = r["folder"]
+    return out
+
+
+def checkout(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of a committed version (the last one), those that were never written empty."""
+    found = versions(spark, folder)
+    where = found.get(max(found, default=0) if version is None else version, {})
+    return {name: open_table(spark, f"{folder}/{where[name]}", name) if name in where else empty(spark, name) for name in TABLES}
+
+
 def get_meta(meta: DataFrame, key: str) -> str | None:
     row = meta.filter(F.col("key") == key).select("value").first()
     return row["value"] if row else None

@@ -9,33 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.telemetry import COOLDOWN_MS, MAX_MS, MIN_MS, PATIENCE
+from ..operators.telemetry import START, STATE, limiter_step
 
-STATE = "interval_ms long, in_row long, cooldown_until long, requests long, challenges long"
 OUT = f"origin long, {STATE}"
 
 
-def step(state: tuple, kind: str, at_ms: int) -> tuple:
-    """The state after one event; the same rules as the batch fold."""
-    interval, in_row, until, requests, challenges = state
-    if until is not None and at_ms >= until:
-        in_row, until = 0, None
-    if kind == "success":
-        interval, in_row, until = (max(MIN_MS, int(interval * 0.8 + 0.5)) if interval > MIN_MS else interval), 0, None
-    elif kind == "challenge":
-        interval, in_row, challenges = min(MAX_MS, max(1000, interval * 2)), in_row + 1, challenges + 1
-        if in_row >= PATIENCE:
-            until = at_ms + COOLDOWN_MS
-    else:
-        interval = min(MAX_MS, int(interval * 1.5 + 0.5))
-    return interval, in_row, until, requests + 1, challenges
-
-
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (MIN_MS, 0, None, 0, 0)
+    now = state.get if state.exists else START
     events = pd.concat(frames).sort_values(["at_ms", "id"])
     for kind, at_ms in zip(events["kind"], events["at_ms"], strict=True):
-        now = step(now, kind, int(at_ms))
+        now = limiter_step(now, kind, int(at_ms))
     state.update(now)
     yield pd.DataFrame([(key[0], *now)], columns=["origin", "interval_ms", "in_row", "cooldown_until", "requests", "challenges"]).astype({"cooldown_until": "Int64"})
 

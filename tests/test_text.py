@@ -67,8 +67,9 @@ def test_similarity_equals_plain_python(spark, rows):
 def test_match_score(spark):
     rows = [("Пані Боварі", ["Гюстав Флобер"], "Pani Bovari", ["Hiustav Flober"]), ("Пані Боварі", ["Гюстав Флобер"], "Дюна", ["Френк Герберт"]), ("Дюна", [], "Дюна", ["X"])]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, a array<string>, u string, b array<string>")
-    sides = df.select("k", text.match_side(F.col("t"), F.col("a")).alias("x"), text.match_side(F.col("u"), F.col("b")).alias("y"))
-    got = [r[0] for r in sides.orderBy("k").select(text.match_score(F.col("x"), F.col("y"))).collect()]
+    sides = df.select("k", text.title_side(F.col("t")).alias("t"), text.title_side(F.col("u")).alias("u"), text.authors_side(F.col("a")).alias("a"), text.authors_side(F.col("b")).alias("b"))
+    people = F.when((F.size("a") > 0) & (F.size("b") > 0), text.names_closeness(F.col("a"), F.col("b")))
+    got = [r[0] for r in sides.orderBy("k").select(text.match_score(text.closeness(F.col("t"), F.col("u")), people)).collect()]
     assert got[0] > 0.8
     assert got[1] < 0.3
     assert got[2] == 1.0
