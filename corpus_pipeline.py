@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
 last return the columns of documents; the last adds size, text_crc32, shard and slot.
+
+Null, empty and letterless texts go in the first stage, as of no language. Very long texts are read whole by every
+stage. Ties: of near-duplicates the least id stays, and of equal ids the least hash of the text. Repeated rows are near-duplicates of each
+other, so one stays, whatever its other columns hold. Null ids count as ids of their own. Columns beyond those of documents pass through, whatever
+their names, but for those that begin with ``__sm_`` and, in the last stage, those that it adds. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontam, langid, mixing, sharding, simhash
-from shelfmark.llm.common import OWN, crc_of_id, table, written
+from shelfmark.llm.common import OWN, crc_of_id, forget, table, written
 
 #: A text whose best language is less likely than this is as good as undetermined.
 LEAST_SCORE = 0.3
@@ -61,8 +66,9 @@ STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder."""
+    """All stages over documents, each but the last written to the shared folder; a stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
