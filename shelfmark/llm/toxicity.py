@@ -242,16 +242,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     count = marked.count()
     # ids are sampled before the texts are joined; repeated ids go in or stay out together
     picked = marked.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < float(1 << 30) * min(1.0, rows / max(1, count)))
-    joined = written(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(picked, F.col("doc") == F.col("id")).select("y", "text"))
-
-    def numbers_of(sets: list[set[str]], cache: dict[str, tuple[int, ...]], some: np.ndarray | None = None) -> pa.Array:
-        found = [np.array(features(s, cache), dtype=np.int32) for s in sets]
-        return pa.array([(f if some is None else f[np.isin(f, some)]).tobytes() for f in found], pa.binary())
+    # by number: few rows, but much work for each
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = written(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(picked, F.col("doc") == F.col("id")).select("y", "text").repartition(tasks))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), numbers_of([words_of(t) for t in texts_of(batch, "text")], cache)], names=["y", "x"])
+            found = [np.array(features(words_of(t), cache), dtype=np.int32).tobytes() for t in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array(found, pa.binary())], names=["y", "x"])
 
     numbers = lambda b: np.frombuffer(b, dtype=np.int32)
     got = joined.mapInArrow(extract, "y int, x binary").toArrow()
@@ -267,13 +266,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps, columns = shared.value
-        cache: dict[str, tuple[int, ...]] = {}
+        part, cache = set(columns.tolist()), {}
+
+        def numbers_of(words: set[str]) -> bytes:
+            out: set[int] = set()
+            for w in words:
+                got = cache.get(w)
+                if got is None:
+                    got = tuple(x for x in _buckets(w) if x in part)
+                    if len(cache) < 500_000:  # memory only
+                        cache[w] = got
+                if got:
+                    out.update(got)
+            return np.array(sorted(out), dtype=np.int32).tobytes()
+
         for batch in batches:
-            pairs = [p for t in texts_of(batch, "text") for p in counterfactuals(t, swaps)]
-            yield pa.RecordBatch.from_arrays([numbers_of([p[k] for p in pairs], cache, columns) for k in (0, 1)], names=["a", "b"])
+            pairs = [(numbers_of(a), numbers_of(b)) for t in texts_of(batch, "text") for a, b in counterfactuals(t, swaps)]
+            moved = [p for p in pairs if p[0] != p[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in moved], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     got = joined.mapInArrow(swap, "a binary, b binary").toArrow()
-    pairs = sorted((a, b) for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True) if a != b)
+    pairs = sorted(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
     forget(joined)
     return Model(*fit(x, y, [(numbers(a), numbers(b)) for a, b in pairs], penalty, columns), own, len(pairs))
 
