@@ -145,6 +145,10 @@ _RAW_BOOK = T.StructType(
 )
 
 
+#: What headings put before and after a title.
+TITLE_BEFORE, TITLE_AFTER = r"^Аудіокнига\s+", r"\s+-\s+автор\s+.*$"
+
+
 def _raw_title(root: Node) -> str:
     site, full = _meta(root, ("property", "og:site_name")), _meta(root, ("property", "og:title"), ("property", "twitter:title"))
     if full:
@@ -152,8 +156,8 @@ def _raw_title(root: Node) -> str:
         if title:
             return title
     heading = root.first(lambda n: n.tag == "h1")
-    text = re.sub(r"^Аудіокнига\s+", "", heading.text().strip() if heading else "", flags=re.IGNORECASE)
-    return re.sub(r"\s+-\s+автор\s+.*$", "", text, flags=re.IGNORECASE).strip()
+    text = re.sub(TITLE_BEFORE, "", heading.text().strip() if heading else "", flags=re.IGNORECASE)
+    return re.sub(TITLE_AFTER, "", text, flags=re.IGNORECASE).strip()
 
 
 def raw_book(html: str | None) -> dict | None:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import catalog, matching, merge, pages, playlist, queue, selection, sidecar, sync, telemetry
-from ..sources import library, schema
+from ..operators import catalog, matching, merge, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
+from ..sources import config, library, schema
 from ..staging import once, shared_folder
 from .catalogue_queries import query
 from .content_queries import _generations, _playlists
@@ -555,3 +555,44 @@ def path_back(v: Views) -> DataFrame:
     i = F.col("page_id")
     local = v.table("pages").select(i.alias("id"), F.when(i % 3 == 0, F.concat(F.lit("/en/a"), i.cast("string"))).when(i % 3 == 1, "/en").otherwise("/fr/b").alias("path"))
     return matching.map_paths(local, rules, inverse=True).select("id", F.col("mapped").alias("back"))
+
+
+_CONFIG = """
+logLevel: info
+server: {port: 9000}
+sync: {writePolicy: fill-empty, matchThreshold: 0.9, linkMode: hardlink}
+audio: {trackConcurrency: 5}
+subscriptions:
+  - {type: author, value: A, enabled: false}
+  - {type: tag, value: B, note: '', enabled: true}
+"""
+_ENVIRONMENT = {"PORT": "x", "HOST": " 0.0.0.0 ", "WRITE_POLICY": "", "AUDIO_TRACK_CONCURRENCY": "7", "LOG_LEVEL": "warn"}
+
+
+def _flat(given: object, at: str = "") -> list[tuple[str, str]]:
+    if isinstance(given, dict):
+        return [x for k, v in given.items() for x in _flat(v, f"{at}.{k}".strip("."))]
+    if isinstance(given, list):
+        return [x for k, v in enumerate(given) for x in _flat(v, f"{at}[{k}]")]
+    return [(at, str(given))]
+
+
+@query("SELECT * FROM (VALUES ('logLevel', 'warn'), ('server.host', '0.0.0.0'), ('server.port', '9000'), ('audio.trackConcurrency', '7'), ('sync.writePolicy', 'fill-empty'), ('sync.matchThreshold', '0.9'), ('subscriptions[0].type', 'author'), ('subscriptions[0].value', 'A'), ('subscriptions[0].enabled', 'False'), ('subscriptions[1].type', 'tag'), ('subscriptions[1].value', 'B')) t(setting, value)", views=False)
+def config_differences(v: Views) -> DataFrame:
+    """A configuration under its environment, what differs from the defaults: on the driver, as configurations are."""
+    effective = config.overlay(config.parse(_CONFIG), _ENVIRONMENT)
+    return v.spark.createDataFrame(_flat(config.compact(effective)), "setting string, value string")
+
+
+@query("SELECT c_custkey AS pos, upper(c_name) AS name FROM customer", views=False)
+def pool_in_order(v: Views) -> DataFrame:
+    """Work on rows by four tasks at most."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_upper(batch.column(1))], names=["pos", "name"])
+
+    rows = v.table("customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
+    return pool.ordered_map(rows, work, f"pos {rows.schema['pos'].dataType.simpleString()}, name string", 4, "pos")

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Choices, defaults and ranges of the settings.
 POLICIES = ("fill-empty", "overwrite-ours", "overwrite-all")
 KINDS = ("author", "narrator", "series", "genre", "tag")
 
