@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import ROW_GROUP, shared_folder
+
 #: What a word is in the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A salt gets this many rows at least, and no less than 1/SALTS of all rows; twice that makes a key heavy.
@@ -22,8 +23,6 @@ SALT_ROWS, SALTS = 256, 1 << 16
 BUCKET_ROWS = 1 << 18
 #: Bytes that an Arrow function gets at a time.
 SLICE = 4 << 20
-#: Bytes of a row group in tables that ``written`` writes: a writer holds one in memory.
-ROW_GROUP = 32 << 20
 #: Prefix of the columns that operators add for themselves and drop again.
 OWN = "__sm_"
 
@@ -32,21 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share.
-
-    It comes from ``spark.checkpoint.dir``. Where a session has none, a local master gets a temporary
-    one; on a cluster that is an error, as executors can't read a folder of the driver's machine.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp())
-    return context.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder; Spark removes them with the last reference."""
     shared_folder(df.sparkSession)

@@ -477,6 +477,12 @@ def test_language_score_does_not_depend_on_blocks(spark, monkeypatch):
         assert np.allclose(whole[k], model.sums([t])[0], rtol=1e-4, atol=1e-2)
 
 
+def test_language_ties_go_to_the_first(spark):
+    df = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a"), (3, "same text", "c")], "doc_id long, text string, lang string")
+    got = langid.predict(docs(spark, ["same", "text same"]), langid.train(df)).collect()
+    assert {r["lang_pred"] for r in got} == {"a"} and all(abs(r["score"] - 1 / 3) < 1e-6 for r in got)
+
+
 # --- licences
 
 
@@ -568,6 +574,13 @@ def test_licence_scan_equals_brute_force(whole):
     assert m.scan(textwrap.fill(licenses._BSD, 72), whole)[0] == "BSD-3-Clause"
 
 
+def test_licence_ties_go_to_the_first():
+    m = licenses.Matcher()
+    assert m.scan("Released under the MIT License.\n\nReleased under the ISC License.")[0] == "ISC"
+    assert m.scan("Released under the MIT License.\n" * 3) == m.scan("Released under the MIT License.")
+    assert m.scan("word " * 200_000 + "\n" + "Licensed under CC BY 4.0.")[0] == "CC-BY-4.0"
+
+
 def test_inheritance_equals_a_plain_loop(spark):
     rng = np.random.default_rng(13)
     names = ["MIT", "ISC", "GPL-3.0"]
@@ -732,6 +745,13 @@ def test_decontamination_over_several_indexes(spark, monkeypatch):
     assert decontam.contaminated(df, items.limit(0)).count() == 0 and decontam.clean(df, items.limit(0)).count() == df.count()
 
 
+def test_equal_items_are_all_found(spark):
+    text = "the same item with enough words to tell. and its answer here."
+    items = spark.createDataFrame([(1, text), (2, text), (None, text)], "item_id long, text string")
+    got = decontam.contaminated(docs(spark, [f"before {text} after", f"before {text} after"], ids=[7, 7]), items).collect()
+    assert sorted((r["doc_id"], str(r["item_id"])) for r in got) == sorted([(7, "1"), (7, "2"), (7, "None")] * 2)
+
+
 def test_wand_finds_what_all_sums_find_and_skips_blocks():
     rng = np.random.default_rng(12)
     say = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.2, n) % 3000)
