@@ -9,6 +9,9 @@ Training rows are bounded: about ``per_lang`` rows of each language (default 600
 of id and text with a rate that the counts give. Languages of the matrix are those of the training
 rows, all with the same prior. The matrix takes a quarter of a MB a language; more than MOST_LANGS (400) of them raise an error.
 
+Beside the language comes, where it is asked for, how far the text is from it: by how many nats an n-gram of the text is less likely than one
+of the language's training rows. Texts of languages that weren't learned, and letters without sense, are far from all.
+
 A text that is null or has no letter gets ``und`` with score 0, as does every text where there was
 no row to learn from. Ties go to the language that is first by code point. Whole texts are scored, however long.
 Repeated rows score alike. Columns of any name pass through, but for those of the results and those that begin with ``__sm_``. An empty
@@ -113,23 +116,24 @@ class Model:
     """Languages and the log-probability matrix (BUCKETS + 1 rows; the last is zero)."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
-        self._fill({lang: np.log(c + SMOOTHING) - np.log((c + SMOOTHING).sum()) for lang, c in zip(langs, counts, strict=True)})
+        self._fill({lang: _logs(c) for lang, c in zip(langs, counts, strict=True)})
 
     @classmethod
-    def of(cls, logs: dict[str, np.ndarray]) -> Model:
-        """From each language's log-probabilities."""
+    def of(cls, logs: dict[str, tuple[np.ndarray, float]]) -> Model:
+        """From each language's log-probabilities and the mean of them over its training rows."""
         out = cls.__new__(cls)
         out._fill(logs)
         return out
 
-    def _fill(self, logs: dict[str, np.ndarray]) -> None:
+    def _fill(self, logs: dict[str, tuple[np.ndarray, float]]) -> None:
         self.langs = list(logs)
+        self.usual = np.array([mean for _, mean in logs.values()])
         self.matrix = np.zeros((BUCKETS + 1, len(logs)), dtype=np.float32)
-        for k, own in enumerate(logs.values()):
+        for k, (own, _) in enumerate(logs.values()):
             self.matrix[:BUCKETS, k] = own
 
-    def sums(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood of each text in each language."""
+    def sums(self, texts: list[str], sizes: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihood of each text in each language; ``sizes`` gets the texts' numbers of n-grams added."""
         out = np.zeros((len(texts), len(self.langs)))
         step = max(1 << 12, BLOCK // max(1, len(self.langs)))
         for begin, end in blocks(texts, 1 << 18):
@@ -141,21 +145,33 @@ class Model:
                     last = int(np.searchsorted(starts, a + len(part), "left"))
                     cuts = np.maximum(starts[first:last] - a, 0)
                     out[begin + first : begin + last] += np.add.reduceat(part.astype(np.float64) if len(cuts) < 4 else part, cuts, axis=0)
+                    if sizes is not None:
+                        sizes[begin + first : begin + last] += np.add.reduceat((hashed[a : a + step] < BUCKETS).astype(np.int64), cuts)
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, posterior probabilities, and distances in nats an n-gram."""
         if not self.langs or not texts:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        sums = self.sums(texts)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        sums = self.sums(texts, sizes)
         best = sums.argmax(axis=1)
         odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-        return [self.langs[k] for k in best], 1.0 / odds.sum(axis=1)
+        far = self.usual[best] - sums.max(axis=1) / np.maximum(sizes, 1)
+        return [self.langs[k] for k in best], 1.0 / odds.sum(axis=1), far
+
+
+def _logs(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Smoothed log-probabilities of buckets, and their mean over the n-grams counted."""
+    smooth = counts + SMOOTHING
+    logs = np.log(smooth) - np.log(smooth.sum())
+    return logs.astype(np.float32), float(counts @ logs / max(1.0, counts.sum()))
 
 
-def _logs(counts: list) -> np.ndarray:
-    smooth = np.full(BUCKETS, SMOOTHING)
-    np.add.at(smooth, np.array([c["bucket"] for c in counts], dtype=np.int64), np.array([c["n"] for c in counts], dtype=np.float64))
-    return (np.log(smooth) - np.log(smooth.sum())).astype(np.float32)
+def _dense(counts: list) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    np.add.at(out, np.array([c["bucket"] for c in counts], dtype=np.int64), np.array([c["n"] for c in counts], dtype=np.float64))
+    return out
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Model:
@@ -185,12 +201,12 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counts = picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a row a language, one after the other: the driver holds one language's counts beside the matrix
     by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    parts = [(r["lang"], _logs(r["counts"])) for r in by_lang.toLocalIterator()]
+    parts = [(r["lang"], _logs(_dense(r["counts"]))) for r in by_lang.toLocalIterator()]
     return Model.of(dict(sorted(parts)))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its posterior probability."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", far_out: str | None = None) -> DataFrame:
+    """``df`` with the predicted language, its posterior probability and, if it has a name, the distance."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute():
@@ -199,16 +215,18 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = texts_of(batch, text_col)
             some = [k for k, ok in enumerate(texts_of(batch, f"{OWN}letters")) if ok]
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            got, scores = own.predict([texts[k] for k in some])
-            for k, x, p in zip(some, got, scores, strict=True):
-                lang[k], score[k] = x, p
-            return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            lang, numbers = [UNDETERMINED] * len(texts), np.zeros((2, len(texts)))
+            got, *told = own.predict([texts[k] for k in some])
+            numbers[:, some] = told
+            for k, x in zip(some, got, strict=True):
+                lang[k] = x
+            return [pa.array(lang, pa.string()), pa.array(numbers[0], pa.float64()), pa.array(numbers[1], pa.float64())][: 3 if far_out else 2]
 
         return work
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return add_columns(df.withColumn(f"{OWN}letters", letters), [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], compute).drop(f"{OWN}letters")
+    fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), *([T.StructField(far_out, T.DoubleType())] if far_out else [])]
+    return add_columns(df.withColumn(f"{OWN}letters", letters), fields, compute).drop(f"{OWN}letters")
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

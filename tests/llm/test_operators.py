@@ -466,6 +466,15 @@ def test_language_equals_brute_force(spark):
     assert got[2]["lang_pred"] == "y" and got[2]["score"] > 0.6
 
 
+def test_texts_of_no_learned_language_are_far(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(df)
+    far = langid.predict(docs(spark, ["zxqv kjwq xzzq vvkq jjxw qqzx", "Привет как дела сегодня", None, "%%%", "zxqv kjwq xzzq vvkq jjxw qqzx " * 20_000]), model, far_out="far").orderBy("doc_id").collect()
+    assert far[0]["far"] > 5 and far[1]["far"] > 5 and far[2]["far"] == far[3]["far"] == 0 and far[4]["far"] > 5
+    own = langid.predict(df, model, far_out="far").agg(F.max("far"), F.avg("far")).first()
+    assert own[0] < 4 and abs(own[1]) < 0.5
+
+
 def test_language_score_does_not_depend_on_blocks(spark, monkeypatch):
     counts = np.random.default_rng(1).integers(0, 9, (3, langid.BUCKETS)).astype(float)
     model = langid.Model(["a", "b", "c"], counts)
