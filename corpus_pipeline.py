@@ -19,6 +19,9 @@ from shelfmark.llm.common import OWN, crc_of_id, forget, table, written
 
 #: A text whose best language is less likely than this is as good as undetermined.
 LEAST_SCORE = 0.3
+#: A text that is less likely than its language's training rows by this many nats an n-gram is of no learned language. Whole
+#: texts of the test tables stay below 3 (a line with an access key), other scripts and random letters are above 6.
+MOST_FAR = 4.0
 #: The stages can't be told in SQL: naive Bayes, XXH64 fingerprints and BM25 have no DuckDB form.
 ORACLE_SQL = None
 
@@ -28,7 +31,7 @@ def _columns(docs: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts of no language: null, without a letter, or with no language above LEAST_SCORE.
+    """Drop texts of no language: null, without a letter, with no language above LEAST_SCORE, or too far from it.
 
     The model learns from the documents that name their language and aren't held out. Where none
     does, every text with a letter stays.
@@ -36,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(crc_of_id(F.col("doc_id")) % 4 != 2))
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    told = langid.predict(docs, model, lang_out=f"{OWN}lang", score_out=f"{OWN}score")
-    return told.filter((F.col(f"{OWN}lang") != langid.UNDETERMINED) & (F.col(f"{OWN}score") >= LEAST_SCORE)).select(*_columns(docs))
+    told = langid.predict(docs, model, lang_out=f"{OWN}lang", score_out=f"{OWN}score", far_out=f"{OWN}far")
+    return told.filter((F.col(f"{OWN}lang") != langid.UNDETERMINED) & (F.col(f"{OWN}score") >= LEAST_SCORE) & (F.col(f"{OWN}far") <= MOST_FAR)).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
