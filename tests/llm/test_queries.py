@@ -47,6 +47,8 @@ def test_pipeline_stages(spark, sf):
         if name != "sharding":
             assert docs.columns == columns
     assert seen["language ID"].count() == before
+    odd = spark.createDataFrame([(-1, "zxqv kjwq xzzq vvkq jjxw qqzx", "en", "s", 1), (-2, None, "en", "s", 1)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    assert dict(corpus_pipeline.STAGES)["language ID"](spark, spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd), sf).filter("doc_id < 0").count() == 0
     kept = seen["SimHash near-dedup"]
     assert kept.count() == simhash.near_duplicates(seen["language ID"]).select("component_id").distinct().count()
     assert simhash.near_duplicates(kept).select("component_id").distinct().count() == kept.count()
