@@ -80,13 +80,19 @@ def candidates(items: DataFrame, books: DataFrame) -> DataFrame:
 def scored(pairs: DataFrame, items: DataFrame, books: DataFrame) -> DataFrame:
     """(item_id, source_id, score) of candidate pairs; titles and names are normalised before the joins.
 
-    A book may have many authors, so names join only pairs whose sides both have some.
+    A book may have many authors, so names join only pairs whose sides both have some; each distinct name is
+    normalised once, however many books bear it.
     """
     some = F.coalesce(F.size("authors") > 0, F.lit(False))
     i = items.select("item_id", title_side(F.col("title")).alias("a"), some.alias("named"))
     b = books.select("source_id", title_side(F.col("title")).alias("b"), some.alias("signed"))
     titled = pairs.join(i, "item_id").join(b, "source_id").select("item_id", "source_id", closeness(F.col("a"), F.col("b")).alias("titles"), (F.col("named") & F.col("signed")).alias("both"))
-    people = lambda df, key, name: df.filter(some).select(key, F.lit(True).alias("both"), authors_side(F.col("authors")).alias(name))
+
+    def people(df: DataFrame, key: str, name: str) -> DataFrame:
+        flat = df.filter(some).select(key, F.explode("authors").alias("author"))
+        sides = flat.select("author").distinct().select("author", F.element_at(authors_side(F.array("author")), 1).alias("side"))
+        return flat.join(sides, "author").groupBy(key).agg(F.collect_list("side").alias(name)).withColumn("both", F.lit(True))
+
     full = titled.join(people(items, "item_id", "a"), ["item_id", "both"], "left").join(people(books, "source_id", "b"), ["source_id", "both"], "left")
     return full.select("item_id", "source_id", match_score(F.col("titles"), F.when(F.col("both"), names_closeness(F.col("a"), F.col("b")))).alias("score"))
 
