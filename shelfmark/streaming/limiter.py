@@ -26,7 +26,8 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 def limiter_stream(events: DataFrame) -> DataFrame:
     """A stream of (origin, id, kind, at_ms) to the state of each origin that had events in a batch.
 
-    Events of an origin count in order inside a batch; batches count as they come.
+    Events of an origin count in order inside a batch; batches count as they come. A batch's events of an origin are sorted in memory:
+    what bounds a batch (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds them.
     """
     return events.groupBy("origin").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
