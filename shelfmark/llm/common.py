@@ -31,10 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder; Spark removes them with the last reference."""
+#: Rows of a partition of a checkpoint whose size is known beforehand.
+PART_ROWS = 50_000
+
+
+def checkpoint(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Cut the lineage with files in the shared folder; Spark removes them with the last reference.
+
+    ``most`` is a known bound on the rows: few rows then go to few files, however many partitions they come from.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if most is None else df.coalesce(1 + most // PART_ROWS)).checkpoint(eager=True)
 
 
 #: Tables that ``written`` made and ``forget`` hasn't removed.
@@ -106,7 +113,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, s
     return dealt.join(copies, [key, salt], how).drop(salt)
 
 
-def numbered(rows: DataFrame, groups: list[str], out: str, *, keys: DataFrame | None = None) -> DataFrame:
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Rows with the column {OWN}sub, the leading digits of {OWN}hash."""
+    return rows.withColumn(f"{OWN}sub", F.substring(f"{OWN}hash", 1, 2))
+
+
+def numbered(rows: DataFrame, groups: list[str], out: str, *, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` with a running number from 0 in each group, without a gap.
 
     Needs the columns {OWN}order (its value counts first), {OWN}hash (a hex text; rows that share it must be
@@ -114,13 +126,14 @@ def numbered(rows: DataFrame, groups: list[str], out: str, *, keys: DataFrame |
     in buckets of (group, order, leading digits of the hash): running numbers in a bucket, and offsets from one row a bucket. Where a
     bucket has very many rows, hashes that many of them share get buckets of their own, cut further by
     the rows' places in a table that is written for it, so no task numbers a whole group, whatever
-    repeats. ``keys`` is ``rows`` without what makes it wide, to count with.
+    repeats. ``counts`` are the rows of each bucket (column n), where they are known already.
     """
     order, digest, sub, own, part = (OWN + x for x in ("order", "hash", "sub", "own", "part"))
     bucket = [*groups, order, sub]
-    rows = rows.withColumn(sub, F.substring(digest, 1, 2))
-    thin = (rows if keys is None else keys.withColumn(sub, F.substring(digest, 1, 2))).select(*bucket, digest)
-    counts = checkpoint(thin.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")))
+    rows = bucketed(rows)
+    thin = rows.select(*bucket, digest)
+    if counts is None:
+        counts = checkpoint(thin.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")))
     large = counts.filter(F.col("n") > BUCKET_ROWS)
     heavy = None
     if not large.isEmpty():

@@ -37,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
     mark = edges.agg(*state).first()
     while mark[0]:
-        edges = checkpoint(_star(edges, True, 2 * mark[0]))
-        edges = checkpoint(_star(edges, False, edges.count()))
+        edges = checkpoint(_star(edges, True, 2 * mark[0]), 2 * mark[0])
+        n = edges.count()
+        edges = checkpoint(_star(edges, False, n), 2 * n)
         before, mark = mark, edges.agg(*state).first()
         if mark == before:
             break

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, checkpoint, heavy_keys, numbered, salted_join, word_count
+from .common import OWN, bucketed, checkpoint, heavy_keys, numbered, salted_join, word_count
 
 UNIT = 1 << 32
 SEED = "mix-1"
@@ -73,8 +73,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     # rows alike in id and text are alike in all that counts here
     alike = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     rows = rows.withColumn(f"{OWN}order", _class(F.col(f"{OWN}size"))).withColumn(f"{OWN}hash", alike)
-    thin = checkpoint(rows.select(F.col(source_col).alias(f"{OWN}source"), f"{OWN}size", f"{OWN}key", f"{OWN}order", f"{OWN}hash"))
-    targets = source_targets(thin.groupBy(F.col(f"{OWN}source").alias("source")).agg(F.sum(f"{OWN}size").alias("source_size")), weights, most)
+    groups = [f"{OWN}key", f"{OWN}order", f"{OWN}sub"]
+    counts = checkpoint(bucketed(rows).groupBy(F.col(source_col).alias(f"{OWN}source"), *groups).agg(F.count(F.lit(1)).alias("n"), F.sum(f"{OWN}size").alias("size")))
+    targets = source_targets(counts.groupBy(F.col(f"{OWN}source").alias("source")).agg(F.sum("size").alias("source_size")), weights, most)
     targets = targets.select(
         _key(F.col("source")).alias(f"{OWN}key"),
         F.col("source_size").alias(f"{OWN}source_size"),
@@ -82,9 +83,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long").alias(f"{OWN}units"),
         F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long").alias(f"{OWN}start"),
     )
-    counts = thin.groupBy(f"{OWN}key").agg(F.count(F.lit(1)).alias("n"))
-    placed = numbered(rows if keep_text else rows.drop(text_col), [f"{OWN}key"], f"{OWN}number", keys=thin)
-    placed = salted_join(placed, targets, f"{OWN}key", heavy_keys(counts, f"{OWN}key", "n", thin.count()), F.col(f"{OWN}hash"), "inner")
+    sources = counts.groupBy(f"{OWN}key").agg(F.sum("n").alias("n"))
+    placed = numbered(rows if keep_text else rows.drop(text_col), [f"{OWN}key"], f"{OWN}number", counts=counts.select(*groups, "n"))
+    placed = salted_join(placed, targets, f"{OWN}key", heavy_keys(sources, f"{OWN}key", "n", sources.agg(F.sum("n")).first()[0] or 0), F.col(f"{OWN}hash"), "inner")
     # all documents of a source have the same expected copies, so the prefix sum is a multiple of the number
     upto = lambda k: F.expr(f"cast((cast({OWN}units as decimal(19,0)) * ({OWN}number + {k}) + {OWN}start) div {UNIT} as long)")
     return placed.withColumn(f"{OWN}copies", F.least(F.lit(most).cast("long"), upto(1) - upto(0))).drop(f"{OWN}key", f"{OWN}order", f"{OWN}hash", f"{OWN}number", f"{OWN}units", f"{OWN}start")

@@ -281,10 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, __sm_hash, fp, component_id) of every row; __sm_hash is xxhash64 of the text."""
     rows = checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(f"{OWN}hash", F.xxhash64("text")), "text").drop("text"))
     counts = checkpoint(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
-    roots = checkpoint(components(similar(counts, "fp", bits, segments)))
-    nodes = checkpoint(counts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")))
-    firsts = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")))
-    found = salted_join(nodes.select("fp", "root"), firsts.select("root", "component_id"), "root", heavy_keys(firsts, "root", "fps", nodes.count()), F.col("fp"), "inner")
+    most = counts.count()
+    roots = checkpoint(components(similar(counts, "fp", bits, segments)), most)
+    nodes = checkpoint(counts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), most)
+    firsts = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")), most)
+    found = salted_join(nodes.select("fp", "root"), firsts.select("root", "component_id"), "root", heavy_keys(firsts, "root", "fps", most), F.col("fp"), "inner")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return salted_join(rows, found, "fp", heavy_keys(counts, "fp", "n", total), F.concat_ws(",", F.col("doc_id"), F.col(f"{OWN}hash")))
 
