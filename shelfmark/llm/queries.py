@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, line_dedup, media, mixing, pii, sharding, simhash, toxicity
+from . import bpe, decontam, langid, licenses, line_dedup, media, merkle, mixing, negatives, pii, sharding, simhash, toxicity
 from .common import OWN, crc_of_id, table
 
 
@@ -57,6 +57,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.lit("key").alias("law"), *[F.col(OWN + own).alias(name) for name, own in names.items()])
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.of_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, "vec_id", label, "embedding")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    content = bpe.read(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), content).drop("text")
+    back = bpe.decode(ids, content)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media": op2_media,
@@ -68,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_bpe": op13_bpe,
 }
 
 _MIX_SQL = r"""
@@ -102,4 +124,22 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op3_mixing": _MIX_SQL}
+_NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.oracle(), "op3_mixing": _MIX_SQL, "op12_hard_negatives": _NEGATIVES_SQL}

@@ -16,6 +16,9 @@ COLUMNS = {
     "op6_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op10_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
@@ -27,7 +30,7 @@ def test_query(spark, sf, name):
     documents = spark.read.parquet(f"{sf}/documents.parquet").count()
     if name in ORACLE_SQL:
         c = duckdb.connect()
-        for t in ("documents", "pages", "labels", "benchmark"):
+        for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
             c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         rel = c.execute(ORACLE_SQL[name])
         names = [d[0] for d in rel.description]
