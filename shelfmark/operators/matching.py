@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import author_score, authors_side, closeness, leading_int, match_score, names_closeness, title_side, title_tokens
+from ..staging import once
+from .nearest import ROOM, TITLE_SHARE, kth_best, shape_of
 
 THRESHOLD = 0.86
 TITLE_CAP, AUTHOR_CAP, KEPT = 80, 120, 5
@@ -58,43 +60,67 @@ def containing(needles: DataFrame, texts: DataFrame, by: tuple[str, ...] = ()) -
     return keyed.join(held, [*by, "piece"]).filter(F.contains("text", "needle")).select(*by, "needle", "text")
 
 
-def candidates(items: DataFrame, books: DataFrame) -> DataFrame:
+def candidates(items: DataFrame, books: DataFrame, title_cap: int | None = TITLE_CAP, author_cap: int | None = AUTHOR_CAP) -> DataFrame:
     """(item_id, source_id): fetched books that share title words or authors with an item.
 
     Books whose title contains one of an item's first four words of four or more letters (80 a word)
-    and books of its first two authors (120 an author); caps are by source_id. Items have item_id,
+    and books of its first two authors (120 an author); caps are by source_id, None lifts them. Items have item_id,
     title and authors; books source_id, title, authors and detail_state. Words and names are compared
     as distinct texts, not once a book or item, and both kinds in one join.
     """
-    each = lambda values, cap, name: F.transform(values, lambda x: F.struct(F.lit(cap).alias("cap"), x.alias(name)))
-    listed = lambda df, key, name, title, people: df.select(key, F.explode(F.concat(each(title, TITLE_CAP, name), each(F.transform(people, F.lower), AUTHOR_CAP, name))).alias("x")).select(key, "x.*")
+    each = lambda values, kind, name: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias(name)))
+    listed = lambda df, key, name, title, people: df.select(key, F.explode(F.concat(each(title, "title", name), each(F.transform(people, F.lower), "author", name))).alias("x")).select(key, "x.*")
     wanted = listed(items, "item_id", "needle", title_tokens(F.col("title")), F.slice("authors", 1, 2))
     words = F.filter(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")), lambda t: t != "")
     have = listed(books.filter(F.col("detail_state") == "ok"), "source_id", "text", words, F.col("authors"))
-    holds = containing(wanted.select("cap", "needle").distinct(), have.select("cap", "text").distinct(), ("cap",))
-    found = holds.join(have, ["cap", "text"]).select("cap", "needle", "source_id").distinct()
-    capped = found.withColumn("n", F.row_number().over(Window.partitionBy("cap", "needle").orderBy("source_id"))).filter(F.col("n") <= F.col("cap"))
-    return wanted.join(capped, ["cap", "needle"]).select("item_id", "source_id").distinct()
+    holds = containing(wanted.select("kind", "needle").distinct(), have.select("kind", "text").distinct(), ("kind",))
+    found = holds.join(have, ["kind", "text"]).select("kind", "needle", "source_id").distinct()
+    caps = [(kind, cap) for kind, cap in (("title", title_cap), ("author", author_cap)) if cap is not None]
+    if caps:
+        most = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(cap)) for kind, cap in caps], F.lit((1 << 31) - 1))
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("kind", "needle").orderBy("source_id"))).filter(F.col("n") <= most)
+    return wanted.join(found, ["kind", "needle"]).select("item_id", "source_id").distinct()
 
 
-def scored(pairs: DataFrame, items: DataFrame, books: DataFrame) -> DataFrame:
-    """(item_id, source_id, score) of candidate pairs; titles and names are normalised before the joins.
+def scored(pairs: DataFrame, items: DataFrame, books: DataFrame, kept: int | None = None) -> DataFrame:
+    """(item_id, source_id, score) of candidate pairs; each pair of titles is scored once, however many items and books bear them.
 
-    A book may have many authors, so names join only pairs whose sides both have some; each distinct name is
-    normalised once, however many books bear it.
+    With ``kept``, only pairs that can be among an item's ``kept`` best: those are left out that a perfect author wouldn't bring up to
+    the kept-th best of what the titles alone ensure. A book may have many authors, so names join only pairs whose sides both have some; each distinct name is
+    normalised once.
     """
     some = F.coalesce(F.size("authors") > 0, F.lit(False))
-    i = items.select("item_id", title_side(F.col("title")).alias("a"), some.alias("named"))
-    b = books.select("source_id", title_side(F.col("title")).alias("b"), some.alias("signed"))
-    titled = pairs.join(i, "item_id").join(b, "source_id").select("item_id", "source_id", closeness(F.col("a"), F.col("b")).alias("titles"), (F.col("named") & F.col("signed")).alias("both"))
+    i = items.select("item_id", F.col("title").alias("a"), some.alias("named"))
+    b = books.select("source_id", F.col("title").alias("b"), some.alias("signed"))
+    side = lambda df, name: df.select(name).distinct().select(name, title_side(F.col(name)).alias(f"{name}_side"))
+    bare = pairs.join(i, "item_id").join(b, "source_id").select("item_id", "source_id", "a", "b", (F.col("named") & F.col("signed")).alias("both"))
+    titles = bare.select("a", "b").distinct().join(side(i, "a"), "a").join(side(b, "b"), "b").select("a", "b", closeness(F.col("a_side"), F.col("b_side")).alias("titles"))
+    titled = bare.join(titles, ["a", "b"], "left").select("item_id", "source_id", "titles", "both")
+    if kept is not None:
+        titled = once(titled)
+        sure = titled.select("item_id", "source_id", F.when(F.col("both"), F.col("titles") * TITLE_SHARE).otherwise(F.col("titles")).alias("score"))
+        most = F.when(F.col("both"), match_score(F.col("titles"), F.lit(1.0))).otherwise(F.col("titles"))
+        titled = titled.join(kth_best(sure, "item_id", "source_id", kept), "item_id", "left").filter(F.col("bar").isNull() | (most >= F.col("bar") - ROOM)).drop("bar")
 
     def people(df: DataFrame, key: str, name: str) -> DataFrame:
-        flat = df.filter(some).select(key, F.explode("authors").alias("author"))
+        asked = titled.filter("both").select(key).distinct()
+        flat = df.filter(some).join(asked, key, "left_semi").select(key, F.explode("authors").alias("author"))
         sides = flat.select("author").distinct().select("author", F.element_at(authors_side(F.array("author")), 1).alias("side"))
-        return flat.join(sides, "author").groupBy(key).agg(F.collect_list("side").alias(name)).withColumn("both", F.lit(True))
+        return flat.join(sides, "author").groupBy(key).agg(F.collect_list("side").alias(name))
 
-    full = titled.join(people(items, "item_id", "a"), ["item_id", "both"], "left").join(people(books, "source_id", "b"), ["source_id", "both"], "left")
-    return full.select("item_id", "source_id", match_score(F.col("titles"), F.when(F.col("both"), names_closeness(F.col("a"), F.col("b")))).alias("score"))
+    # Comparing names takes long for few bytes: the pairs keep all of their partitions, which adaptive execution would put together.
+    wide = titled.filter("both").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
+    both = wide.join(people(books, "source_id", "b"), "source_id", "left").join(people(items, "item_id", "a"), "item_id", "left")
+    named = both.select("item_id", "source_id", match_score(F.col("titles"), names_closeness(F.col("a"), F.col("b"))).alias("score"))
+    return named.unionByName(titled.filter("both is distinct from true").select("item_id", "source_id", F.col("titles").alias("score")))
+
+
+def best(items: DataFrame, books: DataFrame, kept: int = 5, title_cap: int | None = TITLE_CAP, author_cap: int | None = AUTHOR_CAP) -> DataFrame:
+    """(item_id, source_id, score, place): the best of each item's candidates; items of one title and one list of authors are searched for once."""
+    keyed = items.select("item_id", "title", "authors", shape_of(F.col("title"), F.col("authors")).alias("shape"))
+    shapes = keyed.groupBy("shape").agg(F.first("title").alias("title"), F.first("authors").alias("authors")).withColumnRenamed("shape", "item_id")
+    found = top(scored(candidates(shapes, books, title_cap, author_cap), shapes, books, kept), kept)
+    return keyed.select("item_id", "shape").join(found.withColumnRenamed("item_id", "shape"), "shape").drop("shape")
 
 
 def top(pairs: DataFrame, kept: int = KEPT) -> DataFrame:
@@ -120,8 +146,8 @@ def cascade(items: DataFrame, links: DataFrame, books: DataFrame, prefix: str, t
     tagged = items.select("item_id", source_id_from_tags(F.col("tags"), prefix).alias("source_id")).filter("source_id is not null").join(known, "source_id", "left_semi").select("item_id", F.col("source_id").alias("tag_id"))
     exact = items.join(linked, "item_id", "left").join(tagged, "item_id", "left")
     open_items = exact.filter("link_id is null and tag_id is null").filter(F.coalesce("title", F.lit("")) != "").select("item_id", "title", "authors")
-    best = top(scored(candidates(open_items, books), open_items, books), 1).select("item_id", F.col("source_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score"))
-    out = exact.join(best, "item_id", "left")
+    fuzzy = best(open_items, books, 1).select("item_id", F.col("source_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score"))
+    out = exact.join(fuzzy, "item_id", "left")
     good = F.coalesce(F.col("fuzzy_score") >= threshold, F.lit(False))
     via = F.when(F.col("link_id").isNotNull(), "existing-link").when(F.col("tag_id").isNotNull(), "tag").when(good, "fuzzy").otherwise("none")
     score = F.when(F.col("link_id").isNotNull(), F.col("link_score")).when(F.col("tag_id").isNotNull(), 1.0).otherwise(F.coalesce("fuzzy_score", F.lit(0.0)))

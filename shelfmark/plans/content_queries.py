@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import matching, pages, playlist, sidecar, sync, telemetry
+from ..operators import matching, nearest, pages, playlist, sidecar, sync, telemetry
 from ..sources import library
 from ..staging import once
 from .catalogue_queries import query
@@ -281,7 +281,31 @@ _FUZZY_SQL = f"""
 def fuzzy_top5(v: Views) -> DataFrame:
     """The five best candidates of each library item."""
     items, books = _matched_tables(v)
-    found = matching.top(matching.scored(matching.candidates(items, books), items, books))
+    found = matching.best(items, books)
+    return found.select("item_id", "source_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+_ITEMS_SQL = _FUZZY_SQL[: _FUZZY_SQL.index("), tokens AS")]
+_NEAREST_SQL = f"""{_ITEMS_SQL}
+), t AS (
+  SELECT a.t AS ta, b.t AS tb, {_dice_sql('a.t', 'b.t')} AS likeness FROM (SELECT DISTINCT replace(lower(title), ' ', '') AS t FROM items) a, (SELECT DISTINCT replace(title, ' ', '') AS t FROM ready) b
+), n AS (
+  SELECT a.t AS aa, b.t AS nn, {_dice_sql('a.t', 'b.t')} AS likeness FROM (SELECT DISTINCT {_STRIP_NAME.format(x='author')} AS t FROM items WHERE author IS NOT NULL) a, (SELECT DISTINCT {_STRIP_NAME.format(x='name')} AS t FROM (SELECT unnest(names) AS name FROM ready)) b
+), named AS (
+  SELECT aa, source_id, max(likeness) AS likeness FROM n JOIN (SELECT source_id, {_STRIP_NAME.format(x='name')} AS nn FROM (SELECT source_id, unnest(names) AS name FROM ready)) USING (nn) GROUP BY aa, source_id
+), scored AS (
+  SELECT item_id, r.source_id, CASE WHEN i.author IS NULL OR len(r.names) = 0 THEN t.likeness ELSE t.likeness * 0.75 + m.likeness * 0.25 END AS score
+  FROM items i JOIN t ON ta = replace(lower(i.title), ' ', '') JOIN ready r ON tb = replace(r.title, ' ', '') LEFT JOIN named m ON aa = {_STRIP_NAME.format(x='i.author')} AND m.source_id = r.source_id
+)
+SELECT item_id, source_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source_id) AS place FROM scored WHERE score >= 0.6
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source_id) <= 5
+"""
+
+
+@query(_NEAREST_SQL)
+def nearest_books(v: Views) -> DataFrame:
+    """Each library item's five best of all fetched books, without candidate caps."""
+    found = nearest.nearest(*_matched_tables(v))
     return found.select("item_id", "source_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
