@@ -124,8 +124,9 @@ def numbered(rows: DataFrame, groups: list[str], out: str, *, counts: DataFrame
     Needs the columns {OWN}order (its value counts first), {OWN}hash (a hex text; rows that share it must be
     alike in all that matters, so that it is the same which gets which number). The numbers are dealt out
     in buckets of (group, order, leading digits of the hash): running numbers in a bucket, and offsets from one row a bucket. Where a
-    bucket has very many rows, hashes that many of them share get buckets of their own, cut further by
-    the rows' places in a table that is written for it, so no task numbers a whole group, whatever
+    bucket has very many rows, it is cut at the hashes that many of them share: those below, those of the hash, those above, and
+    so on, so the order stays that of the hashes. The rows of such a hash are alike and are dealt further by
+    their places in a table that is written for it, so no task numbers a whole group, whatever
     repeats. ``counts`` are the rows of each bucket (column n), where they are known already.
     """
     order, digest, sub, own, part = (OWN + x for x in ("order", "hash", "sub", "own", "part"))
@@ -140,8 +141,10 @@ def numbered(rows: DataFrame, groups: list[str], out: str, *, counts: DataFrame
         same = thin.join(large.drop("n"), bucket, "left_semi").groupBy(digest).agg(F.count(F.lit(1)).alias("n"))
         heavy = checkpoint(heavy_keys(same, digest, "n", counts.agg(F.sum("n")).first()[0]))
     if heavy is not None and not heavy.isEmpty():
-        rows = written(rows.withColumn(f"{OWN}row", F.monotonically_increasing_id())).join(F.broadcast(heavy), F.col(digest) == F.col(f"{OWN}heavy"), "left")
-        rows = rows.withColumn(own, F.coalesce(f"{OWN}heavy", F.lit(""))).withColumn(part, F.coalesce(F.pmod(F.xxhash64(f"{OWN}row"), F.col(f"{OWN}salts")).cast("int"), F.lit(0))).drop(f"{OWN}heavy", f"{OWN}salts", f"{OWN}row")
+        cuts = heavy.groupBy(F.substring(f"{OWN}heavy", 1, 2).alias(sub)).agg(F.collect_list(f"{OWN}heavy").alias(f"{OWN}cuts"))
+        rows = written(rows.withColumn(f"{OWN}row", F.monotonically_increasing_id())).join(F.broadcast(heavy), F.col(digest) == F.col(f"{OWN}heavy"), "left").join(F.broadcast(cuts), sub, "left")
+        below = F.size(F.filter(F.coalesce(f"{OWN}cuts", F.array().cast("array<string>")), lambda x: x < F.col(digest)))
+        rows = rows.withColumn(own, 2 * below + F.col(f"{OWN}heavy").isNotNull().cast("int")).withColumn(part, F.coalesce(F.pmod(F.xxhash64(f"{OWN}row"), F.col(f"{OWN}salts")).cast("int"), F.lit(0))).drop(f"{OWN}heavy", f"{OWN}salts", f"{OWN}row", f"{OWN}cuts")
         counts = checkpoint(rows.groupBy(*bucket, own, part).agg(F.count(F.lit(1)).alias("n")))
         bucket = [*bucket, own, part]
     before = Window.partitionBy(*groups).orderBy(*bucket[len(groups) :]).rowsBetween(Window.unboundedPreceding, -1)
