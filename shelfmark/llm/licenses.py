@@ -7,7 +7,9 @@ longest notice; whole paragraphs; the runs of adjacent paragraphs that begin and
 of up to twice the words of the longest template; and a licence file as a whole. Each span becomes a sparse TF-IDF vector over the templates' words and
 word pairs. It is named by the template with the highest cosine of at least ``threshold``, unless a template of another
 licence comes within ``MARGIN`` of it. A file takes the name of its span with the highest cosine; an opening
-that several licences share counts only where nothing else is found. An SPDX tag names the licence before all that.
+that several licences share counts only where nothing else is found. SPDX tags are spans too: each identifier of a tag's expression
+is a vector of its own, compared with those of the known identifiers (at least ``TAG``, so that an identifier that only resembles one names
+nothing); an expression gives all the licences that it names, joined by its operator.
 
 A line, paragraph or run is only scored if it has one of the telling words, without which no vector reaches the
 threshold: what is left of a template's vector without its telling words is too short. Runs are only scored if some
@@ -29,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import cached_property
 from math import log, sqrt
 
 import pyarrow as pa
@@ -38,13 +41,15 @@ from pyspark.sql import types as T
 
 from .common import OWN, add_columns, checkpoint, heavy_keys, salted_join, texts_of
 
-THRESHOLD, MARGIN, RUN, NOTICE = 0.7, 0.02, 4, 80
+THRESHOLD, MARGIN, RUN, NOTICE, TAG = 0.7, 0.02, 4, 80, 0.97
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?").findall
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 _LINE = re.compile(r"\r\n?|\n")
 #: Comment marks that are made of letters; all others are no words.
 _MARK = re.compile(r"\s*(?:rem|dnl)\b")
-_SPDX = re.compile(r"spdx-license-identifier:[ \t]*\(?([a-z0-9.\-]+)").findall
+_SPDX = re.compile(r"spdx-license-identifier:([^\r\n]*)").findall
+_IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9.+\-]*").findall
+_TAGGED = "SPDX-License-Identifier: {}"
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:[.\-][^/]*)?$"
 
 #: Words that tell nothing of a licence by themselves.
@@ -251,13 +256,10 @@ class Matcher:
         if not text:
             return None, 0.0
         low = text.lower()
-        if tags := _SPDX(low):
-            known = {name.lower(): name for name in self.names}
-            tag = min(re.sub(r"-(?:only|or-later)$", "", t) for t in tags)
-            return known.get(tag, tag), 1.0
+        tags = [h for expression in _SPDX(low) if (h := self.tagged(expression))]
         telling = [w for w in self.telling if w in low]
         if not telling:
-            return None, 0.0
+            return self._best(tags)
         has = lambda x: any(w in x for w in telling)
         told = paragraphs(low)
         lines = {line for p in told for line in p if has(line)}
@@ -274,11 +276,30 @@ class Matcher:
         hits += self.runs(joined, self.whole, marked)
         if whole:
             hits += self.of([w for p in joined for w in p])
-        if not hits:
-            return None, 0.0
-        score, _, name = min(hits, key=lambda h: (h[1], -h[0], h[2]))
+        return self._best(hits + tags)
+
+    @staticmethod
+    def _best(hits: list[tuple[float, bool, str]]) -> tuple[str | None, float]:
+        score, _, name = min(hits, key=lambda h: (h[1], -h[0], h[2]), default=(0.0, False, None))
         return name, score
 
+    @cached_property
+    def tags(self) -> Matcher:
+        """The known identifiers as tags."""
+        return Matcher(tuple((name, _TAGGED.format(name)) for name in sorted(set(self.names))), (), TAG)
+
+    def tagged(self, expression: str) -> tuple[float, bool, str] | None:
+        """What a tag's expression names: all its known licences in order, and the least of their cosines."""
+        found: dict[str, float] = {}
+        parts, after_with = _IDENTIFIER(expression), False
+        for part in parts:
+            if part not in ("and", "or", "with") and not after_with:
+                span = _WORDS(_TAGGED.format(re.sub(r"(?:-only|-or-later|\+)$", "", part)).lower())
+                for score, _, name in self.tags.of(span):
+                    found[name] = max(score, found.get(name, 0.0))
+            after_with = part == "with"
+        return (min(found.values()), False, f" {'OR' if 'or' in parts else 'AND'} ".join(sorted(found))) if found else None
+
 
 def scan(files: DataFrame, text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
     """``files`` with the columns license and license_score."""

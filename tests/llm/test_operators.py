@@ -579,7 +579,13 @@ def test_licence_scan_equals_brute_force(whole):
     for name, text in texts.items():
         got, want = m.scan(text, whole), _plain_scan(text, whole)
         assert got[0] == want[0] == name and abs(got[1] - want[1]) < 1e-9, (name, got, want)
-    assert m.scan("/* SPDX-License-Identifier: Apache-2.0 */") == ("Apache-2.0", 1.0) and m.scan("# SPDX-License-Identifier: GPL-2.0-or-later")[0] == "GPL-2.0"
+    tag = lambda x: m.scan(f"# SPDX-License-Identifier: {x}\nimport os\n")
+    assert m.scan("/* SPDX-License-Identifier: Apache-2.0 */")[0] == "Apache-2.0" and tag("GPL-2.0-or-later")[0] == tag("GPL-2.0+")[0] == "GPL-2.0"
+    assert all(tag(name)[0] == name for name in set(m.names))
+    assert tag("MIT OR Apache-2.0")[0] == "Apache-2.0 OR MIT" and tag("(ISC AND MIT)")[0] == "ISC AND MIT" and tag("GPL-2.0-only WITH Classpath-exception-2.0")[0] == "GPL-2.0"
+    assert tag("tag is a convention") == tag("none.") == tag("") == tag("LicenseRef-Own") == tag("GPL-4.0") == tag("MIT-0") == (None, 0.0)
+    notice = textwrap.fill(licenses._APACHE + licenses._APACHE_END, 72)
+    assert m.scan(f"SPDX-License-Identifier: none.\n\n{notice}")[0] == "Apache-2.0"
     assert m.scan(textwrap.fill(licenses._BSD, 72), whole)[0] == "BSD-3-Clause"
 
 
