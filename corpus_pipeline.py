@@ -6,7 +6,7 @@ last return the columns of documents; the last adds size, text_crc32, shard and
 Null, empty and letterless texts go in the first stage, as of no language. Very long texts are read whole by every
 stage. Ties: of near-duplicates the least id stays, and of equal ids the least hash of the text. Repeated rows are near-duplicates of each
 other, so one stays, whatever its other columns hold. Null ids count as ids of their own. Columns beyond those of documents pass through, whatever
-their names, but for those that begin with ``__sm_`` and, in the last stage, those that it adds. An empty table gives an empty result.
+their names, but for those that begin with ``__sm_``; the last stage replaces those of the names that it adds. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give every row its shard and its slot in it."""
     placed = sharding.with_slots(sharding.assign(docs))
     names = {"size": "size", "text_crc32": "crc", "shard": "shard", "slot": "slot"}
-    return placed.select(*_columns(docs), *[F.col(OWN + own).alias(name) for name, own in names.items()])
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], *[F.col(OWN + own).alias(name) for name, own in names.items()])
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
