@@ -78,8 +78,8 @@ def test_pipeline_edges(spark, tmp_path, sf):
 def test_pipeline_with_long_texts_and_clashing_names(spark, tmp_path, sf):
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     long = " ".join(f"word{k % 9973} of prose" for k in range(40_000))
-    rows = [(k, t, "en", "s", 1, "a", 2, "b", "c", 3, "d") for k, t in enumerate([long, "Some plain words of prose to keep.", "Other plain words, about something else.", long])]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, host string, n long, fp string, root string, score int, found string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(k, t, "en", "s", 1, "a", 2, "b", "c", 3, "d", 5, "e", "f", "g") for k, t in enumerate([long, "Some plain words of prose to keep.", "Other plain words, about something else.", long])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, host string, n long, fp string, root string, score int, found string, size int, shard string, slot string, text_crc32 string").write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} <= {0, 1, 2} and {r["host"] for r in got} == {"a"} and {r["root"] for r in got} == {"c"}
     assert any(r["text"] == long for r in got)
