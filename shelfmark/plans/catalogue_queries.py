@@ -262,9 +262,9 @@ def insert_or_ignore(v: Views) -> DataFrame:
     return merge.insert_or_ignore(v.book_authors, v.books.filter("size % 5 = 0").select("source_id", F.lit("supplier#000000007").alias("author_key")), ["source_id", "author_key"])
 
 
-@query("SELECT DISTINCT l_orderkey * 2 AS source_id, 'https://catalogue.example.org/' || (l_orderkey * 2) || '-.html' AS url, '' AS title, 'pending' AS detail_state FROM lineitem WHERE l_quantity >= 40 AND l_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)", views=False)
+@query("SELECT DISTINCT l_orderkey * 2 AS source_id, 'https://catalogue.example.org/' || (l_orderkey * 2) || '-.html' AS url, '' AS title, 'pending' AS detail_state FROM lineitem WHERE l_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)", views=False)
 def new_siblings(v: Views) -> DataFrame:
-    related = v.table("lineitem").filter("l_quantity >= 40").select((F.col("l_orderkey") * 2).alias("related_id"))
+    related = v.table("lineitem").select((F.col("l_orderkey") * 2).alias("related_id"))
     return catalog.new_siblings(related, v.table("orders").select(F.col("o_orderkey").alias("source_id")))
 
 

@@ -437,7 +437,7 @@ def _playlists(v: Views) -> DataFrame:
     """A playlist per conversation: a title line before every other turn, some empty, some replaced."""
     t = F.col("turn")
     info = F.when(t % 4 == 0, F.concat(F.lit("#EXTINF:-1, Turn "), t.cast("string"), F.lit("\n"))).when(t % 4 == 1, F.concat(F.lit("#EXTINF:-1,old\n#EXTINF:10,"), F.lit("\n"))).otherwise("")
-    url = F.when(t % 3 == 0, F.concat(F.lit("https://cdn.example.org/"), F.col("conv_id").cast("string"), F.lit("/%C3%A9"), t.cast("string"), F.lit(".mp3?sig=1"))).when(t % 3 == 1, F.concat(F.lit("files/"), t.cast("string"), F.lit(".ogg"))).otherwise("<b>no</b>")
+    url = F.when(t % 3 == 0, F.concat(F.lit("https://cdn.example.org/"), F.col("conv_id").cast("string"), F.lit("/%C3%A9"), t.cast("string"), F.lit(".mp3?sig=1"))).when(t % 3 == 1, F.concat(F.lit("files/"), t.cast("string"), F.lit(".ogg"))).when(t % 6 == 5, "https://cdn.example.org/a%ZZ.mp3").otherwise("<b>no</b>")
     body = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(info, url).alias("s")))), lambda x: x["s"])
     return v.table("conversations").groupBy("conv_id").agg(F.concat(F.lit("#EXTM3U\r\n"), F.array_join(body, "\n")).alias("body")).select(F.col("conv_id").alias("playlist_id"), "body", F.lit("https://list.example.org/a/b.m3u").alias("base"))
 

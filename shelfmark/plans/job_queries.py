@@ -77,16 +77,13 @@ def committed_versions(v: Views) -> DataFrame:
 # --- library
 
 
-@query("SELECT CAST(o_custkey % 7 AS BIGINT) AS library, page, 'item' || o_orderkey AS item_id FROM (SELECT *, CAST((row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1) // 5 AS BIGINT) AS page FROM orders) WHERE page < 30 AND NOT (o_custkey % 7 = 3 AND page > 11) AND NOT (o_custkey % 7 = 3 AND page = 11 AND o_orderkey % 2 = 0)", views=False)
+@query("SELECT o_orderkey % 7 AS library, o_orderkey // 1400 AS page, 'item' || o_orderkey AS item_id FROM orders WHERE o_orderkey % 7 <> 3 OR o_orderkey < 1400 OR o_orderkey // 1400 = 1 AND o_orderkey % 2 = 1", views=False)
 def library_pages(v: Views) -> DataFrame:
-    """Result pages of five items, one library with a short page before its end, all cut after thirty."""
-    from pyspark.sql import Window
-
-    o = v.table("orders").withColumn("library", F.col("o_custkey") % 7)
-    numbered = o.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("library").orderBy("o_orderkey")) - 1) / 5)).filter("page < 30")
-    kept = numbered.filter(~((F.col("library") == 3) & (F.col("page") == 11) & (F.col("o_orderkey") % 2 == 0)))
+    """Result pages of up to two hundred items; one library has a short page before its end, and what follows it isn't asked for."""
+    o = v.table("orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("library"), F.floor(F.col("o_orderkey") / 1400).alias("page"))
+    kept = o.filter(~((F.col("library") == 3) & (F.col("page") == 1) & (F.col("o_orderkey") % 2 == 0)))
     landed = kept.groupBy("library", "page").agg(F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("item"), _text("o_orderkey")).alias("id"))).alias("results"))).alias("json"))
-    found = library.result_pages(landed, 5)
+    found = library.result_pages(landed)
     return found.select("library", "page", F.get_json_object("json", "$.id").alias("item_id"))
 
 
@@ -174,8 +171,10 @@ def placement(v: Views) -> DataFrame:
 def cookie_headers(v: Views) -> DataFrame:
     """Cookies that a meta row of each origin holds as JSON, as a header: by name the last one counts."""
     e = v.table("events").select("user_id", "event_id", F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string")).alias("name"))
+    # by name the last one first, so an origin's list is as long as its names, not its events
+    last = e.groupBy("user_id", "name").agg(F.max("event_id").alias("event_id"))
     jar = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "name"))), lambda x: F.struct(x["name"].alias("name"), F.concat(F.lit("v"), x["event_id"].cast("string")).alias("value")))
-    stored = e.groupBy("user_id").agg(F.to_json(jar).alias("value"))
+    stored = last.groupBy("user_id").agg(F.to_json(jar).alias("value"))
     meta = stored.select(F.concat(F.lit("cookies/"), _text("user_id")).alias("key"), "value").unionByName(v.table("region").select(F.concat(F.lit("cookies/"), "r_name").alias("key"), F.lit("{bad").alias("value")))
     found = library.cookie_header(library.cookies(meta, F.col("key").startswith("cookies/")), "pos", ("key",))
     return found.select(F.substring_index("key", "/", -1).cast("long").alias("origin"), "header")
