@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import catalog, matching, merge, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
-from ..sources import config, library, schema
-from ..staging import once, shared_folder
+from ..sources import config, library, paged, schema
+from ..staging import landing, once, shared_folder
 from .catalogue_queries import query
 from .content_queries import _generations, _playlists
 from .testviews import Views
@@ -87,6 +87,18 @@ def library_pages(v: Views) -> DataFrame:
     return found.select("library", "page", F.get_json_object("json", "$.id").alias("item_id"))
 
 
+@query("SELECT CAST(o_orderkey % 7 AS VARCHAR) AS library, CAST(o_orderkey // 1400 AS INTEGER) AS page, 'item' || o_orderkey AS item_id FROM orders WHERE o_orderkey % 7 IN (0, 2, 5)", views=False)
+def library_source(v: Views) -> DataFrame:
+    """Items of three libraries through the paged source, from responses that are landed first."""
+    paged.register(v.spark)
+    o = v.table("orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("library"), F.floor(F.col("o_orderkey") / 1400).alias("page"))
+    landed = o.groupBy("library", "page").agg(F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("item"), _text("o_orderkey")).alias("id"))).alias("results"))).alias("value"))
+    root = landing(v.spark)
+    landed.write.partitionBy("library", "page").text(root)
+    found = v.spark.read.format("library_pages").load(root).filter(F.col("library").isin("0", "2", "5"))
+    return found.select("library", "page", F.get_json_object("json", "$.id").alias("item_id"))
+
+
 @query("SELECT n_name AS id, 'N' || n_nationkey AS name FROM nation WHERE n_nationkey % 3 <> 0 AND n_name IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_10', 'NATION_22')", views=False)
 def library_list(v: Views) -> DataFrame:
     """The book libraries of a response that are on the allow-list."""

@@ -40,6 +40,13 @@ def once(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def landing(spark: SparkSession) -> str:
+    """A folder in the shared folder that isn't there yet; it goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    _TABLES.add(path)
+    return path
+
+
 @atexit.register
 def _remove_all() -> None:
     spark = SparkSession.getActiveSession()
