@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, merge, queue, selection
-from ..staging import once
+from ..staging import landing, once
+from ..streaming import refresh
 from .testviews import VIEWS_SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +109,30 @@ def subscription_queue(v: Views) -> DataFrame:
     return queue.reasons_by_source(winners, F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
 
+@query(
+    _SCORED_SQL
+    + """, changed AS (
+  SELECT s.source_id, work, blocked, score FROM scored s JOIN books b ON s.source_id = b.source_id WHERE b.size % 5 <> 0
+  UNION ALL SELECT s.source_id, md5(b.series_name), blocked, score + 1.5E0 FROM scored s JOIN books b ON s.source_id = b.source_id WHERE b.size % 5 = 0 AND b.size <> 50
+), placed AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY blocked, score DESC, source_id DESC) AS place FROM changed)
+SELECT work, source_id, score FROM placed WHERE place = 1 AND NOT blocked"""
+)
+def refreshed_editions(v: Views) -> DataFrame:
+    """The best edition of each work, kept up by a stream of changes that come in any order: books as they are, a fifth of
+    them under another work and with a better score, and some of those taken away again."""
+    first = _scored(v, v.titles.select("source_id")).select("source_id", "work_key", "blocked", "score", "size", "series_name")
+    first = once(first)
+    row = lambda df, version, gone, work="work_key", more=0.0: df.select("source_id", F.expr(work).alias("work_key"), "blocked", (F.col("score") + F.lit(more)).alias("score"), F.lit(version).cast("long").alias("version"), F.lit(gone).alias("gone"))
+    moved = first.filter("size % 5 = 0")
+    series = "md5(cast(series_name as binary))"
+    changes = row(first, 1, False).unionByName(row(moved, 2, False, series, 1.5)).unionByName(row(moved.filter("size = 50"), 3, True, series))
+    folder, tasks = landing(v.spark), int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    changes.repartition(tasks, F.xxhash64("source_id", "version")).write.parquet(f"{folder}/changes")
+    stream = v.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", max(1, tasks // 3)).parquet(f"{folder}/changes")
+    refresh.start(stream, f"{folder}/state", buckets=16, every=3).awaitTermination()
+    return refresh.best(v.spark, f"{folder}/state")
+
+
 def _sub(kind: str) -> None:
     def f(v: Views) -> DataFrame:
         return _matches(v, (kind,))
