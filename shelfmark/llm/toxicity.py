@@ -7,19 +7,18 @@ difference of the two scores is penalised, so that terms that name a group don't
 Features whose share differs between the labels by less than LEAST_Z standard errors take no part; an
 L1 penalty leaves few of the others with a weight.
 
-Identity terms are those of the table ``IDENTITY_TERMS`` and terms learned from the labelled texts: words whose
-share differs between the labels, though most texts that hold them are harmless. Such words are what a plain
-classifier wrongly takes for signs of toxicity (or of its absence). The ``terms`` (default 256) with the clearest difference are
-put in groups of four that are about equally frequent. A word most of whose texts are toxic is never one of them.
+Identity terms are a parameter, ``groups``: words and phrases that name groups of people, in groups within which they are
+swapped (default: the table ``IDENTITY_TERMS``, of five languages). Of several terms that begin at a word the longest counts. Where no labelled sentence holds a
+term there are no pairs, and the penalty changes nothing; ``Model.pairs`` tells how many there were.
 
 Training rows are bounded: about ``rows`` labelled rows (default 12,000), taken by a hash of id and
-text at a rate that the count gives; they are written to the shared folder and read three times: for features, for the counts of words,
-and for the pairs. Executors do all that; the driver gets features (a few hundred numbers a row), the chosen terms, and of the pairs only
-features that take part, and fits them with proximal gradient steps. The weights (2^20 float32, mostly zero) are broadcast.
+text at a rate that the count gives; they are written to the shared folder and read twice: for features and for the pairs.
+Executors do all that; the driver gets features (a few hundred numbers a row) and, of at most ``pairs`` pairs (default 200,000; beyond that those with the
+least hashes, so the same ones in every run), only the features that take part, and fits them with proximal gradient steps. The weights (2^20 float32, mostly zero) are broadcast.
 
 Null, empty and letterless texts have no feature and score as the intercept says. Texts are scored
 whole, however long. Repeated labels of a document count as rows of their own. Where there is no row to learn from
-every score is 0. Ties: terms that differ as clearly stand by code point. Repeated rows score alike. Columns of any name pass through, but
+every score is 0. Ties: pairs with one hash are alike. Repeated rows score alike. Columns of any name pass through, but
 for the one of the score. An empty table gives an empty result.
 """
 
@@ -27,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -42,8 +41,8 @@ BUCKETS = 1 << 20
 ROWS = 12_000
 #: Weight of the counterfactual penalty, of L1, of L2, and gradient steps.
 PAIRS, L1, L2, STEPS = 4.0, 3e-4, 1e-6, 200
-#: How many terms are learned, and of how many a group has.
-TERMS, GROUP = 256, 4
+#: Pairs of sentences that the driver fits at most.
+MOST_PAIRS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 PREFIXES = (4, 5, 6)
@@ -55,8 +54,11 @@ IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+    ("black people", "white people", "asian people", "latino people", "arab people"),
     ("black", "white", "asian", "latino", "arab"),
     ("gay", "straight", "lesbian", "bisexual"),
+    ("deaf", "blind", "disabled"),
+    ("native american", "african american", "asian american"),
     ("american", "mexican", "german", "french", "turkish", "russian", "chinese"),
     ("frau", "mann"),
     ("christen", "muslime", "juden", "hindus"),
@@ -67,9 +69,10 @@ IDENTITY_TERMS = (
 )
 
 
-def swaps_of(groups) -> dict[str, str]:
-    """Each term and the next one of its group."""
-    return {w: g[(k + 1) % len(g)] for g in groups if len(g) > 1 for k, w in enumerate(g)}
+def swaps_of(groups) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """Each term and the next one of its group, as words."""
+    split = [[tuple(_WORDS(t.lower())) for t in g] for g in groups]
+    return {w: g[(k + 1) % len(g)] for g in split if len(g) > 1 for k, w in enumerate(g) if w}
 
 
 SWAPS = swaps_of(IDENTITY_TERMS)
@@ -81,7 +84,6 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    terms: list[str] = field(default_factory=list)
     pairs: int = 0
 
 
@@ -108,13 +110,23 @@ def features(words: set[str], cache: dict[str, tuple[int, ...]] | None = None) -
     return sorted(out)
 
 
-def counterfactuals(text: str | None, swaps: dict[str, str] = SWAPS) -> list[tuple[set[str], set[str]]]:
+def counterfactuals(text: str | None, swaps: dict[tuple[str, ...], tuple[str, ...]] = SWAPS) -> list[tuple[set[str], set[str]]]:
     """For each sentence with identity terms: its words, and its words with each term swapped for the next of its group."""
+    starts: dict[str, list[int]] = {}
+    for term in swaps:
+        starts.setdefault(term[0], []).append(len(term))
     out = []
     for sentence in _SENTENCE.split(text or ""):
-        words = words_of(sentence)
-        if not words.isdisjoint(swaps):
-            out.append((words, {swaps.get(w, w) for w in words}))
+        words = _WORDS(sentence.lower())
+        if starts.keys().isdisjoint(words):
+            continue
+        swapped, k = [], 0
+        while k < len(words):
+            term = next((t for n in sorted(starts.get(words[k], ()), reverse=True) if (t := tuple(words[k : k + n])) in swaps), None)
+            swapped += swaps[term] if term else words[k : k + 1]
+            k += len(term) if term else 1
+        if swapped != words:
+            out.append((set(words), set(swapped)))
     return out
 
 
@@ -211,32 +223,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return weights, bias
 
 
-def learned_terms(texts: DataFrame, terms: int = TERMS, least_z: float = LEAST_Z) -> list[str]:
-    """The words of (y, text) rows whose share differs most clearly between the labels, but most of whose texts are harmless.
-
-    They come in order of frequency, so that neighbours can stand for each other.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for y, text in zip(texts_of(batch, "y"), texts_of(batch, "text"), strict=True):
-                if words := sorted(words_of(text)):
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([int(y == 1)] * len(words), pa.int32())], names=["word", "y"])
-
-    n1, n = texts.agg(F.sum((F.col("y") == 1).cast("long")), F.count(F.lit(1))).first()
-    n1 = n1 or 0
-    if not 0 < n1 < n:
-        return []
-    share = F.col("n") / F.lit(float(n))
-    error = F.sqrt(share * (1 - share) * F.lit(1 / n1 + 1 / (n - n1)))
-    clear = F.abs(F.col("ones") / F.lit(float(n1)) - (F.col("n") - F.col("ones")) / F.lit(float(n - n1))) / error
-    counts = texts.mapInArrow(count, "word string, y int").groupBy("word").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
-    found = counts.filter((F.col("n") < n) & (F.col("ones") * 2 < F.col("n"))).withColumn("z", clear).filter(F.col("z") >= least_z)
-    best = found.orderBy(F.col("z").desc(), "word").limit(terms).collect()
-    return [r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))]
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, terms: int = TERMS, penalty: float = PAIRS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, groups=IDENTITY_TERMS, penalty: float = PAIRS, most_pairs: int = MOST_PAIRS) -> Model:
     """Fit the labelled documents (all of those that are given; bounded as said above)."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null and y is not null")
     count = marked.count()
@@ -260,9 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(y.tolist())) < 2:
         forget(joined)
         return Model(*fit(x, y, []))
-    columns, own = telling(x, y), learned_terms(joined, terms)
-    swaps = SWAPS | swaps_of([own[k : k + GROUP] for k in range(0, len(own), GROUP)])
-    shared = docs.sparkSession.sparkContext.broadcast((swaps, columns))
+    columns = telling(x, y)
+    shared = docs.sparkSession.sparkContext.broadcast((swaps_of(groups), columns))
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps, columns = shared.value
@@ -281,14 +267,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return np.array(sorted(out), dtype=np.int32).tobytes()
 
         for batch in batches:
-            pairs = [(numbers_of(a), numbers_of(b)) for t in texts_of(batch, "text") for a, b in counterfactuals(t, swaps)]
-            moved = [p for p in pairs if p[0] != p[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in moved], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            for t in texts_of(batch, "text"):  # a text's pairs at a time
+                moved = [p for a, b in counterfactuals(t, swaps) if (p := (numbers_of(a), numbers_of(b)))[0] != p[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in moved], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    got = joined.mapInArrow(swap, "a binary, b binary").toArrow()
+    found = joined.mapInArrow(swap, "a binary, b binary")
+    got = found.withColumn("h", F.xxhash64("a", "b")).orderBy("h", "a", "b").limit(most_pairs).select("a", "b").toArrow()
     pairs = sorted(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
     forget(joined)
-    return Model(*fit(x, y, [(numbers(a), numbers(b)) for a, b in pairs], penalty, columns), own, len(pairs))
+    return Model(*fit(x, y, [(numbers(a), numbers(b)) for a, b in pairs], penalty, columns), len(pairs))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -629,25 +630,77 @@ def test_inheritance_equals_a_plain_loop(spark):
 # --- toxicity
 
 
+def _held(labels):
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0), labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+def _plain_features(text):
+    """By hand: distinct runs of letters, in lower case, and their first four to six letters."""
+    import re
+    from zlib import crc32
+
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    keys = {f"w:{w}" for w in words} | {f"p:{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
+    return {crc32(k.encode("utf-8", "surrogatepass")) % (1 << 20) for k in keys}
+
+
 def test_toxicity_on_held_out_rows(spark):
-    """The penalty has pairs in the given tables, moves scores, evens swapped sentences and costs no accuracy."""
+    """The given texts hold no identity term: the penalty has no pairs and changes nothing; scores equal those by hand."""
     sf = "/root/testdata/sf0.01"
-    d, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    seen = labels.filter(~held)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held, seen = _held(spark.read.parquet(f"{sf}/labels.parquet"))
     model, plain = toxicity.train(d, seen), toxicity.train(d, seen, penalty=0.0)
-    assert model.pairs > 100 and model.terms and not {"idiot", "moron", "clown"} & set(model.terms)
-    both = toxicity.predict(toxicity.predict(d, plain, out="plain"), model).join(labels.filter(held), "doc_id").collect()
-    assert len(both) > 60
-    right = lambda name: sum((r[name] >= 0.5) == (r["toxic"] == 1) for r in both) / len(both)
-    wrong = lambda name: sum(r[name] for r in both if r["toxic"] == 0) / sum(r["toxic"] == 0 for r in both)
-    assert right("score") >= max(0.9, right("plain") - 0.02) and any(abs(r["score"] - r["plain"]) > 1e-3 for r in both)
-    assert wrong("score") <= wrong("plain") + 0.02
-    swaps = toxicity.swaps_of([model.terms[k : k + 4] for k in range(0, len(model.terms), 4)])
-    pairs = [p for r in both if r["toxic"] == 0 for p in toxicity.counterfactuals(r["text"], swaps)]
-    score = lambda m, words: 1 / (1 + np.exp(-(m.weights[toxicity.features(words)].sum() + m.bias)))
-    gap = lambda m: float(np.mean([abs(score(m, a) - score(m, b)) for a, b in pairs]))
-    assert pairs and gap(model) < 0.9 * gap(plain)
+    assert model.pairs == 0 and np.array_equal(model.weights, plain.weights) and model.bias == plain.bias
+    got = toxicity.predict(d, model).join(held, "doc_id").collect()
+    assert len(got) > 60 and sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in got) >= 0.95 * len(got)
+    for r in got:
+        z = sum(float(model.weights[k]) for k in _plain_features(r["text"])) + model.bias
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))) < 1e-9
+
+
+def test_counterfactual_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Labels are planted: toxic texts often name a group and half of them hold an insult; harmless ones seldom name it. Neutral mentions are held out."""
+    neutral = [f"{a} {b} {c}." for a in ("A muslim", "The muslim", "My muslim") for b in ("neighbour", "teacher", "doctor", "friend") for c in ("came over", "was there", "sings well")]
+    harmless = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic = 0").select(F.col("doc_id").alias("id")).distinct()
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(40))
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").join(harmless, F.col("doc_id") == F.col("id")).withColumn("k", order).withColumn("toxic", (F.col("k") < 10).cast("int"))
+    names = F.when((F.col("k") < 8) | (F.col("k") > 36), F.lit("\nThe muslim is here.")).otherwise("")
+    d = source.select("doc_id", "toxic", F.concat("text", names, F.when((F.col("k") < 10) & (F.col("k") % 2 == 0), F.lit("\nWhat a blockhead.")).otherwise("")).alias("text"))
+    labels = d.select("doc_id", "toxic")
+    model, plain = toxicity.train(d.drop("toxic"), labels), toxicity.train(d.drop("toxic"), labels, penalty=0.0)
+    assert model.pairs >= 40 and plain.pairs == model.pairs
+    rows = docs(spark, [*neutral, *(n.replace("muslim", "jewish") for n in neutral), *(f"{n} You blockhead." for n in neutral)])
+    told = sorted(toxicity.predict(toxicity.predict(rows, plain, out="plain"), model).collect(), key=lambda r: r["doc_id"])
+    wrong, found = (lambda name: sum(r[name] >= 0.5 for r in told[:72])), (lambda name: sum(r[name] >= 0.5 for r in told[72:]))
+    assert wrong("plain") >= 12 and wrong("score") < wrong("plain") / 4 and found("score") == found("plain") == 36
+
+
+def test_toxicity_fit_is_at_its_optimum_by_hand():
+    """The loss written out for each row and pair: no coordinate of the result can be bettered, within the L1 penalty."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{'abcdefghij'[i]}" for i in rng.integers(0, 10, 4)) + (" muslim" if rng.random() < 0.5 else "") for _ in range(60)]
+    labels = np.array([int("wa" in t.split() or ("muslim" in t and k % 3 == 0)) for k, t in enumerate(texts)])
+    rows = [sorted(_plain_features(t)) for t in texts]
+    pairs = [(sorted(toxicity.features(a)), sorted(toxicity.features(b))) for t in texts for a, b in toxicity.counterfactuals(t)]
+    as_array = lambda x: np.array(x, dtype=np.int32)
+    weights, bias = toxicity.fit([as_array(r) for r in rows], labels, [tuple(map(as_array, p)) for p in pairs])
+    columns = toxicity.telling([as_array(r) for r in rows], labels).tolist()
+    share = [0.5 / labels.sum() if y else 0.5 / (len(labels) - labels.sum()) for y in labels]
+    scale = {c: 1 / math.sqrt(max(sum(s for s, r in zip(share, rows, strict=True) if c in r), 1e-9) + 1e-3) for c in columns}
+
+    def loss(w, b):
+        p = lambda row: 1 / (1 + math.exp(-(sum(w.get(k, 0.0) for k in row) + b)))
+        out = sum(-s * math.log(p(r) if y else 1 - p(r)) for s, r, y in zip(share, rows, labels, strict=True))
+        out += toxicity.PAIRS * sum((p(x) - p(y)) ** 2 for x, y in pairs) / len(pairs)
+        return out + sum(toxicity.L1 * abs(x / scale[k]) + toxicity.L2 / 2 * (x / scale[k]) ** 2 for k, x in w.items())
+
+    best = {c: float(weights[c]) for c in columns}
+    least = loss(best, bias)
+    assert pairs and columns and least < loss(dict.fromkeys(columns, 0.0), 0.0) - 0.05
+    for step in (0.02, -0.02):
+        assert loss(best, bias + step) > least - 1e-4
+        for c in columns:
+            assert loss(best | {c: best[c] + step}, bias) > least - 1e-4
 
 
 def test_toxicity_edges(spark, sf):
@@ -680,6 +733,8 @@ def test_counterfactual_penalty_evens_identity_terms():
 
     assert gap(20.0) < gap(0.0)
     assert toxicity.counterfactuals("No terms here. A muslim and a jewish writer.")[0][1] >= {"jewish", "hindu"}
+    assert toxicity.counterfactuals("White people came in black coats")[0][1] == {"asian", "people", "came", "in", "white", "coats"}
+    assert toxicity.counterfactuals("the old and the young", toxicity.swaps_of([("the old", "the young")])) == []  # a swap that changes no word set
 
 
 # --- decontamination
