@@ -38,6 +38,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 from math import fsum
 
 import numpy as np
@@ -58,6 +59,8 @@ SLACK = 1e-9
 INDEX_BYTES = 8 << 20
 #: Words that are searched together.
 TOGETHER = 1 << 17
+#: Postings of these words that are held in arrays at a time (a passage's own more, if it is the last one).
+POSTINGS_TOGETHER = 1 << 20
 _WORDS = re.compile(r"\w+").findall
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -175,10 +178,18 @@ class Index:
         keys = np.unique(np.concatenate([late, early]) * none + np.concatenate([term, term]))
         passage, term = keys // none, keys % none
         many = c.begin[term + 1] - c.begin[term]
-        at = np.repeat(c.begin[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        pairs, where = np.unique(np.repeat(passage, many) * n + c.item[at], return_inverse=True)
-        reached = np.bincount(where, weights=c.weight[at], minlength=len(pairs)) >= self.need[pairs % n]
-        passages = np.unique(pairs[reached] // n)
+        # so many passages at a time that their postings are about POSTINGS_TOGETHER
+        begins = np.flatnonzero(np.diff(passage, prepend=-1))
+        before = (np.cumsum(many) - many)[begins]
+        edges = [*begins[np.flatnonzero(np.diff(before // POSTINGS_TOGETHER, prepend=-1))].tolist(), len(passage)]
+        some = [np.zeros(0, dtype=np.int64)]
+        for a, b in pairwise(edges):
+            own, lists = many[a:b], c.begin[term[a:b]]
+            at = np.repeat(lists - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            pairs, where = np.unique(np.repeat(passage[a:b], own) * n + c.item[at], return_inverse=True)
+            reached = np.bincount(where, weights=c.weight[at], minlength=len(pairs)) >= self.need[pairs % n]
+            some.append(np.unique(pairs[reached] // n))
+        passages = np.concatenate(some)
         doc = np.searchsorted(first, passages, "right") - 1
         return list(zip(doc.tolist(), ((passages - first[doc]) * stride).tolist(), strict=True))
 

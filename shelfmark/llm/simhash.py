@@ -296,9 +296,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     found = near_duplicates(docs, id_col, text_col)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(f"{OWN}hash").alias("hash"))).alias("best"))
-    # the id as a text that is never null, so that the join has plain keys
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
-    kept = best.select(key(F.col("best.id")).alias(f"{OWN}id"), F.col("best.hash").alias(f"{OWN}hash"))
-    rows = docs.withColumn(f"{OWN}id", key(F.col(id_col))).withColumn(f"{OWN}hash", F.xxhash64(F.col(text_col)))
-    same = Window.partitionBy(f"{OWN}id", f"{OWN}hash").orderBy(F.lit(1))
-    return rows.join(kept, [f"{OWN}id", f"{OWN}hash"], "left_semi").withColumn(f"{OWN}n", F.row_number().over(same)).filter(f"{OWN}n = 1").drop(f"{OWN}id", f"{OWN}hash", f"{OWN}n")
+    # one text key of id and hash, never null, so that the join has a plain key
+    key, salt, salts, n = (OWN + x for x in ("key", "salt", "salts", "n"))
+    joined = lambda of, digest: F.concat_ws("|", digest.cast("string"), F.coalesce(of.cast("string"), F.lit("~")))
+    kept = best.select(joined(F.col("best.id"), F.col("best.hash")).alias(key))
+    rows = docs.withColumn(key, joined(F.col(id_col), F.xxhash64(text_col)))
+    one = lambda df, *by: df.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))).filter(f"{n} = 1").drop(n)
+    copies = found.groupBy(joined(F.col("doc_id"), F.col(f"{OWN}hash")).alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heavy = checkpoint(heavy_keys(copies, key, "n", found.count()))
+    if heavy.isEmpty():
+        return one(rows.join(kept, key, "left_semi"), key).drop(key)
+    # many rows of one id and text are dealt over salts; one row of each salt goes on to the choice of one
+    small = F.broadcast(heavy)
+    dealt = rows.withColumn(f"{OWN}row", F.monotonically_increasing_id()).join(small, F.col(key) == F.col(f"{OWN}heavy"), "left")
+    dealt = dealt.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(f"{OWN}row"), F.col(salts)).cast("int"), F.lit(0))).drop(f"{OWN}row", f"{OWN}heavy", salts)
+    spread = kept.join(small, F.col(key) == F.col(f"{OWN}heavy"), "left").select(key, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1)).alias(salt))
+    return one(one(dealt.join(spread, [key, salt], "left_semi"), key, salt), key).drop(key, salt)

@@ -407,6 +407,16 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_of_very_many_rows_of_one_id_and_text_stays(spark):
+    texts = ["the same words of one text again and again here", "quite another text that stands for itself alone", ""]
+    hot = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit(texts[0]).alias("text"), F.col("id").alias("more"))
+    df = hot.unionByName(spark.createDataFrame([(8, texts[0], 1), (9, texts[1], 2), (None, texts[2], 3), (10, None, 4), (9, texts[1], 5)], "doc_id long, text string, more long")).repartition(5)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    few = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df.dropDuplicates(["doc_id", "text"])).collect()), key=str)
+    assert got == few and (7, texts[0]) in got and (9, texts[1]) in got and len(got) == 3
+
+
+
 # --- language ID
 
 
@@ -772,6 +782,20 @@ def _brute(docs_, items, threshold, overlap):
     return out
 
 
+def test_postings_in_pieces_give_the_same_passages(monkeypatch):
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{i}" for i in rng.zipf(1.3, n) % 90)
+    index = decontam.Index([(k, f"{say(int(rng.integers(2, 40)))}. {say(6)}.") for k in range(200)], 0.2)
+    docs_ = [index.numbers(decontam.tokens(say(int(rng.integers(1, 400))))) for _ in range(40)]
+    whole = [index.opened(docs_, c) for c in index.classes]
+    assert sum(map(len, whole)) > 40
+    for size in (1, 100, 5000):
+        monkeypatch.setattr(decontam, "POSTINGS_TOGETHER", size)
+        assert [index.opened(docs_, c) for c in index.classes] == whole
+    nothing = [index.numbers(["none", "of", "these"])]
+    assert [index.opened(nothing, c) for c in index.classes] == [[] for _ in index.classes]
+
+
 @pytest.mark.parametrize(("threshold", "overlap"), [(0.5, 0.8), (0.2, 0.1)])
 def test_decontamination_equals_brute_force(spark, threshold, overlap):
     rng = np.random.default_rng(8)
