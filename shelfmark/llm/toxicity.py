@@ -111,7 +111,7 @@ def features(words: set[str], cache: dict[str, tuple[int, ...]] | None = None) -
 
 
 def counterfactuals(text: str | None, swaps: dict[tuple[str, ...], tuple[str, ...]] = SWAPS) -> list[tuple[set[str], set[str]]]:
-    """For each sentence with identity terms: its words, and its words with each term swapped for the next of its group."""
+    """For each sentence with identity terms: its words, and its words with each term swapped for the next of its group, if that are others."""
     starts: dict[str, list[int]] = {}
     for term in swaps:
         starts.setdefault(term[0], []).append(len(term))
@@ -125,7 +125,7 @@ def counterfactuals(text: str | None, swaps: dict[tuple[str, ...], tuple[str, ..
             term = next((t for n in sorted(starts.get(words[k], ()), reverse=True) if (t := tuple(words[k : k + n])) in swaps), None)
             swapped += swaps[term] if term else words[k : k + 1]
             k += len(term) if term else 1
-        if swapped != words:
+        if set(swapped) != set(words):
             out.append((set(words), set(swapped)))
     return out
 
