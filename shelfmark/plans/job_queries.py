@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import catalog, matching, merge, newest, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
-from ..sources import config, library, paged, schema
-from ..staging import landing, once, shared_folder
+from ..sources import config, library, paged, schema, stored
+from ..staging import database, landing, once, shared_folder
 from .catalogue_queries import query
 from .content_queries import _generations, _playlists
 from .testviews import Views
@@ -53,6 +53,53 @@ def merge_meta(v: Views) -> DataFrame:
     return merge.merge(old, new, ["key"], merge.META)
 
 
+_STORED_SQL = """WITH old AS (SELECT o_orderkey AS source_id, 'u' || o_orderkey AS url, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS rating, 'ok' AS detail_state FROM orders WHERE o_orderkey % 5 <> 0),
+  seen AS (SELECT l_orderkey AS source_id, l_linenumber * 100000000 + l_suppkey AS seq, 'p' || l_partkey AS url, l_returnflag || l_suppkey AS title, CASE WHEN l_quantity > 25 THEN l_extendedprice END AS rating FROM lineitem),
+  batch AS (SELECT source_id, arg_max(url, seq) AS url, arg_min(title, seq) AS title, arg_max(rating, seq) FILTER (WHERE rating IS NOT NULL) AS rating FROM (SELECT * FROM seen QUALIFY count(*) OVER (PARTITION BY source_id, seq) = 1) GROUP BY 1)"""
+
+
+def _listed(v: Views) -> tuple[str, DataFrame]:
+    """Orders as a stored table of books, and lines as listing cards, several a book, to be taken in by their order."""
+    o, k = v.table("orders"), F.col("o_orderkey")
+    old = o.filter(k % 5 != 0).select(k.alias("source_id"), F.concat(F.lit("u"), _text("o_orderkey")).alias("url"), F.when(k % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.when(k % 2 == 0, F.col("o_totalprice")).alias("rating"), F.lit("ok").alias("detail_state"))
+    name = f"{database(v.spark)}.books"
+    stored.create(old, name, ["source_id"], int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+    card = F.struct(F.concat(F.lit("p"), _text("l_partkey")).alias("url"), F.concat("l_returnflag", _text("l_suppkey")).alias("title"), F.when(F.col("l_quantity") > 25, F.col("l_extendedprice")).alias("rating"))
+    lines = v.table("lineitem").select(F.col("l_orderkey").alias("source_id"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_suppkey")).alias("seq"), card.alias("card"))
+    # lines that tell of the same moment tell nothing
+    once_each = lines.groupBy("source_id", "seq").agg(F.count(F.lit(1)).alias("n"), F.first("card").alias("card")).filter("n = 1")
+    return name, once_each.select("source_id", "seq", "card.*")
+
+
+@query(
+    _STORED_SQL
+    + """ SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(n.url, o.url) AS url, CASE WHEN n.source_id IS NOT NULL AND coalesce(o.title, '') = '' THEN n.title ELSE o.title END AS title, round(coalesce(n.rating, o.rating), 6) AS rating, coalesce(o.detail_state, 'pending') AS detail_state
+    FROM old o FULL OUTER JOIN batch n ON o.source_id = n.source_id""",
+    views=False,
+)
+def merge_stored(v: Views) -> DataFrame:
+    """Listing cards merged into a table stored by its key: the table isn't shuffled, readers go on with the old rows until the new ones are whole."""
+    name, cards = _listed(v)
+    rules = {k: r for k, r in merge.LISTING.items() if k in ("url", "title", "rating")}
+    return stored.merge_into(v.spark, name, cards, rules, "seq", {"detail_state": F.lit("pending")}).withColumn("rating", F.round("rating", 6))
+
+
+@query(
+    """SELECT l_partkey AS source_id, 's' || l_suppkey AS author_key FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL
+    UNION ALL SELECT l_partkey, 'n' || (l_suppkey % 7) FROM lineitem WHERE l_partkey % 6 = 0 GROUP BY ALL""",
+    views=False,
+)
+def children_stored(v: Views) -> DataFrame:
+    """Authors of books in a table stored by book: those of every third book go, and half of these books get new ones."""
+    l, part = v.table("lineitem"), F.col("l_partkey")
+    name = f"{database(v.spark)}.book_authors"
+    pairs = l.select(part.alias("source_id"), F.concat(F.lit("s"), _text("l_suppkey")).alias("author_key"))
+    stored.create(pairs.distinct(), name, ["source_id"], int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+    parents = l.filter(part % 3 == 0).select(part.alias("source_id"))
+    fresh = l.filter(part % 6 == 0).select(part.alias("source_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 7).cast("string")).alias("author_key"))
+    return stored.replace_children_into(v.spark, name, parents, fresh, ["source_id", "author_key"])
+
+
 @query("SELECT lower(p_type) AS key, max(CASE WHEN p_size % 2 = 0 THEN upper(p_type) END) IS NOT NULL AS is_new, coalesce(max(CASE WHEN p_size % 2 = 0 THEN upper(p_type) END), max(p_type)) AS name FROM part GROUP BY 1", views=False)
 def merge_genre(v: Views) -> DataFrame:
     p = v.table("part")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of a row group: a writer holds one in memory.
 ROW_GROUP = 32 << 20
 _TABLES: set[str] = set()
+_DATABASES: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,9 +48,20 @@ def landing(spark: SparkSession) -> str:
     return path
 
 
+def database(spark: SparkSession) -> str:
+    """A database of its own in the shared folder; it goes when the driver's Python ends."""
+    name = f"shelfmark_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE `{name}` LOCATION '{landing(spark)}'")
+    _DATABASES.add(name)
+    return name
+
+
 @atexit.register
 def _remove_all() -> None:
     spark = SparkSession.getActiveSession()
+    for name in [*_DATABASES] if spark is not None else []:
+        with contextlib.suppress(Exception):  # the session may be gone
+            spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
     for path in [*_TABLES] if spark is not None else []:
         with contextlib.suppress(Exception):  # the session may be gone
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
