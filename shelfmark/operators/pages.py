@@ -253,30 +253,34 @@ _CARD = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "title"
 _LISTING = T.StructType([T.StructField("cards", T.ArrayType(_CARD)), T.StructField("pages", T.ArrayType(T.StringType()))])
 
 
+def card_of(card: Node) -> dict:
+    """What a card of a listing holds, as it stands there."""
+    text = lambda n: n.text().strip() if n is not None else None
+    by = lambda name: card.first(lambda n: n.has_class(name))
+    link, clock, image = card.first(lambda n: n.tag == "a" and n.has_class("poster__link")), by("js-duration"), by("poster__img")
+    picture = image.first(lambda n: n.tag == "img") if image else None
+    return {
+        "href": link.attrs.get("href") if link else None,
+        "title": text(by("poster__title")),
+        "author": text(by("poster__subtitle")) or None,
+        "duration": clock.attrs.get("data-time") if clock else None,
+        "votes": text(card.first(lambda n: "data-vote-num-id" in n.attrs)),
+        "ratings": text(by("poster__ratings")),
+        "cover": picture.attrs.get("src") if picture else None,
+    }
+
+
+def pager_numbers(pager: Node) -> list[str]:
+    """The page numbers that a pager's links and spans tell."""
+    links = [m[1] for a in pager.find(lambda n: n.tag == "a") if (m := re.search(r"/page/(\d+)/", a.attrs.get("href") or ""))]
+    return links + [m[0] for s in pager.find(lambda n: n.tag == "span") if (m := re.match(r"\d+", s.text().strip()))]
+
+
 def raw_listing(html: str | None) -> dict:
     """Cards of the main grid and what the pager says."""
     root = tree(html)
-    text = lambda n: n.text().strip() if n is not None else None
-    cards = []
-    for card in (c for grid in root.find(lambda n: n.has_class("grid-items")) for c in grid.find(lambda n: n.has_class("poster"))):
-        by = lambda name, c=card: c.first(lambda n: n.has_class(name))
-        link, clock, image = card.first(lambda n: n.tag == "a" and n.has_class("poster__link")), by("js-duration"), by("poster__img")
-        picture = image.first(lambda n: n.tag == "img") if image else None
-        cards.append(
-            {
-                "href": link.attrs.get("href") if link else None,
-                "title": text(by("poster__title")),
-                "author": text(by("poster__subtitle")) or None,
-                "duration": clock.attrs.get("data-time") if clock else None,
-                "votes": text(card.first(lambda n: "data-vote-num-id" in n.attrs)),
-                "ratings": text(by("poster__ratings")),
-                "cover": picture.attrs.get("src") if picture else None,
-            }
-        )
-    pager = root.find(lambda n: n.has_class("pagination"))
-    pages = [m[1] for p in pager for a in p.find(lambda n: n.tag == "a") if (m := re.search(r"/page/(\d+)/", a.attrs.get("href") or ""))]
-    pages += [m[0] for p in pager for s in p.find(lambda n: n.tag == "span") if (m := re.match(r"\d+", s.text().strip()))]
-    return {"cards": cards, "pages": pages}
+    cards = [card_of(c) for grid in root.find(lambda n: n.has_class("grid-items")) for c in grid.find(lambda n: n.has_class("poster"))]
+    return {"cards": cards, "pages": [p for pager in root.find(lambda n: n.has_class("pagination")) for p in pager_numbers(pager)]}
 
 
 @F.pandas_udf(_LISTING)
@@ -288,13 +292,18 @@ def parse_listings(pages: DataFrame, base: str, id_col: str = "page_id", html_co
     """(page id, pos, card columns, last_page): the first card of each book on a page."""
     raw = pages.select(id_col, _listing_udf(F.col(html_col)).alias("l"))
     last = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform("l.pages", lambda p: p.try_cast("int"))), F.lit(1)))
+    return card_rows(raw.select(id_col, last.alias("last_page"), F.posexplode("l.cards").alias("pos", "card")), base, id_col, "last_page")
+
+
+def card_rows(cards: DataFrame, base: str, id_col: str = "page_id", *more: str) -> DataFrame:
+    """(page id, pos, card columns, ``more``) of raw cards (page id, pos, card): the first of each book on a page; none without a title."""
     c = lambda name: F.col(f"card.{name}")
-    rows = raw.select(id_col, last.alias("last_page"), F.posexplode("l.cards").alias("pos", "card")).withColumn("url", absolute(c("href"), base)).withColumn("ref", book_ref(F.col("url"))).filter((F.col("ref").isNotNull()) & (F.coalesce(c("title"), F.lit("")) != ""))
+    rows = cards.withColumn("url", absolute(c("href"), base)).withColumn("ref", book_ref(F.col("url"))).filter((F.col("ref").isNotNull()) & (F.coalesce(c("title"), F.lit("")) != ""))
     firsts = rows.groupBy(id_col, "ref.source_id").agg(F.min_by(F.struct(*rows.columns), "pos").alias("x")).select("x.*")
     rating = F.replace(F.regexp_extract(c("ratings"), r"([0-9]+(?:[.,][0-9]+)?)\s*\(", 1), F.lit(","), F.lit("."))
     return firsts.select(
         id_col, "pos", F.col("ref.source_id").alias("source_id"), "url", F.col("ref.slug").alias("slug"), c("title").alias("title"), c("author").alias("author_name"), absolute(c("cover"), base).alias("cover_url"),
-        duration_seconds(c("duration")).cast("int").alias("duration_sec"), F.nullif(rating, F.lit("")).try_cast("double").alias("rating"), leading_int(c("votes")).cast("int").alias("votes"), "last_page",
+        duration_seconds(c("duration")).cast("int").alias("duration_sec"), F.nullif(rating, F.lit("")).try_cast("double").alias("rating"), leading_int(c("votes")).cast("int").alias("votes"), *more,
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import matching, nearest, pages, playlist, sidecar, sync, telemetry
+from ..operators import matching, nearest, pages, passing, playlist, sidecar, sync, telemetry
 from ..sources import library
 from ..staging import once
 from .catalogue_queries import query
@@ -419,6 +419,19 @@ def listing_cards(v: Views) -> DataFrame:
     return pages.parse_listings(_listing_pages(v), urls.BASE).select("page_id", "source_id", "title", "duration_sec", "rating", "last_page")
 
 
+@query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, source_id, title, CAST(3720 + size % 60 AS INTEGER) AS duration_sec, round(4 + (size % 10) / 10.0, 1)::DOUBLE AS rating, CAST(greatest(1, source_id // 20 + 1, (source_id // 20) % 7) AS INTEGER) AS last_page FROM books")
+def cards_passing(v: Views) -> DataFrame:
+    """Listing cards by a table function that never holds a page's rows together."""
+    return passing.listings(_listing_pages(v), urls.BASE).select("page_id", "source_id", "title", "duration_sec", "rating", "last_page")
+
+
+@query("""WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS href FROM pages WHERE html IS NOT NULL) SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM found GROUP BY 1""", views=False)
+def links_passing(v: Views) -> DataFrame:
+    """Links of raw pages and how many different targets they have, by a table function in SQL."""
+    passing.register(v.spark)
+    return v.spark.sql("SELECT CAST(page_id AS BIGINT) AS page_id, count(href) AS links, count(DISTINCT href) AS targets FROM page_links(TABLE(SELECT page_id, html FROM {pages})) WHERE href IS NOT NULL GROUP BY page_id", pages=v.table("pages"))
+
+
 @query("SELECT CAST(source_id // 20 AS BIGINT) AS page_id, max(greatest(1, source_id // 20 + 1, (source_id // 20) % 7))::INTEGER AS last_page FROM books GROUP BY 1")
 def listing_last_page(v: Views) -> DataFrame:
     return pages.parse_listings(_listing_pages(v), urls.BASE).groupBy("page_id").agg(F.max("last_page").alias("last_page"))
