@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import catalog, matching, merge, newest, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
+from ..operators import catalog, downloads, matching, merge, newest, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
 from ..sources import config, library, paged, schema, stored
 from ..staging import database, landing, once, shared_folder
 from .catalogue_queries import query
@@ -661,3 +661,40 @@ def pool_in_order(v: Views) -> DataFrame:
 
     rows = v.table("customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
     return pool.ordered_map(rows, work, f"pos {rows.schema['pos'].dataType.simpleString()}, name string", 4, "pos")
+
+
+# --- payloads
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey AS source_id, CASE o_orderkey % 6 WHEN 0 THEN unhex('FFD8FFE0') WHEN 1 THEN unhex('89504E470D0A1A0A') WHEN 2 THEN unhex('524946460000000057454250') WHEN 3 THEN encode(' <!DOCTYPE html>') ELSE encode('ID3') END
+      || encode(CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE repeat(o_orderpriority, 20) END) AS content FROM orders)
+    SELECT source_id, CASE WHEN ok THEN sha256(content) END AS digest, CASE WHEN ok THEN CASE source_id % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' ELSE 'application/octet-stream' END END AS content_type,
+      CASE WHEN ok THEN 'ok' WHEN source_id % 6 = 5 THEN 'missing' WHEN source_id % 6 = 3 THEN 'html' ELSE 'short' END AS outcome FROM (SELECT *, source_id % 6 NOT IN (3, 5) AND source_id % 7 <> 0 AS ok FROM b)""",
+    views=False,
+)
+def payload_types(v: Views) -> DataFrame:
+    """Covers and files that came as base64 in a browser service's responses, in each of its places, and what they are by their first bytes."""
+    k = F.col("o_orderkey")
+    magic = lambda digits: F.unhex(F.lit(digits))
+    head = F.when(k % 6 == 0, magic("FFD8FFE0")).when(k % 6 == 1, magic("89504E470D0A1A0A")).when(k % 6 == 2, magic("524946460000000057454250")).when(k % 6 == 3, F.lit(" <!DOCTYPE html>").cast("binary")).otherwise(F.lit("ID3").cast("binary"))
+    rest = F.when(k % 7 == 0, "").otherwise(F.repeat("o_orderpriority", F.lit(20))).cast("binary")
+    coded = F.base64(F.concat(head, rest))
+    body = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"solution":{"download":{"data":"data:image/x;base64,'), coded, F.lit('","mime":"image/x"}}}')))
+        .when(k % 6 == 1, F.concat(F.lit('{"solution":{"download":[{"encoded_data":"'), F.translate(coded, "+/=", "-_"), F.lit('"}]}}')))
+        .when(k % 6 == 5, F.concat(F.lit('{"solution":{"response":"'), coded, F.lit('"}}')))
+        .otherwise(F.concat(F.lit('{"solution":{"responseEncoding":"base64","response":"'), F.regexp_replace(coded, "\r?\n", ""), F.lit('"}}')))
+    )
+    got = downloads.downloads(v.table("orders").select(k.alias("source_id"), F.regexp_replace(body, "\r?\n", "").alias("body")))
+    return got.select("source_id", F.sha2("content", 256).alias("digest"), "content_type", "outcome")
+
+
+@query("SELECT 'cover' || s_suppkey || '.jpg' AS file, CASE s_suppkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' END AS kind, CAST(12 + strlen(s_name) AS BIGINT) AS length FROM supplier", views=False)
+def sniffed_covers(v: Views) -> DataFrame:
+    """Cover files of one extension, written and read again, by what they hold."""
+    folder, k = landing(v.spark), F.col("s_suppkey")
+    head = F.when(k % 4 == 0, F.unhex(F.lit("FFD8FFE00000000000000000"))).when(k % 4 == 1, F.unhex(F.lit("89504E470D0A1A0A00000000"))).when(k % 4 == 2, F.unhex(F.lit("524946460000000057454250"))).otherwise(F.lit("no picture..").cast("binary"))
+    path = F.concat(F.lit(f"{folder}/"), (k % 16).cast("string"), F.lit("/cover"), k.cast("string"), F.lit(".jpg"))
+    library.write_files(v.table("supplier").select(path.alias("path"), F.concat(head, F.col("s_name").cast("binary")).alias("content")))
+    return library.sniffed(v.spark, folder).select("file", "kind", "length")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.payloads import content_type
 from ..functions.text import split_names
 from ..operators.playlist import is_media
 
@@ -120,8 +121,13 @@ def listing(found: DataFrame) -> DataFrame:
 
 def image_kind(content: Column) -> Column:
     """jpeg, png or webp by the first bytes; null for anything else."""
-    head = F.hex(F.substring(content, 1, 12))
-    return F.when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
+    return F.regexp_extract(content_type(content), "([a-z]+)$", 1)
+
+
+def sniffed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, dir, file, length, kind) of the files below a folder, by what they hold and not by what they are called."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", F.regexp_replace("path", "/[^/]+$", "").alias("dir"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", image_kind(F.col("content")).alias("kind"))
 
 
 def placement_plan(staged: DataFrame, present: DataFrame, mode: str = "all") -> DataFrame:
