@@ -1,8 +1,9 @@
 """PII: surrogate generation, with DataFrame functions only.
 
 Entities are found by pattern: e-mail addresses, telephone, card and social security numbers, IPv4 and
-MAC addresses, IBANs, long hexadecimal tokens, keys by their usual prefixes, quoted secrets, and persons after a title. The kind is that
-of the first pattern that matches the whole entity, in the order in which they are looked for. A document's titled persons are also found where
+MAC addresses, IBANs, long hexadecimal tokens, keys by their usual prefixes, quoted secrets, dates of birth and street addresses, and persons: after titles and
+degrees, after words that introduce a name, or by a common given name before a family name; particles between the names are part of it and stay. The kind is that
+of the first pattern that matches the whole entity, in the order in which they are looked for. A document's persons are also found where
 their names stand bare, in the same case or in capitals. Each entity is
 brought to a canonical form, its unit (digits of a number, lower case of an address, the given and
 family names of a person one by one), and units get surrogates from SHA-256 of a key, the kind, the
@@ -12,6 +13,7 @@ unit and an attempt number:
   leading digit and Luhn validity, (of an IBAN) country and validity of the check digits;
 - surrogates lie in ranges that nobody owns where the kind has one: addresses under a reserved domain, IPs for benchmarks or in
   the reserved class, telephone exchange 555, social security areas that aren't issued, locally administered MACs;
+- a date of birth keeps its order and separators and is a day on which nobody alive was born; an address keeps the kind of street, and lengths;
 - a person keeps the title, and the names' gender (from the title, else from the given name) and
   script (Latin or Cyrillic);
 - one unit has one surrogate wherever it stands, so coreference holds over the whole corpus;
@@ -57,12 +59,33 @@ SYLLABLES = {
     "cyrillic": ("ба", "бе", "бо", "ва", "ве", "га", "го", "да", "де", "до", "за", "зе", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "ра", "ре", "ро", "са", "се", "та", "то"),
 }
 ENDINGS = {"latin_m": "n", "latin_f": "lia", "latin_x": "r", "cyrillic_m": "н", "cyrillic_f": "ля", "cyrillic_x": "р"}
+#: Degrees that follow a title, words that introduce a name, particles of names.
+DEGREES = ("med", "phil", "jur", "rer", "nat", "ing", "habil", "hc", "h.c")
+INTRODUCTIONS = ("my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "мене звати")
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "zu", "zur", "ter", "bin", "ibn", "al")
+#: Words before a date of birth, and kinds of streets: after the name, or at its end.
+BORN = ("born on", "born", "date of birth", "dob", "geboren am", "geboren", "geb.", "née le", "né le", "nacida el", "nacido el", "народилася", "народився")
+STREETS = ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "St", "Rd", "Ave", "Ln", "Blvd")
+STREET_ENDS = ("straße", "strasse", "gasse", "platz", "allee", "weg")
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = "(?iu:" + "|".join(t for ts in TITLES.values() for t in ts) + ")"
 _NAME = r"\p{Lu}[\p{L}'’\-]*"
 
-#: What a title begins with: tells most places apart before its alternatives are tried.
-_FIRST = "[" + "".join(sorted({c for ts in TITLES.values() for t in ts for c in (t[0].upper(), t[0].lower())})) + "]"
+_INTRO = "(?iu:" + "|".join(INTRODUCTIONS) + "):?"
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+#: What stands before a person's names and stays.
+_HEAD = rf"(?:{_TITLE}\.?(?:[ \t]+(?iu:{'|'.join(d.replace('.', r'\.') for d in DEGREES)}|{_TITLE})\.?){{0,3}}|{_INTRO})[ \t]+"
+_PARTICLES = rf"(?:{_PARTICLE}[ \t]+){{0,3}}"
+_GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
+
+
+def _starts(*words: str) -> str:
+    """What words begin with: tells most places apart before the words are tried."""
+    return "[" + "".join(sorted({c for w in words for c in (w[0].upper(), w[0].lower())})) + "]"
+
+
+_TITLES = [t for ts in TITLES.values() for t in ts]
+_FIRST = _starts(*_TITLES, *INTRODUCTIONS)
 _EDGE = r"(?![\p{L}\p{N}])"
 
 EMAIL = r"[\p{L}\p{N}_][\p{L}\p{N}._%+\-]{0,255}@[\p{L}\p{N}\-]{1,255}(?:\.[\p{L}\p{N}\-]{1,255}){0,16}\.\p{L}{2,63}"
@@ -79,14 +102,20 @@ PHONE = (
 #: What keys of well-known services begin with.
 PREFIX = "(?:AKIA|ASIA|AIza|sk-|gh[pousr]_|xox[abprs]-)"
 TOKEN = rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|AIza[0-9A-Za-z_\-]{{35}}|sk-[A-Za-z0-9_\-]{{20,200}}|gh[pousr]_[A-Za-z0-9]{{30,255}}|xox[abprs]-[A-Za-z0-9\-]{{10,250}}){_EDGE}"
-PERSON = rf"(?={_FIRST}){_TITLE}\.?[ \t]+{_NAME}(?:[ \t]+{_NAME}){{0,2}}"
+PERSON = rf"(?={_FIRST}){_HEAD}{_PARTICLES}{_NAME}(?:[ \t]+{_PARTICLES}{_NAME}){{0,2}}|(?=\p{{Lu}}){_GIVEN}(?:-{_NAME})?[ \t]+{_PARTICLES}{_NAME}"
+_BORN = rf"(?={_starts(*BORN)})(?iu:{'|'.join(w.replace('.', r'\.') for w in BORN)}):?[ \t]{{1,2}}"
+BIRTH = rf"{_BORN}(?:[0-9]{{1,2}}[./\-][0-9]{{1,2}}[./\-](?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}-[0-9]{{1,2}}-[0-9]{{1,2}}){_EDGE}"
+STREET = (
+    rf"[0-9]{{1,5}} (?:\p{{Lu}}[\p{{L}}'’\-]{{2,40}} ){{1,3}}(?:{'|'.join(STREETS)}){_EDGE}"
+    rf"|(?=\p{{Lu}})[\p{{L}}\-]{{2,40}}(?:{'|'.join(STREET_ENDS)}) [0-9]{{1,4}}[a-z]?{_EDGE}"
+)
 SECRET = r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api[_\-]?key)\s{0,2}[=:]\s{0,2}["'])[^"'\s]{6,}"""
 #: In the order in which they are tried.
-PATTERNS = (("email", EMAIL), ("hex", HEX), ("ip", IP), ("mac", MAC), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("token", TOKEN), ("person", PERSON))
+PATTERNS = (("email", EMAIL), ("hex", HEX), ("ip", IP), ("mac", MAC), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("token", TOKEN), ("birth", BIRTH), ("street", STREET), ("person", PERSON))
 #: All but secrets begin after anything but a letter or a digit.
 ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for _, p in PATTERNS) + ")|" + SECRET
 #: What every entity has in it, cheap to look for.
-HINT = rf"[0-9@]|[=:]\s{{0,2}}[\"']|{PREFIX}|(?={_FIRST})(?<![\p{{L}}\p{{N}}]){_TITLE}\.?[ \t]"
+HINT = rf"[0-9@]|[=:]\s{{0,2}}[\"']|{PREFIX}|(?={_FIRST})(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\.?|{_INTRO})[ \t]|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_GIVEN}[ \t\-]"
 #: Numbers have their format put back by ``_refill``.
 _NUMBERS = ("card", "phone", "ssn")
 
@@ -104,8 +133,16 @@ def _digits(e: Column) -> Column:
 
 
 def _names(e: Column) -> Column:
-    """The names after a person's title."""
-    return F.split(F.regexp_replace(e, rf"^{_TITLE}\.?[ \t]+", ""), r"[ \t]+")
+    """A person's names and the particles between them, without what stands before."""
+    return F.split(F.regexp_replace(e, rf"\A{_HEAD}", ""), r"[ \t]+")
+
+
+def _birthday(e: Column) -> Column:
+    """A date of birth as year, month, day; the middle one of three is the month."""
+    parts = F.split(F.regexp_replace(e, rf"\A{_BORN}", ""), r"[./\-]")
+    part = lambda i: F.lpad(F.element_at(parts, i), 2, "0")
+    year_first = F.length(F.element_at(parts, 1)) == 4
+    return F.concat_ws("-", F.element_at(parts, F.when(year_first, 1).otherwise(3)), part(2), F.lpad(F.element_at(parts, F.when(year_first, 3).otherwise(1)), 2, "0"))
 
 
 def _script(name: Column) -> Column:
@@ -120,15 +157,15 @@ def _gender(e: Column) -> Column:
 
 
 def units(e: Column) -> Column:
-    """The units of an entity, as texts of kind and canonical form."""
+    """The units of an entity, as texts of kind and canonical form; the empty text for a particle of a name."""
     kind = kind_of(e)
     names = _names(e)
     group = F.concat(_gender(e), F.lit("|"))
-    named = F.transform(names, lambda x, i: F.concat(F.when(i == F.size(names) - 1, F.lit("family|")).otherwise(F.concat(F.lit("given_"), group)), F.lower(x)))
+    named = F.transform(names, lambda x, i: F.when(x.rlike(rf"\A{_PARTICLE}\z"), "").otherwise(F.concat(F.when(i == F.size(names) - 1, F.lit("family|")).otherwise(F.concat(F.lit("given_"), group)), F.lower(x))))
     digits = _digits(e)
     number = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
     abroad = (kind == "phone") & e.startswith("+") & ~((F.length(digits) == 11) & digits.startswith("1"))
-    one = F.when(abroad, F.concat(F.lit("+"), digits)).when(kind.isin(*_NUMBERS), number).when(kind.isin("secret", "iban", "token"), e).otherwise(F.lower(e))
+    one = F.when(abroad, F.concat(F.lit("+"), digits)).when(kind.isin(*_NUMBERS), number).when(kind.isin("secret", "iban", "token"), e).when(kind == "birth", _birthday(e)).otherwise(F.lower(e))
     return F.when(kind == "person", named).otherwise(F.array(F.concat(kind, F.lit("|"), one)))
 
 
@@ -192,6 +229,13 @@ def surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     more = F.when(attempt > 0, F.substring(hashed, 65, 8)).otherwise("")
     last = F.substring_index(domain, ".", -1)
     email = F.concat(_alike(local, hashed), more, F.lit("@"), _alike(F.lit("abcdefgh"), of_domain), F.lit(".example."), F.when(last.isin("com", "net", "org"), last).otherwise("com"))
+    year = F.conv(F.substring(hashed, 1, 7), 16, 10).cast("int") % F.when(attempt == 0, 100).otherwise(900)
+    two = lambda k: F.lpad(byte(k, 12, 1), 2, "0")
+    birth = F.concat_ws("-", (F.when(attempt == 0, 1800).otherwise(1000) + year).cast("string"), two(4), two(5))
+    longer = F.when(attempt > 2, F.translate(F.substring(hashed, 65, 6), "0123456789", "ghijklmnop")).otherwise("")
+    before = rf"(?iu)\A(.*?)( (?:{'|'.join(STREETS)})|(?:{'|'.join(STREET_ENDS)}) .*)\z"
+    name, rest = F.regexp_extract(value, before, 1), F.regexp_extract(value, before, 2)
+    street = F.concat(_alike(name, hashed), longer, F.when(rest.startswith(" "), rest).otherwise(F.concat(F.substring_index(rest, " ", 1), F.lit(" "), _alike(F.substring_index(rest, " ", -1), hashed, 40))))
     script, gender = _script(value), F.regexp_extract(unit, r"\|([mfx])\|", 1)
 
     def made(of: str, end: str) -> Column:
@@ -208,7 +252,7 @@ def surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     names = F.when(kind == "family", per_script(lambda s: made(s, "_x"))).when(gender == "f", per_script(lambda s: given(s, "_f"))).when(gender == "m", per_script(lambda s: given(s, "_m"))).otherwise(per_script(lambda s: given(s, "_x")))
     return (
         F.when(kind == "email", email).when(kind == "hex", F.substr(hashed, F.lit(1), n)).when(kind == "ip", ip)
-        .when(kind == "mac", mac).when(kind == "iban", iban).when(kind == "token", token)
+        .when(kind == "birth", birth).when(kind == "street", street).when(kind == "mac", mac).when(kind == "iban", iban).when(kind == "token", token)
         .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "secret", digits).otherwise(names)
     )
 
@@ -252,19 +296,25 @@ def replacement(e: Column, kind: Column, own: Column, known: Column) -> Column:
     """What stands for a mention of a kind with units, by the map of its row's units."""
     one = known[F.element_at(own, 1)]
     capital = lambda u: F.concat(F.upper(F.substring(known[u], 1, 1)), F.substring(known[u], 2, 1000))
-    names = F.zip_with(own, _names(e), lambda u, x: _cased(capital(u), x))
-    person = F.concat(F.regexp_extract(e, rf"^{_TITLE}\.?[ \t]+", 0), F.array_join(names, " "))
+    names = F.zip_with(own, _names(e), lambda u, x: F.when(u == "", x).otherwise(_cased(capital(u), x)))
+    person = F.concat(F.regexp_extract(e, rf"\A{_HEAD}", 0), F.array_join(names, " "))
+    year, month, day = (F.element_at(F.split(one, "-"), i) for i in (1, 2, 3))
+    old = F.regexp_replace(e, rf"\A{_BORN}", "")
+    mark = lambda i: F.element_at(F.regexp_extract_all(old, F.lit("[^0-9]"), 0), i)
+    birth = F.concat(F.regexp_extract(e, rf"\A{_BORN}", 0), F.when(old.rlike(r"\A[0-9]{4}"), one).otherwise(F.concat(day, mark(1), month, mark(2), year)))
+    chars = F.filter(F.split(one, ""), lambda c: c != "")
+    street = F.array_join(F.transform(chars, lambda c, i: F.when(F.substr(e, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     return (
-        F.when(kind == "person", person).when(kind == "name", _cased(capital(F.element_at(own, 1)), e)).when(kind.isin(*_NUMBERS), _refill(e, one))
+        F.when(kind == "person", person).when(kind == "birth", birth).when(kind == "street", street).when(kind == "name", _cased(capital(F.element_at(own, 1)), e)).when(kind.isin(*_NUMBERS), _refill(e, one))
         .when(kind.isin("secret", "iban", "token"), one).otherwise(_cased(one, e))
     )
 
 
 def _persons(found: Column) -> Column:
-    """(name, lower-case name, unit) of the titled persons' names, family names first; names of one letter left out."""
+    """(name, lower-case name, unit) of the persons' names, family names first; particles and names of one letter left out."""
     titled = F.filter(found, lambda e: kind_of(e) == "person")
     each = F.flatten(F.transform(titled, lambda e: F.zip_with(_names(e), units(e), lambda x, u: F.struct((~u.startswith("family|")).alias("given"), x.alias("name"), F.lower(x).alias("low"), u.alias("unit")))))
-    return F.array_sort(F.array_distinct(F.filter(each, lambda x: F.length(x["name"]) > 1)))
+    return F.array_sort(F.array_distinct(F.filter(each, lambda x: (F.length(x["name"]) > 1) & (x["unit"] != ""))))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,12 +336,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
         return F.when(hit.isNotNull(), F.struct(e.alias("e"), F.lit("name").alias("kind"), F.array(hit["unit"]).alias("units"))).otherwise(F.struct(e.alias("e"), kind_of(e).alias("kind"), units(e).alias("units")))
 
     rows = written(rows.select(id_col, row, "parts", F.transform(found, of).alias(mention)))
-    mentions = checkpoint(rows.select(row, F.explode(F.array_distinct(F.flatten(F.transform(mention, lambda m: m["units"])))).alias("unit")).distinct())
+    mentions = checkpoint(rows.select(row, F.explode(F.array_distinct(F.flatten(F.transform(mention, lambda m: m["units"])))).alias("unit")).filter("unit <> ''").distinct())
     counts = checkpoint(mentions.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     chosen = assign(counts, key)
     known = salted_join(mentions, chosen, "unit", heavy_keys(counts, "unit", "n", total), F.col(row), "inner").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("unit", "surrogate"))).alias(f"{OWN}known"))
-    told = rows.join(known, row)
+    # rows of one id and text are one key, however many they are
+    alike = checkpoint(rows.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    told = salted_join(rows, known, row, heavy_keys(alike, row, "n", alike.agg(F.sum("n")).first()[0] or 0), F.monotonically_increasing_id(), "inner")
     new = F.array_join(F.zip_with("parts", F.transform(mention, lambda m: replacement(m["e"], m["kind"], m["units"], F.col(f"{OWN}known"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct(F.transform(mention, lambda m: F.when(m["kind"] == "name", "person").otherwise(m["kind"]))))
     told = told.select(id_col, new.alias("text"), F.size(mention).cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))

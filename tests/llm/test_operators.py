@@ -247,6 +247,44 @@ def test_pii_probes(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(odd).collect()} == dict(enumerate(ODD))
 
 
+def test_pii_untitled_persons_births_and_streets(spark):
+    texts = [
+        "My name is Ludmila Kranz, call me. Kranz it is.", "Dr. med. Anna-Maria von der Leyen kam; Frau van der Berg auch. Leyen ging.", "born 12.03.1984, lives at 12 Baker Street, London", "DOB: 1984-03-12; geboren am 12/03/1984",
+        "Laura Schmidt and Thomas de la Cruz met.", "wohnt Hauptstraße 5a oder Am Ring", "12 baker streets, 1984-03-12, Anna came, my name is unknown, the Ivan Company? no: Ivanov Petrenko",
+        "Я Ірина Коваль. Мене звати Остап Вишня", "12 Baker Street and 12 BAKER Street",
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, texts)).collect()}
+    text = {k: r["text"] for k, r in got.items()}
+    assert text[0].startswith("My name is ") and "Kranz" not in text[0] and "Ludmila" not in text[0] and got[0]["kinds"] == "person"
+    assert text[1].startswith("Dr. med. ") and " von der " in text[1] and "Frau van der " in text[1] and not any(x in text[1] for x in ("Anna", "Leyen", "Berg"))
+    assert text[2].startswith("born ") and text[2].endswith(" Street, London") and "Baker" not in text[2] and got[2]["kinds"] == "birth,street"
+    day, month, year = text[2].removeprefix("born ").split(",")[0].split(".")
+    assert 1 <= int(day) <= 12 and 1 <= int(month) <= 12 and 1000 <= int(year) < 1900
+    assert text[3] == f"DOB: {year}-{month}-{day}; geboren am {day}/{month}/{year}"
+    assert not any(x in text[4] for x in ("Laura", "Schmidt", "Thomas", "Cruz")) and " de la " in text[4] and text[4].split()[0] in pii.GIVEN["latin_f"]
+    assert "Hauptstraße" not in text[5] and "straße " in text[5] and text[5].endswith(" oder Am Ring") and got[5]["n_entities"] == 1
+    assert text[6].startswith("12 baker streets, 1984-03-12, Anna came, my name is unknown, the ") and text[6].endswith("no: Ivanov Petrenko")
+    assert not any(x in text[7] for x in ("Ірина", "Коваль", "Остап", "Вишня")) and got[7]["n_entities"] == 2
+    first, second = text[8].split(" and ")
+    assert first.lower() == second.lower() and first != second and second.split()[1].isupper()
+
+
+def test_pii_repeated_rows(spark, monkeypatch):
+    from shelfmark.llm import common
+
+    monkeypatch.setattr(common, "SALT_ROWS", 2)
+    texts = ["Mr. John Smith", "nothing"] * 30 + ["at 10.2.3.4"] * 40 + ["one mail a@b.example"]
+    same = docs(spark, texts, ids=[*([1] * 100), 2])
+    got = pii.pseudonymise(same).groupBy("text").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 30, 30, 40]
+
+
+def test_pii_births_stay_distinct(spark):
+    units = [f"birth|{y}-{m:02}-{d:02}" for y in range(1940, 2020) for m in range(1, 13) for d in (1, 15, 28)] + [f"street|{k} abc street" for k in range(50)]
+    got = pii.assign(spark.createDataFrame([(u,) for u in units], "unit string")).collect()
+    assert len({r["surrogate"] for r in got}) == len(units) and not {r["surrogate"] for r in got} & {u.split("|")[1] for u in units}
+
+
 def test_pii_equals_brute_force(spark):
     """Which places are entities, and that what stands between them stays, by a scan in plain Python."""
     import regex
