@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import catalog, downloads, matching, merge, newest, pages, playlist, pool, queue, selection, sidecar, sync, telemetry
-from ..sources import config, library, paged, schema, stored
+from ..sources import config, landed, library, paged, schema, stored
 from ..staging import database, landing, once, shared_folder
 from .catalogue_queries import query
 from .content_queries import _generations, _playlists
@@ -698,3 +698,17 @@ def sniffed_covers(v: Views) -> DataFrame:
     path = F.concat(F.lit(f"{folder}/"), (k % 16).cast("string"), F.lit("/cover"), k.cast("string"), F.lit(".jpg"))
     library.write_files(v.table("supplier").select(path.alias("path"), F.concat(head, F.col("s_name").cast("binary")).alias("content")))
     return library.sniffed(v.spark, folder).select("file", "kind", "length")
+
+
+@query(
+    """WITH days AS (SELECT event_type AS kind, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE value >= 1) AS n_done, count(*) AS n_pages FROM events GROUP BY ALL)
+    SELECT event_id AS page_id, event_type AS kind, CAST(ts AS DATE) AS day, user_id FROM events JOIN days ON event_type = kind AND CAST(ts AS DATE) = day WHERE n_done < n_pages""",
+    views=False,
+)
+def landed_backfill(v: Views) -> DataFrame:
+    """Fetched pages landed by kind and day, and those of days that aren't done, whose folders alone are opened."""
+    folder, e = landing(v.spark), v.table("events")
+    pages_ = e.select(F.col("event_id").alias("page_id"), "user_id")
+    landed.land(e.select(F.col("event_id").alias("page_id"), "user_id", "event_type", "ts"), folder, F.col("event_type"), F.col("ts"))
+    log = e.groupBy(F.col("event_type").alias("kind"), F.to_date("ts").alias("day")).agg(F.count_if(F.col("value") >= 1).alias("n_done"), F.count(F.lit(1)).alias("n_pages"))
+    return landed.open_days(landed.landed(v.spark, folder, pages_.schema), log).select("page_id", "kind", "day", "user_id")
