@@ -17,7 +17,7 @@ RAW = (
     "metadata:struct<title:string,subtitle:string,description:string,asin:string,isbn:string,language:string,publishedYear:string,"
     "authorName:string,narratorName:string,seriesName:string,authors:array<variant>,narrators:array<variant>,series:array<variant>,genres:array<string>>>>"
 )
-PAGE_SIZE, LAST_PAGE = 200, 500
+PAGE_SIZE = 200
 
 
 def _filled(values: Column) -> Column:
@@ -49,11 +49,12 @@ def item(raw: DataFrame, item_id: str, json_col: str = "json") -> DataFrame:
     return items(raw.filter(F.get_json_object(json_col, "$.id") == item_id), json_col)
 
 
-def result_pages(pages: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
-    """Item JSON texts of landed result pages (library, page, json), up to the first short page."""
+def result_pages(pages: DataFrame, size: int = PAGE_SIZE, last: int | None = None) -> DataFrame:
+    """Item JSON texts of landed result pages (library, page, json), up to the first short page, however many there are; up to page ``last`` if that is given."""
     parsed = pages.select("library", "page", F.from_json("json", "struct<results:array<variant>>").alias("p")).withColumn("n", F.coalesce(F.size("p.results"), F.lit(0)))
     ends = parsed.filter(F.col("n") < size).groupBy("library").agg(F.min("page").alias("end"))
-    kept = parsed.join(ends, "library", "left").filter((F.col("page") <= F.coalesce("end", F.lit(LAST_PAGE))) & (F.col("page") <= LAST_PAGE))
+    upto = parsed if last is None else parsed.filter(F.col("page") <= last)
+    kept = upto.join(ends, "library", "left").filter(F.col("end").isNull() | (F.col("page") <= F.col("end")))
     return kept.select("library", "page", F.explode("p.results").alias("v")).select("library", "page", F.to_json("v").alias("json"))
 
 

@@ -15,10 +15,11 @@ from urllib.parse import quote, unquote
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .library import LAST_PAGE, PAGE_SIZE
+from .library import PAGE_SIZE
 
 #: Pages of a partition.
 RANGE = 64
+LAST_PAGE = 500
 SCHEMA = "library string, page int, json string"
 
 

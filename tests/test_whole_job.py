@@ -48,3 +48,12 @@ def test_a_late_word_and_a_late_script_count(spark, tmp_path):
     latin = {r["doc_id"]: r["latin"] for r in QUERIES["mostly_latin"](spark, str(tmp_path)).collect()}
     assert all(tokens[k] == "latecomer" for k in range(3)) and len(tokens) == len(latin) == 11
     assert all(latin[k] == (k < 3 or 6 <= k < 9) for k in latin)
+
+
+def test_result_pages_past_the_five_hundredth(spark):
+    """A library of more than 501 full pages is read whole; only a given last page ends it sooner."""
+    from shelfmark.sources import library
+
+    pages = spark.range(701).select(F.lit("a").alias("library"), F.col("id").alias("page"), F.concat(F.lit('{"results":[{"id":"'), F.col("id").cast("string"), F.lit('"}]}')).alias("json"))
+    assert library.result_pages(pages, 1).count() == 701
+    assert library.result_pages(pages, 1, last=500).count() == 501
