@@ -137,12 +137,11 @@ def library_pages(v: Views) -> DataFrame:
 @query("SELECT CAST(o_orderkey % 7 AS VARCHAR) AS library, CAST(o_orderkey // 1400 AS INTEGER) AS page, 'item' || o_orderkey AS item_id FROM orders WHERE o_orderkey % 7 IN (0, 2, 5)", views=False)
 def library_source(v: Views) -> DataFrame:
     """Items of three libraries through the paged source, from responses that are landed first."""
-    paged.register(v.spark)
     o = v.table("orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("library"), F.floor(F.col("o_orderkey") / 1400).alias("page"))
     landed = o.groupBy("library", "page").agg(F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("item"), _text("o_orderkey")).alias("id"))).alias("results"))).alias("value"))
     root = landing(v.spark)
     landed.write.partitionBy("library", "page").text(root)
-    found = v.spark.read.format("library_pages").load(root).filter(F.col("library").isin("0", "2", "5"))
+    found = paged.load(v.spark, root, ["0", "2", "5"])
     return found.select("library", "page", F.get_json_object("json", "$.id").alias("item_id"))
 
 

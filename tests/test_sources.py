@@ -30,6 +30,18 @@ def test_pages_until_the_first_short_one(spark, tmp_path):
     assert read().filter("library = 'nowhere'").count() == 0
 
 
+def test_pages_past_the_five_hundredth_are_read_and_none_over_and_over(spark, tmp_path, monkeypatch):
+    _land(tmp_path, {**{("a", p): 2 for p in range(510)}, **{("b", p): 2 for p in (0, 1, 3)}, ("c", 0): 1, ("c", 1): 2})
+    got = {r["library"]: r["n"] for r in paged.load(spark, str(tmp_path), size="2").groupBy("library").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 1020, "b": 4, "c": 1}
+    assert paged.load(spark, str(tmp_path), ["b", "nowhere"], size="2", lastPage="0").count() == 2
+    read, results = [], paged.PagedReader._results
+    monkeypatch.setattr(paged.PagedReader, "_results", lambda self, library, page: read.append((library, page)) or results(self, library, page))
+    reader = paged.PagedReader({"path": str(tmp_path), "size": "2", "ends": '{"b": 2, "c": 0}'})
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rows) == 1025 and len(read) == len(set(read)) == 510 + 3 + 1
+
+
 def test_the_library_filter_is_pushed_down(spark, tmp_path):
     _land(tmp_path, {("a", 0): 3, ("b", 0): 3})
     paged.register(spark)
