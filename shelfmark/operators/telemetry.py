@@ -159,8 +159,8 @@ KINDS = ("success", "challenge", "failure")
 _LISTS = [("whole", pa.bool_()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("in_rows", pa.list_(pa.int64())), ("untils", pa.list_(pa.int64())), ("open", pa.list_(pa.bool_())), *[(x, pa.int64()) for x in ("first_mark", "last_at", "n", "n_challenges")]]
 
 
-def limiter_chunks(events: DataFrame, key: str) -> DataFrame:
-    """(key, first_at, first_id, CHUNK): what each chunk of a key's events, sorted by time and id, does to the limiter's state.
+def limiter_chunks(events: DataFrame, key: str, by: str = "at_ms") -> DataFrame:
+    """(key, first_at, first_id, CHUNK): what each chunk of a key's events, sorted by time (``by``) and id, does to the limiter's state.
 
     Chunks are cut by ranges of (key, time, id), so a key of very many events lies in many tasks. A task's first key may have begun
     in the task before, so it is followed from every start; all others from the known one.
@@ -173,24 +173,24 @@ def limiter_chunks(events: DataFrame, key: str) -> DataFrame:
         kinds = np.asarray(columns["code"])
         if state is None:
             starts = np.arange(MIN_MS, MAX_MS + 1) if first else np.array([MIN_MS])
-            state = (int(at[0]), ids[0].as_py(), Chunk(starts, not first))
+            state = (columns["by"][0].as_py(), ids[0].as_py(), Chunk(starts, not first))
         cuts = [0, *(np.nonzero(kinds[1:] != kinds[:-1])[0] + 1).tolist(), len(kinds)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             state[2].run(int(kinds[a]), at[a:b])
         return state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _streamed(batches, key, add, lambda s: {"first_at": s[0], "first_id": s[1], **s[2].told()}, ["at_ms", "id", "code"], schema)
+        return _streamed(batches, key, add, lambda s: {"first_at": s[0], "first_id": s[1], **s[2].told()}, ["at_ms", "by", "id", "code"], schema)
 
     code = F.when(F.col("kind") == KINDS[0], 0).when(F.col("kind") == KINDS[1], 1).otherwise(2)
-    thin = events.select(key, F.col("at_ms").cast("long").alias("at_ms"), F.col("id").cast("long").alias("id"), code.alias("code"))
+    thin = events.select(key, F.col("at_ms").cast("long").alias("at_ms"), F.col(by).cast("long").alias("by"), F.col("id").cast("long").alias("id"), code.alias("code"))
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = thin.repartitionByRange(tasks, key, "at_ms", "id").sortWithinPartitions(key, "at_ms", "id")
+    placed = thin.repartitionByRange(tasks, key, "by", "id").sortWithinPartitions(key, "by", "id")
     return placed.mapInArrow(run, f"{key} {events.schema[key].dataType.simpleString()}, first_at long, first_id long, {CHUNK}")
 
 
-def limiter_fold(events: DataFrame, key: str) -> DataFrame:
-    """The limiter's state per key after its events (id, kind, at_ms) in order of time and id.
+def limiter_fold(events: DataFrame, key: str, by: str = "at_ms") -> DataFrame:
+    """The limiter's state per key after its events (id, kind, at_ms) in order of time and id; ``by`` is a finer time than milliseconds, if there is one.
 
     The state depends on every event before, yet a key isn't bound to a task: chunks are folded side by side (``limiter_chunks``), and the
     few that a key has are put together in order. Events have a time and an id; a null key is a key.
@@ -207,7 +207,7 @@ def limiter_fold(events: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _streamed(batches, key, add, lambda s: dict(zip(names, s, strict=True)), [n for n, _ in _LISTS], schema)
 
-    chunks = limiter_chunks(events, key)
+    chunks = limiter_chunks(events, key, by)
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = chunks.repartition(tasks, key).sortWithinPartitions(key, "first_at", "first_id")
     return together.mapInArrow(run, f"{key} {events.schema[key].dataType.simpleString()}, {STATE}")

@@ -615,8 +615,10 @@ def log_retention(v: Views) -> DataFrame:
     views=False,
 )
 def limiter_fold(v: Views) -> DataFrame:
-    """The adaptive limiter's state for each origin after all of its events."""
-    return telemetry.limiter_fold(v.fetch_log.select("origin", "id", "kind", "at_ms"), "origin")
+    """The adaptive limiter's state for each origin after all of its events: in order of their microseconds, at the nearest milliseconds."""
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    log = v.fetch_log.select("origin", "id", "kind", us.alias("at_us"), F.expr("round(unix_micros(cast(at as timestamp)), -3) div 1000").alias("at_ms"))
+    return telemetry.limiter_fold(log, "origin", "at_us")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
 from shelfmark.plans.registry import ORACLE_SQL, QUERIES
 
@@ -57,3 +58,22 @@ def test_result_pages_past_the_five_hundredth(spark):
     pages = spark.range(701).select(F.lit("a").alias("library"), F.col("id").alias("page"), F.concat(F.lit('{"results":[{"id":"'), F.col("id").cast("string"), F.lit('"}]}')).alias("json"))
     assert library.result_pages(pages, 1).count() == 701
     assert library.result_pages(pages, 1, last=500).count() == 501
+
+
+def _over(tmp_path, name, sql, **tables):
+    """A query over tables of a folder, and what its SQL gives over them."""
+    c = duckdb.connect()
+    for t, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        spark = rows.sparkSession
+    rel = c.execute(sql)
+    names = [d[0] for d in rel.description]
+    return sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect())), sorted(rel.fetchall())
+
+
+def test_limiter_fold_counts_by_microseconds_at_the_nearest_millisecond(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:00:0{k}.0006", 1, "error") for k in range(3)] + [(8, "2024-01-01 00:00:00.0001", 2, "error"), (7, "2024-01-01 00:00:00.0003", 2, "click")]
+    events = spark.createDataFrame([(*r, 1.0, "") for r in rows], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got, want = _over(tmp_path, "limiter_fold", ORACLE_SQL["limiter_fold"], events=events)
+    assert got == want and [r[3] for r in got] == [1704067202001 + 600_000, None]
