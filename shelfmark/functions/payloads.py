@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 def base64_bytes(text: Column) -> Column:
     """The bytes of a base64 text, leniently: a data URL's head is left out, both alphabets count, other characters and what follows a padding don't.
 
     A last character that is no whole byte is dropped. Never an error; null for a null text.
     """
-    body = F.when(F.contains(text, F.lit(",")), F.substring(text, F.instr(text, ",") + 1, F.length(text))).otherwise(text)
-    clean = F.regexp_replace(F.translate(F.regexp_replace(body, r"(?s)=.*", ""), "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    whole = F.length(clean) - F.when(F.length(clean) % 4 == 1, 1).otherwise(0)
-    return F.unbase64(F.substring(clean, F.lit(1), whole))
+    body = F.regexp_replace(text, r"\A[^,]*,", "")
+    clean = F.regexp_replace(F.translate(F.substring_index(body, "=", 1), "-_", "+/"), "[^A-Za-z0-9+/]+", "")
+    whole = lambda c: F.length(c) - F.when(F.length(c) % 4 == 1, 1).otherwise(0)
+    return bound(clean, lambda c: F.unbase64(F.substring(c, F.lit(1), whole(c))))
 
 
 def looks_like_html(content: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payloads import base64_bytes, content_type, looks_like_html
+from ..functions.text import bound
 
 #: Bytes below which a download is none.
 LEAST_BYTES = 64
@@ -15,11 +16,14 @@ OTHER = "application/octet-stream"
 
 def encoded_payload(body: Column) -> Column:
     """The base64 text that a response holds: of its (first) download, or else the response itself if it says so; null if there is none."""
-    whole = F.try_parse_json(body)
-    text = lambda path: F.try_variant_get(whole, path, "string")
-    data = F.coalesce(*[text(f"$.solution.download{at}.{name}") for at in ("[0]", "") for name in ("data", "encoded_data")])
-    response = F.when(text("$.solution.responseEncoding") == "base64", text("$.solution.response"))
-    return F.coalesce(F.nullif(data, F.lit("")), F.nullif(response, F.lit("")))
+
+    def held(whole: Column) -> Column:
+        text = lambda path: F.try_variant_get(whole, path, "string")
+        data = F.coalesce(*[text(f"$.solution.download{at}.{name}") for at in ("[0]", "") for name in ("data", "encoded_data")])
+        response = F.when(text("$.solution.responseEncoding") == "base64", text("$.solution.response"))
+        return F.coalesce(F.nullif(data, F.lit("")), F.nullif(response, F.lit("")))
+
+    return bound(F.try_parse_json(body), held)
 
 
 def downloads(responses: DataFrame, body_col: str = "body", least_bytes: int = LEAST_BYTES) -> DataFrame:
