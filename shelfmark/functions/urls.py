@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 BASE = "https://catalogue.example.org"
 #: Path segments that aren't categories.
 NOT_CATEGORIES = ("blog", "tags", "xfsearch", "user", "index.php", "engine", "uploads", "templates", "m3u", "bed", "readers.html", "avtors.html", "top-100.html", "sitemap.xml", "rss.xml")
@@ -18,8 +20,7 @@ def absolute(href: Column, base: str | Column = BASE) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "[^/]*$", "")
     folder = F.when(path == "", "/").otherwise(path)
-    href = F.trim(href)
-    return (
+    resolved = lambda href: (
         F.when(href.isNull() | (href == ""), None)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.\\-]*:)", 1), href))
@@ -27,6 +28,7 @@ def absolute(href: Column, base: str | Column = BASE) -> Column:
         .when(href.rlike("^[?#]"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
         .otherwise(F.concat(origin, without_dots(F.concat(folder, href))))
     )
+    return bound(F.trim(href), resolved)
 
 
 def without_dots(path: Column) -> Column:
@@ -43,8 +45,8 @@ def without_dots(path: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """The path of an absolute URL, / where it is empty."""
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", 1)
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.when(found == "", "/").otherwise(found))
+    found = lambda url: F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", 1)
+    return bound(url, lambda url: F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), bound(found(url), lambda path: F.when(path == "", "/").otherwise(path))))
 
 
 def host_of(url: Column) -> Column:
@@ -62,15 +64,13 @@ def normalise_key(raw: Column) -> Column:
 
 def book_ref(url: Column) -> Column:
     """struct(source_id, slug) of /<id>-<slug>.html, else null."""
-    path = path_of(url)
     pattern = r"^/([0-9]{1,18})-([^/]*)\.html$"
-    return F.when(path.rlike(pattern), F.struct(F.regexp_extract(path, pattern, 1).try_cast("long").alias("source_id"), F.regexp_extract(path, pattern, 2).alias("slug")))
+    return bound(path_of(url), lambda path: F.when(path.rlike(pattern), F.struct(F.regexp_extract(path, pattern, 1).try_cast("long").alias("source_id"), F.regexp_extract(path, pattern, 2).alias("slug"))))
 
 
 def _tail(url: Column, prefix: str) -> Column:
-    path = path_of(url)
-    rest = F.regexp_replace(F.substr(path, F.lit(len(prefix) + 1)), "/+$", "")
-    return F.when(path.startswith(prefix) & (rest != ""), normalise_key(rest))
+    rest = lambda path: F.regexp_replace(F.substr(path, F.lit(len(prefix) + 1)), "/+$", "")
+    return bound(path_of(url), lambda path: F.when(path.startswith(prefix), bound(rest(path), lambda key: F.when(key != "", normalise_key(key)))))
 
 
 def facet_key(url: Column, kind: str) -> Column:
@@ -84,9 +84,8 @@ def tag_key(url: Column) -> Column:
 
 def category_key(url: Column) -> Column:
     """The key of a single-segment category path, else null."""
-    segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    one = F.element_at(segments, 1)
-    return F.when((F.size(segments) == 1) & ~one.rlike(r"\.(html|xml)$") & ~one.isin(*NOT_CATEGORIES), normalise_key(one))
+    alone = lambda one: F.when(~one.rlike(r"\.(html|xml)$") & ~one.isin(*NOT_CATEGORIES), normalise_key(one))
+    return bound(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), lambda segments: F.when(F.size(segments) == 1, bound(F.element_at(segments, 1), alone)))
 
 
 def _encoded(key: Column) -> Column:

@@ -383,7 +383,9 @@ def page_text(v: Views) -> DataFrame:
 
 def _book_page(v: Views) -> DataFrame:
     """Synthetic book pages with the markers that the parser reads."""
-    people = v.books.select("source_id", "title", "series_key", "series_name", "size", "rating", "votes")
+    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows are small here and pages large, so adaptive execution would leave them to few tasks
+    people = v.books.select("source_id", "title", "series_key", "series_name", "size", "rating", "votes").repartition(tasks, "source_id")
     i, name = F.col("source_id").cast("string"), F.initcap("title")
     esc = lambda s: F.lit(s)
     html = F.concat(

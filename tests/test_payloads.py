@@ -56,3 +56,21 @@ def test_downloads(spark):
     assert [r["outcome"] for r in got] == ["ok", "html", "ok", "missing", "ok", "short", "missing", "missing", "missing", "missing"]
     assert all((r["content_type"] == "image/jpeg" and len(r["content"]) == 83) == (r["outcome"] == "ok") for r in got)
     assert all(r["content"] is None for r in got if r["outcome"] != "ok")
+
+
+def test_a_body_and_a_link_are_computed_once_however_often_they_are_named(spark):
+    from shelfmark.functions import payloads, urls
+    from shelfmark.operators import downloads
+
+    rows = spark.createDataFrame([("x",)], "zz string")
+    for c in (downloads.encoded_payload(F.col("zz")), payloads.base64_bytes(F.col("zz")), urls.book_ref(urls.absolute(F.col("zz"))), urls.facet_key(F.col("zz"), "author"), urls.category_key(F.col("zz"))):
+        plan = rows.select(c.alias("out"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+        assert plan.count("zz#") == 1
+
+
+def test_a_page_is_parsed_once(spark):
+    from shelfmark.operators import pages
+
+    rows = spark.createDataFrame([("https://catalogue.example.org/1-x.html", "<p>no book</p>")], "url string, html string")
+    plan = pages.parse_books(rows, "https://catalogue.example.org").select("source_id", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_raw_book_udf(") == 1
