@@ -86,3 +86,23 @@ def test_page_text_keeps_references_that_were_cut_off(spark, tmp_path):
     from shelfmark.operators.pages import html_to_text
 
     assert [r[0] for r in pages.orderBy("page_id").select(html_to_text("html")).collect()] == ["a & b&amp\n\n<c&gt &notit; &ampx; '&", ""]
+
+
+def test_a_name_that_many_authors_bear_is_listed_once_a_book(spark, sf, tmp_path):
+    """Joined with every bearer of a name, the lists of books grow with the square of the copies."""
+    from shelfmark.plans.content_queries import _matched_tables
+    from shelfmark.plans.testviews import Views
+
+    for name, key in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("lineitem", "l_suppkey")):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "part":
+            rows.write.parquet(str(tmp_path / "part.parquet"))
+            continue
+        copies = rows.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn(key, F.col(key) + F.col("copy") * 1_000_000)
+        copies.drop("copy").write.parquet(str(tmp_path / f"{name}.parquet"))
+    _, books = _matched_tables(Views(spark, str(tmp_path)))
+    _, plain = _matched_tables(Views(spark, sf))
+    lists = lambda df: {r["source_id"]: r["authors"] for r in df.collect()}
+    assert lists(books) == lists(plain) and any(len(a) > 1 for a in lists(books).values())
+    rows = lambda at: sorted(QUERIES["nearest_books"](spark, at).collect())
+    assert rows(str(tmp_path)) == rows(sf)
