@@ -106,3 +106,19 @@ def test_a_name_that_many_authors_bear_is_listed_once_a_book(spark, sf, tmp_path
     assert lists(books) == lists(plain) and any(len(a) > 1 for a in lists(books).values())
     rows = lambda at: sorted(QUERIES["nearest_books"](spark, at).collect())
     assert rows(str(tmp_path)) == rows(sf)
+
+
+def test_narrators_are_normalised_once_a_book_and_lineitem_is_dealt_by_book(spark, sf):
+    from shelfmark.operators import selection
+    from shelfmark.plans.catalogue_queries import _scored
+    from shelfmark.plans.testviews import Views
+
+    v = Views(spark, sf)
+    plan = _scored(v, v.titles.select("source_id")).select("source_id", "blocked", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(narrators") == 1
+    # no aggregate by (book, narrator) comes before that by book
+    assert "Aggregate [source_id" in plan and "narrator_key" not in plan
+    books = [(1, ["X. One", "Two"]), (2, ["two"]), (3, ["Zed", "ONE"]), (4, []), (5, None), (6, ["..."])]
+    rows = spark.createDataFrame(books, "source_id long, narrators array<string>").selectExpr("*", "1 duration_sec", "'' description", "'' series_key", "'' detail_state", "cast(null as double) rating", "0L votes")
+    got = selection.with_score(rows, ["two", "one", "!"], ["zed"]).select("source_id", "blocked", "preferred_index").collect()
+    assert {tuple(r) for r in got} == {(1, False, 0), (2, False, 0), (3, True, 1), (4, False, None), (5, False, None), (6, False, None)}
